@@ -23,9 +23,9 @@ def equal_width(value: Column, low: float, high: float, k: int) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value), F.least(F.greatest(code, F.lit(0)), F.lit(k - 1))).cast("int")
 
 
-def center(code: Column, k: int) -> Column:
+def center(code: Column, k: int | Column) -> Column:
     """The centre of bin ``code`` of k in [0, 1]."""
-    return (2 * code.cast("double") + 1) / F.lit(float(2 * k))
+    return (2 * code.cast("double") + 1) / (2 * k.cast("double") if isinstance(k, Column) else F.lit(float(2 * k)))
 
 
 def nearest_code(x: Column, k: int) -> Column:
