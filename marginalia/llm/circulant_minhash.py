@@ -6,10 +6,12 @@ of coordinates make buckets; two sets of similarity 0.8 miss all 32 buckets with
 one in ten million. Links found there are confirmed exactly, then joined to components.
 
 Documents with equal sets are one node from the start, so copies cost nothing further. A
-bucket never emits all its pairs: its first and its last member are compared with each
-member, the confirmed links are joined to components, and only pairs of a bucket whose
-components still differ are compared next (a pair within one component cannot change the
-result). A member that is compared with many is split over tasks by salt.
+bucket never emits its pairs. Its members form a unit around a hub, the member that shares
+most buckets: each is compared with the hub, and only those that do not link to it
+(stragglers) with the other members, inside a task, which emits just the links that join
+components. A large unit is dealt to several tasks by salt; then its members whose component
+still differs from the hub's meet all members in bounded blocks. So every pair of a bucket
+is compared unless it is in one component already, which cannot change the result.
 
 Defined cases: a null or blank text has the empty set, links with nothing and is its own
 component; a text of fewer words than a shingle has its whole word sequence as one shingle;
@@ -32,7 +34,8 @@ from marginalia.llm.common import LOWER_BYTES, mapped, materialise, mix64, ship,
 BANDS, ROWS = 32, 4
 SHIFTS = BANDS * ROWS
 SECTION = 1 << 15  # shingles whose coordinates are computed at once
-SALT_ROWS = 1000  # members of one task for a compared document
+UNIT_ROWS = 1000  # members of a unit in one task
+BLOCK = 256  # stragglers compared at once
 _ODD = np.random.default_rng(977).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = np.random.default_rng(978).integers(1, 1 << 62, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -121,26 +124,132 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return mapped(docs, spec, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n long, h1 long, h2 long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose full sets link. ``held``: (node, text). Each b's text meets a's; a is salted when it has many."""
-    ship(pairs.sparkSession)
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
-    salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")
-    members = pairs.join(many, "a").select("a", "b", salt.alias("salt")).join(held.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
-    heads = many.join(held.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
-    both = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+class Joined:
+    """Union-find of the nodes of one task, so that it emits only links that join something."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = x = self.parent[up]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[a] = b
+        return a != b
+
+
+class Postings:
+    """Sets of a block, indexed by shingle, to be intersected with one set at a time."""
+
+    def __init__(self, nodes: list[int], sets: list[np.ndarray]) -> None:
+        self.nodes, self.sizes = nodes, np.array([len(s) for s in sets])
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.keys, first, self.counts = np.unique(flat[order], return_index=True, return_counts=True)
+        self.first, self.of = first, of[order]
+
+    def linked(self, s: np.ndarray, percent: int) -> list[int]:
+        """Nodes whose set links with ``s``."""
+        at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        at = at[self.keys[at] == s]
+        n = self.counts[at]
+        places = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.of[places], minlength=len(self.nodes))
+        hit = np.flatnonzero(100 * both >= percent * (self.sizes + len(s) - both))
+        return [self.nodes[i] for i in hit.tolist()]
+
+
+def pairs_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def hub_links(units: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) within ``units`` (hub, node), of members dealt to one task. ``held``: (node, text)."""
+    ship(units.sparkSession)
+    many = units.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / UNIT_ROWS).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+    members = units.join(many, "hub").select("hub", salt.alias("salt"), "node").join(held, "node").select("hub", "salt", "node", "text")
+    hubs = many.join(held.withColumnRenamed("node", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("node"), "text")
+    both = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node").asc_nulls_first())
+
+    def run(batches):
+        hub, head, linked_nodes, others, links = None, None, [], [], []
+
+        def finish() -> None:
+            """Compare stragglers with every member; all that link to the hub are one component."""
+            joined = Joined()
+            for x, _ in linked_nodes:
+                joined.join(hub, x)
+            for a in range(0, len(others), BLOCK):
+                block = others[a : a + BLOCK]
+                index = Postings([x for x, _ in block], [s for _, s in block])
+                for y, s in [*linked_nodes, *others[a:]]:
+                    links.extend((x, y) for x in index.linked(s, percent) if x != y and joined.join(x, y))
+
+        for batch in batches:
+            for h, node, text in zip(batch.column("hub").to_pylist(), batch.column("node").to_pylist(), texts(batch), strict=True):
+                if node is None:
+                    if others:
+                        finish()
+                    hub, head, linked_nodes, others = h, shingles(text, k), [], []
+                    continue
+                s = shingles(text, k)
+                if linked(head, s, percent):
+                    links.append((hub, node))
+                    linked_nodes.append((node, s))
+                else:
+                    others.append((node, s))
+            if len(links) > 1000:
+                yield pairs_batch(links)
+                links.clear()
+        if others:
+            finish()
+        yield pairs_batch(links)
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def straggler_links(units: DataFrame, belongs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of large units that ``hub_links`` could not see, as their members were dealt to several tasks.
+
+    Members of another component than the hub's, in blocks of ``BLOCK``, meet all members of the unit, ``UNIT_ROWS`` at a time.
+    """
+    large = units.groupBy("hub").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > UNIT_ROWS)
+    own = belongs.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    rows = units.join(large, "hub").join(own, "hub", "left").join(belongs, "node", "left")
+    apart = F.coalesce("component", "node") != F.coalesce("hub_component", "hub")
+    rows = rows.select("hub", "node", F.coalesce("component", "node").alias("component"), apart.alias("apart"), F.ceil(F.col("rows") / UNIT_ROWS).cast("int").alias("salts"))
+    rows = materialise(rows, "large-units")
+    blocks = rows.filter("apart").groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "hub")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = dealt.filter("apart").select("hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), every("salts").alias("salt"), F.lit(0).alias("role"), "node", "component")
+    asked = dealt.select("hub", every("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(1), "node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "node", "component")
+    both = asking.unionByName(asked).join(held, "node").repartition("hub", "block", "salt").sortWithinPartitions("hub", "block", "salt", "role", "node")
 
     def run(batches):
-        head = None
+        group, index, held_nodes, held_sets, joined, links, of = None, None, [], [], Joined(), [], {}
         for batch in batches:
-            keep = []
-            for i, (b, text) in enumerate(zip(batch.column("b").to_pylist(), texts(batch), strict=True)):
-                if b is None:
-                    head = shingles(text, k)
-                elif linked(head, shingles(text, k), percent):
-                    keep.append(i)
-            if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+            cols = [batch.column(c).to_pylist() for c in ("hub", "block", "salt", "role", "node", "component")]
+            for hub, block, salt, role, node, component, text in zip(*cols, texts(batch), strict=True):
+                if (hub, block, salt) != group:
+                    group, index, held_nodes, held_sets, of = (hub, block, salt), None, [], [], {}
+                s = shingles(text, k)
+                of[node] = component
+                if role == 0:
+                    held_nodes.append(node)
+                    held_sets.append(s)
+                    continue
+                if index is None:
+                    index = Postings(held_nodes, held_sets)
+                links.extend((x, node) for x in index.linked(s, percent) if of[x] != component and joined.join(of[x], component))
+            if links:
+                yield pairs_batch(links)
+                links = []
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -172,33 +281,23 @@ def near_duplicates(df: DataFrame, shingle: int = 4, percent: int = 80) -> DataF
     docs = df.select("doc_id", text_or_empty(df).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     rows = materialise(sketch(docs, shingle), "sketches")
     full = rows.filter("n > 0")
-    nodes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("at"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("bands").alias("bands"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
 
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = materialise(banded.join(buckets, "band"), "buckets")  # members of buckets of two or more
-    near = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
+    degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
+    hubs = shared.join(degree, "node").groupBy("band").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+    units = materialise(shared.join(hubs, "band").filter("node <> hub").select("hub", "node").distinct(), "units")
 
     wanted = shared.select("node").distinct().join(nodes.select("node", "at.*"), "node").withColumnsRenamed({"doc_id": "k1", "th": "k2"})
     here = F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("k2"))
     held = materialise(wanted.join(docs, here).select("node", "text").dropDuplicates(["node"]), "set-texts")
 
-    sizes = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"))
-    stars = shared.select(F.col("low").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    stars = stars.unionByName(shared.select(F.col("high").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")))
-    first = stars.filter("a <> b").distinct().join(sizes, "a").filter(near).select("a", "b")
-    links = materialise(confirm(first, held, shingle, percent), "links")
-
-    belongs = materialise(components(links), "components")
-    placed = shared.join(belongs, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("band")
-    open_ = materialise(placed.join(mixed, "band"), "open-buckets")
-    left = open_.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    second = left.join(right, "band").filter((F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
-    done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = materialise(confirm(second.join(done, ["a", "b"], "left_anti"), held, shingle, percent), "links")
+    links = materialise(hub_links(units, held, shingle, percent), "links")
+    more = straggler_links(units, materialise(components(links), "components"), held, shingle, percent)
+    more = materialise(more, "links")
 
     final = components(links.unionByName(more))
     final = nodes.select("node", "h1", "h2", "first_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
