@@ -486,7 +486,7 @@ POINTS = "a AS (SELECT s_suppkey AS pid, s_acctbal / 10000.0::DOUBLE AS x, s_nat
 MATCH = f"""WITH {POINTS}, t(proj, ta, tb) AS (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOUBLE)' for i, (a, b) in enumerate(THETAS))}),
   ra AS (SELECT proj, ta, tb, pid, ta * x + tb * y AS z, row_number() OVER (PARTITION BY proj ORDER BY ta * x + tb * y, pid) - 1 AS r, count(*) OVER (PARTITION BY proj) AS n FROM a, t),
   rb AS (SELECT proj, ta * x + tb * y AS z, row_number() OVER (PARTITION BY proj ORDER BY ta * x + tb * y, pid) - 1 AS s, count(*) OVER (PARTITION BY proj) AS m FROM b, t),
-  k AS (SELECT ra.proj, ta, tb, pid, ra.z, rb.z AS zo FROM ra JOIN (SELECT proj, max(m) AS m FROM rb GROUP BY proj) USING (proj) JOIN rb ON rb.proj = ra.proj AND rb.s = r * m // n)"""
+  k AS (SELECT ra.proj, ta, tb, pid, ra.z, rb.z AS zo FROM ra JOIN (SELECT proj, max(m) AS others FROM rb GROUP BY proj) o ON o.proj = ra.proj JOIN rb ON rb.proj = ra.proj AND rb.s = r * others // n)"""
 
 
 def supplier_points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
