@@ -72,7 +72,7 @@ def test_concentrated_privacy_round_trip(eps, delta):
     rho = P.cdp_rho(eps, delta)
     assert P.cdp_delta(rho, eps) <= delta * (1 + 1e-6) and P.cdp_eps(rho, delta) == pytest.approx(eps, rel=1e-6)
     assert P.cdp_delta(rho, eps) <= P.cdp_delta_standard(rho, eps)
-    best = min(math.exp((a - 1) * (a * rho - eps) + a * math.log1p(-1 / a)) / (a - 1) for a in np.linspace(1.01, 400, 400_000))
+    best = math.exp(min((a - 1) * (a * rho - eps) + a * math.log1p(-1 / a) - math.log(a - 1) for a in np.linspace(1.01, 400, 400_000)))
     assert P.cdp_delta(rho, eps) == pytest.approx(best, rel=1e-3)
     assert P.cdp_rho(eps, 0) == 0 and P.cdp_delta(0, eps) == 0 and P.cdp_eps(0.1, 1.5) == 0
 
