@@ -28,22 +28,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import mapped, materialise, text_or_empty, texts
+from marginalia.llm.common import materialise, pieces, ship, text_or_empty, texts
 
 MAGIC = b"RPG1"
 RULES = 4096  # of a block at most
 PER_ROUND = 1024
-ROUNDS = 6
+ROUNDS = 4
 LEAST = 16  # occurrences for a rule
-CACHED = 400_000
-#: Cuts before single blanks and around line ends, where the vocabulary's pattern never joins.
-CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: White space for some pattern engines only; texts that hold one are encoded whole.
-UNSURE = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+#: Control characters, and white space other than blanks and line ends in any reading of it.
+ODD_SPACE = re.compile("[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+FIRST = "\x01"
+POOL = 1_000_000  # words
 
 
 @lru_cache(maxsize=2)
@@ -68,71 +68,89 @@ def id_widths(path: str) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts; chunks met before come from a cache of two generations, so its size is bounded."""
+    """Encodes texts through the library; the ids of words met before come from a pool of bounded size.
+
+    The vocabulary's pattern starts a piece at every single blank between other characters, and makes a single line end
+    a piece of its own, so a text without other white space is the sum of its words. Other texts are encoded whole.
+    Words are told apart and put together again for a whole batch at once.
+    """
 
     def __init__(self, path: str) -> None:
         self.path = path
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        """Put the ids of ``chunks`` into the young generation."""
-        if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        follow, rest = [], []
-        for c in set(chunks).difference(young):
-            if (known := old.get(c)) is not None:
-                young[c] = known
-            else:
-                (follow if c[0] == " " and len(c) > 1 and not c[1].isspace() else rest).append(c)
-        width = id_widths(self.path)
-        for a in range(0, len(follow), 500):  # chunks of a blank and other characters never merge with what is before
-            part = follow[a : a + 500]
-            ids = np.array(tokenizer(self.path).encode("".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.cumsum([len(c.encode()) for c in part])
-            edge = np.searchsorted(np.cumsum(width[ids]), ends) + 1
-            data, edge = ids.tobytes(), [0, *(4 * edge).tolist()]
-            young.update(zip(part, [data[i:j] for i, j in zip(edge, edge[1:], strict=False)], strict=True))
-        for a in range(0, len(rest), 2_000):
-            part = rest[a : a + 2_000]
-            e = tokenizer(self.path).encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
-            edge = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
-            data = ids.tobytes()
-            young.update((c, data[i:j]) for c, i, j in zip(part, edge, edge[1:], strict=False))
-
-    def encode(self, many: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian uint32."""
-        out: list[bytes] = []
-        held: list[list[str]] = []
-        size = 0
-
-        def flush() -> None:
-            self.learn([c for chunks in held for c in chunks])
-            get = self.young.__getitem__
-            out.extend(b"".join(map(get, chunks)) for chunks in held)
-
-        for text in many:
-            if UNSURE.search(text):
-                chunks = None
+        self.words = pa.array([], pa.large_string())  # FIRST marks a word that no blank precedes
+        self.ids, self.size, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def shrink(self) -> None:
+        """Keep the words that more than one batch has used (at most half a pool of them)."""
+        keep = self.used > 1
+        if keep.sum() > POOL // 2:
+            keep = np.zeros(len(self.used), bool)
+            keep[np.argpartition(-self.used, POOL // 2)[: POOL // 2]] = True
+        self.words, self.ids = self.words.filter(pa.array(keep)), self.ids[np.repeat(keep, self.size)]
+        self.size, self.used = self.size[keep], np.ones(int(keep.sum()), np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def learn(self, words: list[str]) -> None:
+        """Add words to the pool, many in one call of the library; where each ends follows from the bytes of its ids."""
+        width, ids, sizes, names = id_widths(self.path), [], [], []
+        first = [w for w in words if w[:1] == FIRST and len(w) > 1]
+        plain = [w for w in words if w[:1] != FIRST and w != "\n"]
+        for group, skip in ((plain, 0), (first, 1)):
+            parts = [group[a : a + 200] for a in range(0, len(group), 200)]
+            joined = ["\n".join(w[1:] for w in p) + "\n" if skip else " " + " ".join(p) for p in parts]
+            got = [np.array(e.ids, np.uint32) for e in tokenizer(self.path).encode_batch_fast(joined, add_special_tokens=False)]
+            if not got:
+                continue
+            got = np.concatenate(got)
+            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in group]) + (1 - skip) * np.arange(1, len(group) + 1)
+            edge = np.append(0, np.searchsorted(np.cumsum(width[got]), ends) + 1)
+            if skip:  # the line end after each word is not its own
+                keep = np.ones(len(got), bool)
+                keep[edge[1:] - 1] = False
+                got, edge = got[keep], edge - np.arange(len(edge))
+            ids.append(got)
+            sizes.append(np.diff(edge))
+            names += group
+        for w in (FIRST, "\n"):
+            if w in words:
+                ids.append(self.whole(w.replace(FIRST, "")))
+                sizes.append(np.array([len(ids[-1])]))
+                names.append(w)
+        self.words = pa.concat_arrays([self.words, pa.array(names, pa.large_string())])
+        self.ids, self.size = np.concatenate([self.ids, *ids]), np.concatenate([self.size, *sizes])
+        self.used = np.append(self.used, np.zeros(len(names), np.int64))
+
+    def encode(self, many: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list = [None] * len(many)
+        plain = []
+        for i, text in enumerate(many):
+            if ODD_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+                out[i] = self.whole(text)
             else:
-                chunks = CHUNK.findall(text)
-            if held and (chunks is None or size + len(chunks) > CACHED):
-                flush()
-                held, size = [], 0
-            if chunks is None:
-                out.append(np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            elif len(chunks) > CACHED:  # one very long text
-                parts = []
-                for a in range(0, len(chunks), CACHED):
-                    self.learn(chunks[a : a + CACHED])
-                    parts.append(b"".join(map(self.young.__getitem__, chunks[a : a + CACHED])))
-                out.append(b"".join(parts))
-            else:
-                held.append(chunks)
-                size += len(chunks)
-        flush()
+                plain.append(i)
+        if not plain:
+            return out
+        marked = pa.array([FIRST + many[i].replace("\n", " \n " + FIRST) for i in plain], pa.large_string())
+        split = pc.split_pattern(marked, " ")
+        coded = split.values.dictionary_encode()
+        if len(self.words) > POOL:
+            self.shrink()
+        at = pc.index_in(coded.dictionary, value_set=self.words)
+        if at.null_count:
+            self.learn(coded.dictionary.filter(at.is_null()).to_pylist())
+            at = pc.index_in(coded.dictionary, value_set=self.words)
+        at = at.to_numpy(zero_copy_only=False)
+        self.used[at] += 1
+        start, of = np.cumsum(self.size) - self.size, at[coded.indices.to_numpy()]
+        size = self.size[of]
+        upto = np.append(0, np.cumsum(size))
+        ids = self.ids[np.repeat(start[of] - upto[:-1], size) + np.arange(upto[-1])]
+        edge = upto[split.offsets.to_numpy()]
+        for k, i in enumerate(plain):
+            out[i] = ids[edge[k] : edge[k + 1]]
         return out
 
 
@@ -276,22 +294,16 @@ class Block:
         return symbol
 
 
-def encode(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, th (the text's hash) and ids (little-endian uint32, the end id last) of each row."""
-    end = struct.pack("<I", end_id)
-    docs = df.select("doc_id", text_or_empty(df).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
-
-    def spec(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [x + end for x in encoder(path).encode([t.decode() for t in texts(batch)])]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(ids, pa.binary())], names=["doc_id", "th", "ids"])
-
-    return mapped(docs, spec, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, ids binary")
-
+def blocks(df: DataFrame, path: str, end_id: int, first_rule: int, block_tokens: int = 1_000_000) -> DataFrame:
+    """Rows (shard, block, doc_ids, n_tokens, payload), in order of (doc_id, hash of the text).
 
-def blocks(encoded: DataFrame, first_rule: int, block_tokens: int = 1_000_000) -> DataFrame:
-    """Rows (shard, block, doc_ids, n_tokens, payload), in order of (doc_id, th): shards by range, blocks within."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    ranged = encoded.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
+    Texts are dealt to shards by range and encoded where they arrive: text compresses better on its way than ids do.
+    """
+    kind = df.schema["doc_id"].dataType.simpleString()
+    docs = df.select("doc_id", text_or_empty(df).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    ranged = docs.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
+    ship(df.sparkSession)
+    end = np.uint32(end_id)
 
     def run(batches):
         shard, block, ids, docs, held, id_type = TaskContext.get().partitionId(), 0, [], [], 0, None
@@ -300,10 +312,10 @@ def blocks(encoded: DataFrame, first_rule: int, block_tokens: int = 1_000_000) -
             arrays = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.int64()), pa.array([pack(docs, first_rule)], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "doc_ids", "n_tokens", "payload"])
 
-        for b in batches:
+        for b in (p for batch in batches for p in pieces(batch, chars=16_000_000)):
             id_type = b.schema.field("doc_id").type
-            for doc_id, data in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                x = np.frombuffer(data.as_py(), "<u4")
+            for doc_id, data in zip(b.column("doc_id").to_pylist(), encoder(path).encode([t.decode() for t in texts(b)]), strict=True):
+                x = np.append(data, end)
                 if docs and held + len(x) > block_tokens:
                     yield flush()
                     block, ids, docs, held = block + 1, [], [], 0
@@ -318,7 +330,7 @@ def blocks(encoded: DataFrame, first_rule: int, block_tokens: int = 1_000_000) -
 
 def write_tokens(df: DataFrame, path: str, out: str | None = None, end_id: int = 0, first_rule: int = 50257, block_tokens: int = 1_000_000) -> DataFrame:
     """Encode and write ``df`` (doc_id, text); returns the written table, read back. ``out``: a folder, else in the shared one."""
-    table = blocks(materialise(encode(df, path, end_id), "token-ids"), first_rule, block_tokens)
+    table = blocks(df, path, end_id, first_rule, block_tokens)
     if out is None:
         return materialise(table, "token-blocks")
     table.write.mode("overwrite").parquet(out)
@@ -341,7 +353,8 @@ def read_tokens(table: DataFrame) -> DataFrame:
             for ids, payload, start in zip(b.column("doc_ids"), b.column("payload"), b.column("start").to_pylist(), strict=True):
                 block = Block(payload.as_py())
                 n = block.sizes
-                crc = [zlib.crc32(block.document(k).astype("<u4").tobytes()) for k in range(len(n))]
+                x, end = memoryview(block.expand(block.symbols).astype("<u4").tobytes()), np.append(0, 4 * np.cumsum(n)).tolist()
+                crc = [zlib.crc32(x[i:j]) for i, j in zip(end, end[1:], strict=False)]
                 arrays = [ids.values, pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
