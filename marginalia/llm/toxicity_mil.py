@@ -81,7 +81,7 @@ class MilModel:
         return float(-np.expm1(clean)), out
 
 
-def train(bags: list[list[list[bytes]]], y: np.ndarray, weight: np.ndarray, least: int = 4, steps: int = 400, rate: float = 0.15, l2: float = 0.02) -> MilModel:
+def train(bags: list[list[list[bytes]]], y: np.ndarray, weight: np.ndarray, least: int = 3, tokens_per_document: float = 1.0, steps: int = 300, rate: float = 0.1, l2: float = 0.05) -> MilModel:
     """Adam on the mean weighted log loss of the noisy-or. ``bags``: the token lists of each document's sentences."""
     share = float((weight * y).sum() + 1) / float(weight.sum() + 2)
     if not len(y) or y.min() == y.max():
@@ -90,11 +90,16 @@ def train(bags: list[list[list[bytes]]], y: np.ndarray, weight: np.ndarray, leas
     for bag, label in zip(bags, y.tolist(), strict=True):
         for t in {t for s in bag for t in s}:
             in_docs[int(label)][t] = in_docs[int(label)].get(t, 0) + 1
-    pos, neg = in_docs
+    neg, pos = in_docs
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    # tokens that tell the labels apart; the others would get weight near 0
-    names = [t for t, k in pos.items() if k >= least and k / n1 > 1.5 * (neg.get(t, 0) + 1) / (n0 + 1)]
-    names += [t for t, k in neg.items() if k >= 10 * least and k / n0 > 2 * (pos.get(t, 0) + 1) / (n1 + 1)]
+    # the tokens whose shares of documents lie most deviations apart, as many as toxic documents; more would fit noise
+    found = []
+    for t in pos.keys() | neg.keys():
+        a, b = pos.get(t, 0), neg.get(t, 0)
+        if a + b >= least:
+            both = (a + b) / (n1 + n0)
+            found.append((-abs(a / n1 - b / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12), t))
+    names = [t for _, t in sorted(found)[: max(20, int(n1 * tokens_per_document))]]
     index = {t: i for i, t in enumerate(sorted(names))}
     sent, tok, doc_of = [], [], []
     for d, bag in enumerate(bags):
