@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.scalar import NEG_INF, cell_of, floor_log, log_add, log_sum, safe_divide, safe_subtract, uniform
-from marginalia.operators.marginals import grid
+from marginalia.operators.marginals import cells_of, grid
 from marginalia.plans.schema import Clique, Domain
 
 
@@ -231,8 +231,7 @@ class CliqueVector:
     @classmethod
     def of(cls, spark: SparkSession, domain: Domain, cliques: Sequence[Sequence[str]], value: Callable[[Column, Column, Column], Column]) -> CliqueVector:
         """``value(clique_id, cell, number of cells)`` in each cell."""
-        sizes = spark.createDataFrame([(i, domain.size(c)) for i, c in enumerate(cliques)], "clique_id int, n long")
-        cells = sizes.select("clique_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("cell"))
+        cells = cells_of(spark, [domain.size(c) for c in cliques])
         return cls(domain, tuple(map(tuple, cliques)), cells.select("clique_id", "cell", value(F.col("clique_id"), F.col("cell"), F.col("n")).cast("double").alias("value")))
 
     @classmethod

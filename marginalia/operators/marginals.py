@@ -14,6 +14,7 @@ from marginalia.plans.schema import Clique, Domain
 MOST_CELLS = 200_000_000
 #: Cells all cliques together may have for the array kernel; a task then holds 8 bytes for each.
 KERNEL_CELLS = 8_000_000
+CELL_RUN = 1 << 16
 
 
 def bucketed(value: Column, n: int) -> Column:
@@ -88,13 +89,18 @@ def marginals_kernel(df: DataFrame, domain: Domain, cliques: Sequence[Sequence[s
     return partial.groupBy("clique_id", "cell").agg(F.sum("value").alias("value"))
 
 
-def dense(sparse: DataFrame, domain: Domain, cliques: Sequence[Sequence[str]]) -> DataFrame:
-    """All cells of all cliques: (clique_id, cell, value), absent ones 0. Noise must only be added after this."""
-    spark, sizes = sparse.sparkSession, [domain.size(c) for c in cliques]
+def cells_of(spark: SparkSession, sizes: Sequence[int]) -> DataFrame:
+    """(clique_id, n, cell) of all cells of all cliques. Cells are laid out in runs, so that a large clique spreads over tasks."""
     if sum(sizes) > MOST_CELLS:
         raise ValueError(f"{sum(sizes)} cells are too many for a dense answer")
-    rows = spark.createDataFrame(list(enumerate(sizes)), "clique_id int, n long")
-    every = rows.select("clique_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("cell"))
+    runs = [(i, n, a, min(a + CELL_RUN, n) - 1) for i, n in enumerate(sizes) for a in range(0, n, CELL_RUN)]
+    rows = spark.createDataFrame(runs, "clique_id int, n long, a long, b long")
+    return rows.select("clique_id", "n", F.explode(F.sequence("a", "b")).alias("cell"))
+
+
+def dense(sparse: DataFrame, domain: Domain, cliques: Sequence[Sequence[str]]) -> DataFrame:
+    """All cells of all cliques: (clique_id, cell, value), absent ones 0. Noise must only be added after this."""
+    every = cells_of(sparse.sparkSession, [domain.size(c) for c in cliques]).select("clique_id", "cell")
     return every.join(sparse, ["clique_id", "cell"], "left").select("clique_id", "cell", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
