@@ -15,6 +15,7 @@ from marginalia.plans.schema import Domain
 
 #: A dictionary of more values is refused: coding is for low cardinalities.
 MOST_VALUES = 1_000_000
+SENT_VALUES = 100_000  # a longer one is joined without a broadcast
 
 
 @dataclass
@@ -100,7 +101,7 @@ class Coder:
                 out = out.withColumn(c.attr, equal_width(F.col(c.attr), c.low, c.high, c.size))
             else:
                 codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(c.values)], f"_v {_type(df, c.attr)}, _code int")
-                out = out.join(F.broadcast(codes), F.col(c.attr) == F.col("_v"), "left").withColumn(c.attr, F.col("_code")).drop("_v", "_code")
+                out = out.join(F.broadcast(codes) if len(c.values) <= SENT_VALUES else codes, F.col(c.attr) == F.col("_v"), "left").withColumn(c.attr, F.col("_code")).drop("_v", "_code")
         return out.select(*self.codings)
 
     def backward(self, df: DataFrame) -> DataFrame:

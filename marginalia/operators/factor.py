@@ -17,6 +17,10 @@ from marginalia.operators.marginals import cells_of, grid
 from marginalia.plans.schema import Clique, Domain
 
 
+#: Grids of more cells are not broadcast.
+SENT_CELLS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Factor:
     """``rows``: one row for each cell of ``domain`` (attributes and ``value``)."""
@@ -89,7 +93,8 @@ class Factor:
         if not domain.contains(self.domain):
             raise ValueError("the schema must contain the factor's")
         more = domain.project(domain.invert(self.domain.attrs))
-        rows = self.rows.crossJoin(F.broadcast(grid(self.rows.sparkSession, more).drop("cell"))) if len(more) else self.rows
+        cells = grid(self.rows.sparkSession, more).drop("cell")
+        rows = self.rows.crossJoin(F.broadcast(cells) if more.size() <= SENT_CELLS else cells) if len(more) else self.rows
         return Factor(domain, rows.select(*domain.attrs, "value"))
 
     def transpose(self, attrs: Sequence[str]) -> Factor:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 #: Entries that ``dense`` brings to the driver.
 DENSE_ENTRIES = 25_000_000
+SENT_ENTRIES = 1_000_000  # of a matrix that is broadcast
 
 
 class Query(ABC):
@@ -348,7 +349,7 @@ class Kronecker(Query):
         out = self.parts[0].coo(spark)
         for p in self.parts[1:]:
             b = p.coo(spark).toDF("_row", "_cell", "_coef")
-            out = out.crossJoin(F.broadcast(b)).select((F.col("row") * p.shape[0] + F.col("_row")).alias("row"), (F.col("cell") * p.shape[1] + F.col("_cell")).alias("cell"), (F.col("coef") * F.col("_coef")).alias("coef"))
+            out = out.crossJoin(F.broadcast(b) if math.prod(p.shape) <= SENT_ENTRIES else b).select((F.col("row") * p.shape[0] + F.col("_row")).alias("row"), (F.col("cell") * p.shape[1] + F.col("_cell")).alias("cell"), (F.col("coef") * F.col("_coef")).alias("coef"))
         return out
 
     def apply(self, vector: DataFrame) -> DataFrame:

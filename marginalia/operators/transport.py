@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from marginalia.functions.scalar import minkowski
 
 
+MOST_CENTRES = 100_000
+
+
 def directions(d: int, n: int, seed: int = 0) -> np.ndarray:
     """Unit vectors, uniform on the sphere; for one dimension 1."""
     if d == 1:
@@ -26,13 +29,29 @@ def projected(df: DataFrame, coords: Sequence[str], thetas: Sequence[Sequence[fl
     return df.select(*keep, F.explode(F.array(*dots)).alias("p")).select(*keep, "p.proj", "p.z")
 
 
-def w1_signed(points: DataFrame, by: Sequence[str] = ("proj",)) -> DataFrame:
+def sliced_up(points: DataFrame, by: Sequence[str], slices: int) -> DataFrame:
+    """``points`` with ``slice``: equal parts of each group's range of z, so that no task has to sort a whole group.
+
+    Even where one slice holds most of a group the results are the same; only the sort is less evenly spread.
+    """
+    ends = points.groupBy(*by).agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("z") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slices)).otherwise(0)
+    return points.join(ends, list(by)).withColumn("slice", F.least(place, F.lit(slices - 1)).cast("int")).drop("_lo", "_hi")
+
+
+def w1_signed(points: DataFrame, by: Sequence[str] = ("proj",), slices: int = 32) -> DataFrame:
     """For each ``by``: the integral of |sum of signed weights up to z|, as w1. Points: (by, z, w); weights of the
-    first sample are positive and of the second negative, each summing to 1. Equal z are added before the window."""
-    places = points.groupBy(*by, "z").agg(F.sum("w").alias("w"))
-    order = Window.partitionBy(*by).orderBy("z")
-    upto = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    steps = places.select(*by, F.abs(upto).alias("gap"), (F.lead("z").over(order) - F.col("z")).alias("dz"))
+    first sample are positive and of the second negative, each summing to 1. Equal z are added before any window.
+
+    The running sum has two levels: over slices of z, then within each slice.
+    """
+    places = sliced_up(points.groupBy(*by, "z").agg(F.sum("w").alias("w")), by, slices)
+    across = Window.partitionBy(*by).orderBy("slice")
+    sums = places.groupBy(*by, "slice").agg(F.sum("w").alias("_w"), F.min("z").alias("_z"))
+    sums = sums.select(*by, "slice", (F.sum("_w").over(across) - F.col("_w")).alias("_before"), F.lead("_z").over(across).alias("_next"))
+    within = Window.partitionBy(*by, "slice").orderBy("z")
+    upto = F.col("_before") + F.sum("w").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    steps = places.join(sums, [*by, "slice"]).select(*by, F.abs(upto).alias("gap"), (F.coalesce(F.lead("z").over(within), F.col("_next")) - F.col("z")).alias("dz"))
     return steps.groupBy(*by).agg(F.coalesce(F.sum(F.col("gap") * F.col("dz")), F.lit(0.0)).alias("w1"))
 
 
@@ -56,17 +75,20 @@ def sliced_w1_grid(cells: DataFrame, coords: Sequence[str], thetas: Sequence[Seq
     return w1_signed(projected(cells.withColumn("w", F.col(u) - F.col(v)), coords, thetas, ["w"])).agg(F.avg("w1").alias("sw1"))
 
 
-def rank_match(x: DataFrame, y: DataFrame, coords: Sequence[str], thetas: Sequence[Sequence[float]], key: str = "pid") -> DataFrame:
+def rank_match(x: DataFrame, y: DataFrame, coords: Sequence[str], thetas: Sequence[Sequence[float]], key: str = "pid", slices: int = 32) -> DataFrame:
     """Along each direction the i-th smallest of x with the i-th smallest of y: (proj, key, z, z_other).
 
     Unequal numbers are matched by quantile: rank r of n meets rank floor(r m / n) of m.
     """
     def ranked(df: DataFrame, name: str) -> DataFrame:
-        long = projected(df, coords, thetas, [key])
-        return long.withColumn(name, F.row_number().over(Window.partitionBy("proj").orderBy("z", key)) - 1)
+        long = sliced_up(projected(df, coords, thetas, [key]), ["proj"], slices)
+        sizes = long.groupBy("proj", "slice").agg(F.count(F.lit(1)).alias("_n"))
+        sizes = sizes.select("proj", "slice", (F.sum("_n").over(Window.partitionBy("proj").orderBy("slice")) - F.col("_n")).alias("_before"))
+        rank = F.col("_before") + F.row_number().over(Window.partitionBy("proj", "slice").orderBy("z", key)) - 1
+        return long.join(sizes, ["proj", "slice"]).select("proj", key, "z", rank.alias(name))
     a, b = ranked(x, "r"), ranked(y, "s")
     sizes = a.groupBy("proj").agg(F.count(F.lit(1)).alias("n")).join(b.groupBy("proj").agg(F.count(F.lit(1)).alias("m")), "proj")
-    a = a.join(F.broadcast(sizes), "proj").withColumn("s", F.floor(F.col("r") * F.col("m") / F.col("n")).cast("int"))
+    a = a.join(F.broadcast(sizes), "proj").withColumn("s", F.floor(F.col("r") * F.col("m") / F.col("n")).cast("long"))
     return a.join(b.select("proj", "s", F.col("z").alias("z_other")), ["proj", "s"]).select("proj", key, "z", "z_other")
 
 
@@ -85,7 +107,9 @@ def sliced_w2_gradient(x: DataFrame, y: DataFrame, coords: Sequence[str], thetas
 
 
 def distances(a: DataFrame, b: DataFrame, coords: Sequence[str], p: float = math.inf, keys: tuple[str, str] = ("i", "j")) -> DataFrame:
-    """(i, j, dist) of every point of ``a`` with every row of ``b``, a set of centres that must be small."""
+    """(i, j, dist) of every point of ``a`` with every row of ``b``, a set of at most ``MOST_CENTRES`` centres."""
+    if b.limit(MOST_CENTRES + 1).count() > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centres")
     left = a.select(keys[0], F.array(*coords).alias("_a"))
     right = b.select(keys[1], F.array(*coords).alias("_b"))
     return left.crossJoin(F.broadcast(right)).select(*keys, minkowski(F.col("_a"), F.col("_b"), p).alias("dist"))
