@@ -590,3 +590,91 @@ def particles_synth(spark, sf_dir):
     engine = particles.ParticleInference(TREE, n_particles=2000, iters=30, proj_iters=50, proj_directions=20)
     return mechanisms.KWay(BUDGET).run(coded_lineitem(spark, sf_dir), TREE, engine, all_kway(TREE, 2))
 
+
+
+# --- more operators, one query each ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {D} SELECT count(DISTINCT q) AS q, count(DISTINCT dc) AS dc, count(DISTINCT rf) AS rf, count(DISTINCT ls) AS ls FROM d")
+def distinct_codes(spark, sf_dir):
+    return marginals.distinct_codes(coded_lineitem(spark, sf_dir), SMALL.attrs)
+
+
+@query(f"WITH {D} SELECT q, dc, rf, ls, count(*) AS n FROM d GROUP BY ALL")
+def embed_discretize_roundtrip(spark, sf_dir):
+    """Codes to points of the unit cube and back."""
+    e = discretize.Embedding(SMALL)
+    back = e.discretize(e.project_manifold(e.embed(coded_lineitem(spark, sf_dir))))
+    return back.groupBy(*SMALL.attrs).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH x AS (SELECT least(greatest((c_acctbal + 1000) / 11000.0::DOUBLE, 0), 1) AS a, c_nationkey / 25.0::DOUBLE + 0.01 AS b FROM customer)
+  SELECT CAST(least(greatest(ceil(a * 8) - 1, 0), 7) AS INT) AS a, CAST(least(greatest(ceil(b * 5) - 1, 0), 4) AS INT) AS b, CAST(count(*) AS DOUBLE) AS value FROM x GROUP BY 1, 2""")
+def particle_marginal(spark, sf_dir):
+    """A histogram of points."""
+    x = table(spark, sf_dir, "customer").select(S.clamp_unit((F.col("c_acctbal") + 1000) / F.lit(11000.0)).alias("x_a"), (F.col("c_nationkey") / F.lit(25.0) + F.lit(0.01)).alias("x_b"))
+    domain = Domain(("a", "b"), (8, 5))
+    return marginals.marginal(discretize.Embedding(domain).discretize(x), domain, ("a", "b"), dense=False)
+
+
+@query("SELECT 0.25::DOUBLE * 4 * count(*) / 4 AS total FROM supplier")
+def weights_rescaled(spark, sf_dir):
+    """Weights that are probabilities are multiplied by the number of rows."""
+    rows = table(spark, sf_dir, "supplier")
+    n = rows.agg(F.count(F.lit(1)).alias("_n"))
+    weighed = marginals.rescaled_weights(rows.crossJoin(F.broadcast(n)).select((F.lit(0.25) / F.col("_n")).alias("weight")))
+    return weighed.agg(F.round(F.sum("weight"), 6).alias("total"))
+
+
+@query(f"{FG}, a AS (SELECT range AS k FROM range(3)) SELECT a.k AS rf_answer, ls, sum(f.v * g.v) AS value FROM f JOIN g USING (rf) JOIN a ON rf <= a.k GROUP BY a.k, ls")
+def model_kron_query(spark, sf_dir):
+    """Prefix sums over one attribute, answered on a product of factors."""
+    f, g = counted(spark, sf_dir, "dc", "rf"), counted(spark, sf_dir, "rf", "ls")
+    got = factor.kron_answer([f, g], [("rf", [[1.0, 0, 0], [1.0, 1, 0], [1.0, 1, 1]])], ["dc", "rf"])
+    return got.rows.select(F.col("rf_answer").cast("long").alias("rf_answer"), "ls", "value")
+
+
+@query("SELECT a.range AS row, b.range AS cell, CAST(6 - greatest(a.range, b.range) AS DOUBLE) AS coef FROM range(6) a, range(6) b")
+def gram_matrix(spark, sf_dir):
+    """The Gram matrix of prefix sums."""
+    return linear.prefix(6).gram().coo(spark).select(F.col("row").cast("long").alias("row"), F.col("cell").cast("long").alias("cell"), "coef")
+
+
+@query(f"SELECT g_a.a, g_b.b, CAST(g_a.a * 3 + g_b.b AS BIGINT) AS cell, g_b.b < 2 AS kept FROM {grid_sql(('a', 4), ('b', 3))}")
+def grid_without_merged(spark, sf_dir):
+    """Which cells touch no merged code."""
+    return discretize.Embedding(Domain(("a", "b"), (4, 9)), {"b": [1, 5]}).without_merged(spark, ("a", "b"))
+
+
+@query(f"""WITH e AS (SELECT date_trunc('day', ts) AS start, CASE event_type {' '.join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(EVENT_TYPES))} END AS et, CAST(hour(ts) AS INT) AS hr FROM events)
+  SELECT CAST(epoch(start) AS BIGINT) AS start, 0 AS clique_id, CAST(et AS BIGINT) AS cell, CAST(count(*) AS DOUBLE) AS value FROM e GROUP BY start, et
+  UNION ALL SELECT CAST(epoch(start) AS BIGINT), 1, CAST(et * 24 + hr AS BIGINT), CAST(count(*) AS DOUBLE) FROM e GROUP BY start, et, hr""")
+def windowed_event_marginals(spark, sf_dir):
+    """The streaming plan over a table: marginals of each day."""
+    from marginalia.streaming.marginals import windowed_marginals
+
+    rows = table(spark, sf_dir, "events").select("ts", code(EVENT_TYPES, "event_type").alias("et"), F.hour("ts").alias("hr"))
+    got = windowed_marginals(rows, EVENTS.project(("et", "hr")), [("et",), ("et", "hr")], "ts", "1 day")
+    return got.select(F.unix_timestamp("start").alias("start"), "clique_id", "cell", "value")
+
+
+@query(f"WITH s AS ({_eval_sql(LINEITEM, 'sum(abs(g)) AS l1, sqrt(sum(g * g)) AS l2')}) SELECT round(avg(l1), 7) AS l1_avg, round(max(l1), 7) AS l1_max, round(avg(l2), 7) AS l2_avg, round(max(l2), 7) AS l2_max FROM s")
+def evaluation_summary(spark, sf_dir):
+    """V03, T07."""
+    gaps = evaluate.marginal_gaps(*parity_rows(spark, sf_dir), LINEITEM, all_kway(LINEITEM, 2))
+    return gaps.agg(*(F.round(f(m), 7).alias(f"{m}_{n}") for m in ("l1", "l2") for n, f in (("avg", F.avg), ("max", F.max))))
+
+
+@query()
+def train_test_split(spark, sf_dir):
+    """Rows of the test part; the split depends on the key alone."""
+    from marginalia.sources.tables import split
+
+    return split(table(spark, sf_dir, "customer"), ["c_custkey"])[1]
+
+
+@query()
+def table_coding(spark, sf_dir):
+    """A whole table coded at once."""
+    df = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_size", "p_retailprice")
+    return discretize.Coder.fit(df, 16).forward(df)
