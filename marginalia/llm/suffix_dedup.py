@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import mapped, materialise, ship, text_or_empty, texts, with_columns
+from marginalia.llm.common import mapped, materialise, ship, text_or_empty, texts, trim, with_columns
 
 GRAM = 32  # bytes of an anchor's gram; a power of two
 SECTION = 1 << 20  # starts judged at once
 LONGEST = 4096  # starts of an interval; a longer one is cut
-CHUNK = 2_000_000  # bytes that one suffix array covers, or one group
+CHUNK = 1_000_000  # bytes that one suffix array covers, or one group
 INDEX = np.uint64((1 << 21) - 1)
 _TABLE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -102,26 +102,38 @@ def joined(batch: pa.RecordBatch) -> tuple[bytes, np.ndarray, np.ndarray]:
     return b"".join(parts), ends - [len(x) for x in parts], ends
 
 
-def two_stage_suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
+def two_stage_suffix_array(s: np.ndarray, depth: int, asked: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The suffixes of ``s`` (uint8) in order of their first ``depth`` bytes (at least).
 
     Suffixes smaller than their successor are sorted directly, eight bytes at a time; a scan over the buckets of
     first bytes, in order, places each other suffix at the head of its bucket when its successor is met.
+
+    ``asked``: first and end of ranges of suffixes that are wanted. Then only these are ordered, and those after each
+    range up to the next directly sorted one, from which the range's last suffixes are induced.
     """
     n = len(s)
     if n == 0:
         return np.empty(0, np.int64)
-    change = np.flatnonzero(s[:-1] != s[1:])
-    following = np.searchsorted(change, np.arange(n))
+    differs = s[:-1] != s[1:]
+    change = np.flatnonzero(differs)
+    following = np.append(0, np.cumsum(differs))  # how many changes come before each place
     smaller = np.zeros(n, bool)
     known = following < len(change)
     where = change[following[known]]
     smaller[known] = s[where] < s[where + 1]
 
+    needed = np.ones(n, bool)
+    if asked is not None:
+        direct = np.append(np.flatnonzero(smaller), n - 1)
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, asked[0], 1)
+        np.add.at(edge, direct[np.minimum(np.searchsorted(direct, asked[1]), len(direct) - 1)] + 1, -1)
+        needed = np.cumsum(edge)[:-1] > 0
+
     words = eight_bytes(s)
-    idx = np.flatnonzero(smaller)
+    idx = np.flatnonzero(smaller & needed)
     group = np.zeros(len(idx), np.int64)
-    done, out = [], np.empty(len(idx), np.int64)
+    out = np.empty(len(idx), np.int64)
     slot = np.arange(len(idx))
     for d in range(0, depth, 8):
         if not len(idx):
@@ -136,12 +148,11 @@ def two_stage_suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
         out[slot[alone]] = idx[alone]
         idx, group, slot = idx[~alone], group[~alone], slot[~alone]
     out[slot] = idx
-    del done
 
-    count = np.bincount(s, minlength=256)
+    count = np.bincount(s[needed], minlength=256)
     begin = np.cumsum(count) - count
     sorted_count = np.bincount(s[out], minlength=256)
-    sa = np.empty(n, np.int64)
+    sa = np.empty(int(needed.sum()), np.int64)
     at = np.cumsum(sorted_count) - sorted_count
     for c in np.flatnonzero(sorted_count):
         sa[begin[c] + count[c] - sorted_count[c] : begin[c] + count[c]] = out[at[c] : at[c] + sorted_count[c]]
@@ -150,7 +161,7 @@ def two_stage_suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     def induce(scanned: np.ndarray, c: int) -> np.ndarray:
         """Place the larger predecessors of ``scanned``; returns those that fell into bucket ``c`` itself."""
         before = scanned[scanned > 0] - 1
-        before = before[~smaller[before]]
+        before = before[~smaller[before] & needed[before]]
         first = s[before]
         own = before[first == c]
         sa[head[c] : head[c] + len(own)] = own
@@ -165,9 +176,9 @@ def two_stage_suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
             head[k] += m
         return own
 
-    last = int(s[-1])
-    sa[head[last]] = n - 1
-    head[last] += 1
+    if needed[-1]:  # its successor is the empty suffix, the smallest
+        sa[head[s[-1]]] = n - 1
+        head[s[-1]] += 1
     for c in np.flatnonzero(count).tolist():
         front = sa[begin[c] : head[c]].copy()
         while len(front):
@@ -185,9 +196,9 @@ def eight_bytes(s: np.ndarray) -> np.ndarray:
     return x
 
 
-def repeated_starts(s: np.ndarray, length: int) -> np.ndarray:
-    """Which places of ``s`` begin a ``length``-byte string that begins elsewhere in ``s`` too (zeros fill the end)."""
-    sa = two_stage_suffix_array(s, length)
+def repeated_starts(s: np.ndarray, length: int, asked: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Which (asked) places of ``s`` begin a ``length``-byte string that begins at another too (zeros fill the end)."""
+    sa = two_stage_suffix_array(s, length, asked)
     hit = np.zeros(len(s), bool)
     if len(sa) < 2:
         return hit
@@ -215,7 +226,8 @@ def judge(contexts: list[tuple[bytes, int]], length: int) -> list[list[tuple[int
         s[at : at + len(c)] = np.frombuffer(c, np.uint8) + 1  # UTF-8 has no byte 255, so 0 can separate
         where.append(at)
         at += len(c) + 1
-    hit = repeated_starts(s, length)
+    first = np.array(where)
+    hit = repeated_starts(s, length, (first, first + [m for _, m in contexts]))
     return [runs_of(hit[i : i + m]) for i, (_, m) in zip(where, contexts, strict=True)]
 
 
@@ -309,6 +321,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 16384) -> Data
                 last = key
         if held:
             yield flush()
+        trim()
 
     single = contexts.mapInArrow(judged, f"doc_id {id_type}, th long, a long, b long")
     return whole.unionByName(single)
