@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import LOWER_BYTES, mapped, materialise, mix64, ship, text_or_empty, texts, with_columns
+from marginalia.llm.common import LOWER_BYTES, mapped, materialise, mix64, ship, text_or_empty, texts, trim, with_columns
 
 BANDS, ROWS = 32, 4
 SHIFTS = BANDS * ROWS
@@ -47,7 +47,7 @@ def word_cache() -> dict[bytes, int]:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     cache = word_cache()
-    if len(cache) > 300_000:
+    if len(cache) > 200_000:
         cache.clear()
     try:
         return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
@@ -209,6 +209,7 @@ def hub_links(units: DataFrame, held: DataFrame, k: int, percent: int) -> DataFr
         if others:
             finish()
         yield pairs_batch(links)
+        trim()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -244,6 +245,8 @@ def straggler_links(units: DataFrame, belongs: DataFrame, held: DataFrame, k: in
                     held_nodes.append(node)
                     held_sets.append(s)
                     continue
+                if not held_nodes:
+                    continue  # no straggler fell into this block
                 if index is None:
                     index = Postings(held_nodes, held_sets)
                 links.extend((x, node) for x in index.linked(s, percent) if of[x] != component and joined.join(of[x], component))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -57,6 +59,13 @@ def pieces(batch: pa.RecordBatch, column: str = "text", chars: int = PIECE_CHARS
     yield batch.slice(begin, n - begin)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker stays for later tasks, also of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, spec, schema: str) -> DataFrame:
     """``mapInArrow`` over pieces of bounded size; ``spec(batch) -> RecordBatch | None``."""
     ship(df.sparkSession)
@@ -67,6 +76,7 @@ def mapped(df: DataFrame, spec, schema: str) -> DataFrame:
                 out = spec(p)
                 if out is not None:
                     yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 
