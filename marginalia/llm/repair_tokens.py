@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialise, pieces, ship, text_or_empty, texts
+from marginalia.llm.common import materialise, pieces, ship, text_or_empty, texts, trim
 
 MAGIC = b"RPG1"
 RULES = 4096  # of a block at most
@@ -43,7 +43,7 @@ LEAST = 16  # occurrences for a rule
 #: Control characters, and white space other than blanks and line ends in any reading of it.
 ODD_SPACE = re.compile("[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 FIRST = "\x01"
-POOL = 1_000_000  # words
+POOL = 800_000  # words
 
 
 @lru_cache(maxsize=2)
@@ -78,7 +78,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.path = path
         self.words = pa.array([], pa.large_string())  # FIRST marks a word that no blank precedes
-        self.ids, self.size, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.size, self.used = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def shrink(self) -> None:
         """Keep the words that more than one batch has used (at most half a pool of them)."""
@@ -87,13 +87,16 @@ class Encoder:
             keep = np.zeros(len(self.used), bool)
             keep[np.argpartition(-self.used, POOL // 2)[: POOL // 2]] = True
         self.words, self.ids = self.words.filter(pa.array(keep)), self.ids[np.repeat(keep, self.size)]
-        self.size, self.used = self.size[keep], np.ones(int(keep.sum()), np.int64)
+        self.size, self.used = self.size[keep], np.ones(int(keep.sum()), np.int32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, words: list[str]) -> None:
-        """Add words to the pool, many in one call of the library; where each ends follows from the bytes of its ids."""
+    def learn(self, words: list[str]) -> list[int]:
+        """Add words to the pool, many in one call of the library; where each ends follows from the bytes of its ids.
+
+        Returns the places of ``words`` in the pool.
+        """
         width, ids, sizes, names = id_widths(self.path), [], [], []
         first = [w for w in words if w[:1] == FIRST and len(w) > 1]
         plain = [w for w in words if w[:1] != FIRST and w != "\n"]
@@ -118,9 +121,11 @@ class Encoder:
                 ids.append(self.whole(w.replace(FIRST, "")))
                 sizes.append(np.array([len(ids[-1])]))
                 names.append(w)
+        place = dict(zip(names, range(len(self.size), len(self.size) + len(names)), strict=True))
         self.words = pa.concat_arrays([self.words, pa.array(names, pa.large_string())])
-        self.ids, self.size = np.concatenate([self.ids, *ids]), np.concatenate([self.size, *sizes])
-        self.used = np.append(self.used, np.zeros(len(names), np.int64))
+        self.ids, self.size = np.concatenate([self.ids, *ids]), np.concatenate([self.size, *sizes]).astype(np.int32)
+        self.used = np.append(self.used, np.zeros(len(names), np.int32))
+        return [place[w] for w in words]
 
     def encode(self, many: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -139,15 +144,17 @@ class Encoder:
         if len(self.words) > POOL:
             self.shrink()
         at = pc.index_in(coded.dictionary, value_set=self.words)
-        if at.null_count:
-            self.learn(coded.dictionary.filter(at.is_null()).to_pylist())
-            at = pc.index_in(coded.dictionary, value_set=self.words)
-        at = at.to_numpy(zero_copy_only=False)
+        new = at.is_null()
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        if (at < 0).any():
+            at[at < 0] = self.learn(coded.dictionary.filter(new).to_pylist())
         self.used[at] += 1
-        start, of = np.cumsum(self.size) - self.size, at[coded.indices.to_numpy()]
+        start, of = (np.cumsum(self.size) - self.size).astype(np.int32), at[coded.indices.to_numpy()]
         size = self.size[of]
         upto = np.append(0, np.cumsum(size))
-        ids = self.ids[np.repeat(start[of] - upto[:-1], size) + np.arange(upto[-1])]
+        ids = np.repeat(start[of] - upto[:-1].astype(np.int32), size)  # a pool and a batch both have less than 2**31 ids
+        ids += np.arange(upto[-1], dtype=np.int32)
+        ids = self.ids[ids]
         edge = upto[split.offsets.to_numpy()]
         for k, i in enumerate(plain):
             out[i] = ids[edge[k] : edge[k + 1]]
@@ -258,20 +265,24 @@ class Block:
         self.rules, self.lengths = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
         self.starts, self.sizes, self.symbols = take("<u8", docs).astype(np.int64), take("<u8", docs).astype(np.int64), take(f"<u{width}", symbols)
 
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All expansions in one array, and where each symbol's begins and how long it is."""
+        out: list[list[int]] = []
+        for a, b in self.rules.tolist():
+            out.append((out[a - self.first_rule] if a >= self.first_rule else [a]) + (out[b - self.first_rule] if b >= self.first_rule else [b]))
+        flat = np.concatenate([np.arange(self.first_rule, dtype=np.uint32), *(np.array(x, np.uint32) for x in out)])
+        size = np.concatenate([np.ones(self.first_rule, np.int32), self.lengths.astype(np.int32)])
+        return flat, (np.cumsum(size) - size).astype(np.int32), size
+
     def expand(self, x: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for."""
-        x = x.astype(np.uint32)
-        while len(at := np.flatnonzero(x >= self.first_rule)):
-            twice = np.ones(len(x), np.int64)
-            twice[at] = 2
-            place = np.cumsum(twice) - twice
-            out = np.empty(int(twice.sum()), np.uint32)
-            plain = twice == 1
-            out[place[plain]] = x[plain]
-            pair = self.rules[x[at] - self.first_rule]
-            out[place[at]], out[place[at] + 1] = pair[:, 0], pair[:, 1]
-            x = out
-        return x
+        flat, start, size = self.table
+        n = size[x]
+        upto = np.cumsum(n)
+        at = np.repeat(start[x] - (upto - n), n)
+        at += np.arange(len(at))
+        return flat[at]
 
     def document(self, k: int) -> np.ndarray:
         end = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.symbols)
@@ -312,7 +323,7 @@ def blocks(df: DataFrame, path: str, end_id: int, first_rule: int, block_tokens:
             arrays = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.int64()), pa.array([pack(docs, first_rule)], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "doc_ids", "n_tokens", "payload"])
 
-        for b in (p for batch in batches for p in pieces(batch, chars=16_000_000)):
+        for b in (p for batch in batches for p in pieces(batch, chars=8_000_000)):
             id_type = b.schema.field("doc_id").type
             for doc_id, data in zip(b.column("doc_id").to_pylist(), encoder(path).encode([t.decode() for t in texts(b)]), strict=True):
                 x = np.append(data, end)
@@ -324,6 +335,7 @@ def blocks(df: DataFrame, path: str, end_id: int, first_rule: int, block_tokens:
                 held += len(x)
         if docs:
             yield flush()
+        trim()
 
     return ranged.mapInArrow(run, f"shard int, block int, doc_ids array<{kind}>, n_tokens long, payload binary")
 
@@ -346,16 +358,16 @@ def read_tokens(table: DataFrame) -> DataFrame:
     within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")
     starts = table.select("shard", "block", "n_tokens").withColumn("in_shard", within).join(at, "shard")
     starts = starts.select("shard", "block", (F.col("shard_start") + F.col("in_shard")).alias("start"))
-    opened = table.select("shard", "block", "doc_ids", "payload").join(starts, ["shard", "block"])
 
     def run(batches):
         for b in batches:
-            for ids, payload, start in zip(b.column("doc_ids"), b.column("payload"), b.column("start").to_pylist(), strict=True):
-                block = Block(payload.as_py())
-                n = block.sizes
-                x, end = memoryview(block.expand(block.symbols).astype("<u4").tobytes()), np.append(0, 4 * np.cumsum(n)).tolist()
+            for shard, block, ids, payload in zip(b.column("shard").to_pylist(), b.column("block").to_pylist(), b.column("doc_ids"), b.column("payload"), strict=True):
+                opened = Block(payload.as_py())
+                n = opened.sizes
+                x, end = memoryview(opened.expand(opened.symbols).astype("<u4").tobytes()), np.append(0, 4 * np.cumsum(n)).tolist()
                 crc = [zlib.crc32(x[i:j]) for i, j in zip(end, end[1:], strict=False)]
-                arrays = [ids.values, pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                at = [pa.array(np.full(len(n), v, np.int32)) for v in (shard, block)]
+                yield pa.RecordBatch.from_arrays([*at, ids.values, pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], names=["shard", "block", "doc_id", "in_block", "n_tokens", "ids_crc32"])
 
-    return opened.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    read = table.select("shard", "block", "doc_ids", "payload").mapInArrow(run, f"shard int, block int, doc_id {kind}, in_block long, n_tokens long, ids_crc32 long")
+    return read.join(starts, ["shard", "block"]).select("doc_id", (F.col("start") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32")
