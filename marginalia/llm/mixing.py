@@ -6,8 +6,8 @@ epochs of all its documents, then by the documents whose keys come first, up to
 at which the sum of sizes comes nearest to what is left.
 
 A source may hold a third of all rows, so it is never sorted in one task: keys are cut into
-slices of bounded expected size; sums by slice give the slice in which the budget ends, and
-only the rows of that slice are sorted. Targets are computed over one row per source.
+slices (about as many as a slice has rows); sums by slice give the slice in which the budget
+ends, and only the rows of that slice are sorted. Targets are computed over one row per source.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its
 own, last in order; rows with equal id and text have equal keys and are taken together; a
@@ -24,7 +24,8 @@ from marginalia.llm.common import materialise
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times that a document may be taken
-SLICE_ROWS = 20_000
+SENT_SOURCES = 10_000  # more are joined without a broadcast
+SLICE_ROWS = 2_000  # or the square root of a source's rows, so that slices and rows of a slice grow alike
 LEAST_WEIGHT = 0.5  # documents' quality weights are held between this and its fourfold
 
 
@@ -66,21 +67,29 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return weighed.select("source", "source_size", "rows", target.alias("target"))
 
 
-def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def few_sources(sized: DataFrame) -> bool:
+    """Whether a table with a row per source is small enough to be broadcast: its size is checked, not assumed."""
+    names = sized.groupBy("source").agg(F.lit(1).alias("one")).limit(SENT_SOURCES + 1)
+    found = names.agg(F.count("one").alias("n"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0)).alias("bytes")).first()
+    return found["n"] <= SENT_SOURCES and found["bytes"] <= 100 * SENT_SOURCES
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slice_rows: int = SLICE_ROWS, few: bool = False) -> DataFrame:
     """A row per source of ``sized`` (source, size, key): its target, epochs, and where the last, partial epoch ends."""
+    send = F.broadcast if few else lambda df: df
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = targets(sizes, weights, most).withColumn("epochs", F.least(whole, F.lit(most)))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    goal = goal.withColumn("slices", F.greatest(F.ceil(F.col("rows") / slice_rows), F.lit(1)).cast("long"))
+    goal = goal.withColumn("slices", F.ceil(F.col("rows") / F.greatest(F.lit(float(slice_rows)), F.sqrt("rows"))).cast("long"))
     goal = goal.withColumnRenamed("source", "of")
     here = F.col("source").eqNullSafe(F.col("of"))
-    cut = sized.join(goal.select("of", "slices"), here).select("source", "size", "key", slice_of(F.col("key"), F.col("slices")).alias("slice"))
+    cut = sized.join(send(goal.select("of", "slices")), here).select("source", "size", "key", slice_of(F.col("key"), F.col("slices")).alias("slice"))
     sums = cut.groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))
     upto = F.sum("in_slice").over(Window.partitionBy("source").orderBy("slice"))
-    ends = sums.withColumn("upto", upto).join(goal.select("of", "rest"), here).filter("rest > 0 and upto >= rest and upto - in_slice < rest")
+    ends = sums.withColumn("upto", upto).join(send(goal.select("of", "rest")), here).filter("rest > 0 and upto >= rest and upto - in_slice < rest")
     ends = ends.select(F.col("source").alias("end_of"), F.col("slice").alias("end"), (F.col("upto") - F.col("in_slice")).alias("earlier"), "rest")
-    inside = cut.join(ends, F.col("source").eqNullSafe(F.col("end_of")) & (F.col("slice") == F.col("end")))
+    inside = cut.join(send(ends), F.col("source").eqNullSafe(F.col("end_of")) & (F.col("slice") == F.col("end")))
     groups = inside.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("earlier").alias("earlier"), F.first("rest").alias("rest"))
     through = F.col("earlier") + F.sum("size").over(Window.partitionBy("source").orderBy("key"))
     near = groups.withColumn("through", through).filter(2 * F.col("through") - F.col("size") <= 2 * F.col("rest"))
@@ -110,8 +119,9 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, weights: tuple[int, ..
     drawn = weighed(docs, labels, [F.col("doc_id").alias("_id"), "source", size_of().alias("size"), key_of(F.lit(1.0)).alias("_key")])
     # dividing by the weight of 1 first and by the true one now gives the same key
     sized = materialise(drawn.select(F.col("_id").alias("doc_id"), "source", "size", (F.col("_key") / F.col("weight")).alias("key")), "mix-sizes")
-    goal = plan(sized, weights, most, slice_rows).withColumnRenamed("source", "of")
-    return sized.join(goal, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("key"))).cast("long").alias("taken"))
+    few = few_sources(sized)
+    goal = plan(sized, weights, most, slice_rows, few).withColumnRenamed("source", "of")
+    return sized.join(F.broadcast(goal) if few else goal, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("key"))).cast("long").alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, labels: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -119,8 +129,10 @@ def mixed_rows(docs: DataFrame, labels: DataFrame | None = None, weights: tuple[
     row = [F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id")]
     key = (F.col("_key") / F.col("weight")).alias("key")
     narrow = weighed(docs, labels, [F.col("doc_id").alias("_id"), "source", size_of().alias("size"), key_of(F.lit(1.0)).alias("_key")])
-    goal = materialise(plan(materialise(narrow.select("source", "size", key), "mix-sizes"), weights, most, slice_rows), "mix-plan").withColumnRenamed("source", "of")
+    sized = materialise(narrow.select("source", "size", key), "mix-sizes")
+    few = few_sources(sized)
+    goal = materialise(plan(sized, weights, most, slice_rows, few), "mix-plan").withColumnRenamed("source", "of")
     rows = weighed(docs, labels, [*row, F.col("source"), key_of(F.lit(1.0)).alias("_key")]).select("_row", "source", key)
-    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("of"))).select("_row", times(F.col("key")).cast("int").alias("n"))
+    rows = rows.join(F.broadcast(goal) if few else goal, F.col("source").eqNullSafe(F.col("of"))).select("_row", times(F.col("key")).cast("int").alias("n"))
     rows = rows.filter("n > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

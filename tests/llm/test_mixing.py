@@ -48,8 +48,9 @@ def sample(prose):
     return rows
 
 
-@pytest.mark.parametrize("slice_rows", [20_000, 7, 1])
-def test_against_brute_force(spark, frame, prose, slice_rows):
+@pytest.mark.parametrize("slice_rows,sent", [(2000, 10_000), (7, 10_000), (1, 10_000), (7, 2)])
+def test_against_brute_force(spark, frame, prose, monkeypatch, slice_rows, sent):
+    monkeypatch.setattr(M, "SENT_SOURCES", sent)
     rows = sample(prose)
     labels = spark.createDataFrame([(i, i % 2 if i % 5 else None, 0) for i in range(0, 300, 3)] + [(None, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
     quality = {i: (i % 2 if i % 5 else None) for i in range(0, 300, 3)}
