@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from marginalia.llm.common import mapped, texts, with_columns
 
 MIN_TOKENS = 30
-#: Per script: least and most characters per token, most byte-fallback share, least entropy in bits of long texts.
+#: Per script: least and most characters per token, most byte-fallback share, and the least entropy in bits of texts
+#: that have so many tokens or more. Running prose reaches its vocabulary's entropy within some hundred tokens.
 BANDS = {
-    "latin": (1.15, 8.0, 0.20, 3.0),
-    "cyrillic": (1.05, 8.0, 0.25, 3.0),
-    "greek": (0.70, 6.0, 0.60, 3.0),
-    "cjk": (0.30, 4.0, 0.95, 3.0),
-    "other": (0.25, 8.0, 1.00, 2.5),
+    "latin": (1.0, 8.0, 0.20, ((30, 2.2), (120, 5.0), (250, 5.6), (500, 5.8))),
+    "cyrillic": (0.9, 8.0, 0.25, ((30, 2.2), (120, 4.5), (500, 5.2))),
+    "greek": (0.70, 6.0, 0.60, ((30, 2.2), (120, 4.0))),
+    "cjk": (0.30, 4.0, 0.95, ((30, 2.2), (120, 4.0))),
+    "other": (0.25, 8.0, 1.00, ((30, 2.0),)),
 }
 #: First and last code point of the ranges that name a script.
 RANGES = {
@@ -42,7 +43,7 @@ RANGES = {
     "cjk": ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF), (0x20000, 0x2FA1F)),
 }
 SYMBOLS = b"#*$%&|<>"
-CACHED = 200_000
+CACHED = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -53,6 +54,12 @@ def vocabulary(path: str):
     return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
 
+@lru_cache(maxsize=2)
+def known_words(path: str) -> dict[bytes, bytes]:
+    """Token ids (uint16) of words met before; a Python worker keeps them for its later tasks."""
+    return {}
+
+
 def script_of(text: str) -> str:
     """The script with most letters of a text; ``other`` where none has any."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -82,17 +89,18 @@ def base_counts(data: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
 
 
 def verdict(script: str, n_tokens: int, chars_per_token: float, byte_share: float, entropy: float, bands=BANDS, min_tokens: int = MIN_TOKENS) -> bool:
-    """Whether the figures lie in the bands of the script. Entropy is bounded by log2 of the tokens, so short texts need less."""
-    low, high, most_bytes, least_entropy = bands[script]
-    return n_tokens < min_tokens or (low <= chars_per_token <= high and byte_share <= most_bytes and entropy >= min(least_entropy, 0.5 * np.log2(n_tokens)))
+    """Whether the figures lie in the bands of the script. Entropy grows with a text, so its limit does too."""
+    low, high, most_bytes, floors = bands[script]
+    least_entropy = max((e for n, e in floors if n <= n_tokens), default=0.0)
+    return n_tokens < min_tokens or (low <= chars_per_token <= high and byte_share <= most_bytes and entropy >= least_entropy)
 
 
 def measure(df: DataFrame, keep: list[str], model_path: str, bands: dict = BANDS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Columns ``keep`` of ``df`` with the base counts, the three figures, script, base_failed and kept."""
     df = df.select(*keep, "text")
-    cache: dict[bytes, bytes] = {}
 
     def cut(words: set[bytes]) -> None:
+        cache = known_words(model_path)
         if len(cache) > CACHED:
             cache.clear()
         new = [w for w in words if w not in cache]
@@ -102,7 +110,7 @@ def measure(df: DataFrame, keep: list[str], model_path: str, bands: dict = BANDS
     def spec(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for data in texts(batch):
-            words = data.split()
+            words, cache = data.split(), known_words(model_path)
             for a in range(0, len(words), CACHED):  # so that the cache stays bounded in the longest text too
                 cut(set(words[a : a + CACHED]))
             tokens = np.frombuffer(b"".join([cache.get(w) or whole(w) for w in words]), np.uint16)
@@ -122,7 +130,7 @@ def measure(df: DataFrame, keep: list[str], model_path: str, bands: dict = BANDS
         return with_columns(batch, {k: pa.array(c, t) for k, c, t in zip(names, zip(*rows, strict=True), kinds, strict=True)}, drop=("text",))
 
     def whole(word: bytes) -> bytes:
-        return cache.get(word) or np.array(vocabulary(model_path)[0].encode(word.decode()), np.uint16).tobytes()
+        return np.array(vocabulary(model_path)[0].encode(word.decode()), np.uint16).tobytes()
 
     given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text")
     counts = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))

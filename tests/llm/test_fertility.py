@@ -37,7 +37,7 @@ def test_words_alone_give_the_tokens_of_the_text(prose):
 
 def test_bands(prose):
     assert Fe.verdict("latin", 100, 2.5, 0.0, 6.0)
-    assert not Fe.verdict("latin", 100, 0.5, 0.0, 6.0)
+    assert not Fe.verdict("latin", 100, 0.5, 0.0, 6.0) and not Fe.verdict("latin", 600, 2.5, 0.0, 5.5)
     assert not Fe.verdict("latin", 100, 2.5, 0.9, 6.0)
     assert not Fe.verdict("latin", 100, 2.5, 0.0, 0.5)
     assert Fe.verdict("latin", 5, 0.1, 1.0, 0.0)
