@@ -16,7 +16,7 @@ from marginalia.plans.schema import all_kway
 from marginalia.sources.tables import Dataset, append_result, write_synthetic
 
 #: Presets of mechanism and engine.
-PRESETS = {"privpgd": ("kway", "particles"), "aim": ("aim", "graphical"), "mst": ("mst", "graphical")}
+PRESETS = {"particles": ("kway", "particles"), "aim": ("aim", "graphical"), "mst": ("mst", "graphical")}
 
 
 def parser() -> argparse.ArgumentParser:

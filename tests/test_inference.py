@@ -331,5 +331,5 @@ def test_command_line(spark, data, tmp_path):
     assert row["mechanism"] == "mst" and row["l1_avg"] < 1 and spark.read.csv(f"{at}/out", header=True).count() == 500 and spark.read.parquet(f"{at}/log").count() == 1
     with pytest.raises(ValueError):
         cli.make(cli.parser().parse_args(["--data", "x", "--domain", "y", "--mechanism", "aim", "--engine", "particles"]), DOM)
-    assert cli.make(cli.parser().parse_args(["--data", "x", "--domain", "y", "--preset", "privpgd"]), DOM)[1].n_particles == 100_000
+    assert cli.make(cli.parser().parse_args(["--data", "x", "--domain", "y", "--preset", "particles"]), DOM)[1].n_particles == 100_000
     assert all(len(p) == 2 for p in cli.PRESETS.values()) and len(list(product(range(2), repeat=2))) == 4
