@@ -323,7 +323,7 @@ def blocks(df: DataFrame, path: str, end_id: int, first_rule: int, block_tokens:
             arrays = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.int64()), pa.array([pack(docs, first_rule)], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "doc_ids", "n_tokens", "payload"])
 
-        for b in (p for batch in batches for p in pieces(batch, chars=8_000_000)):
+        for b in (p for batch in batches for p in pieces(batch, chars=12_000_000)):
             id_type = b.schema.field("doc_id").type
             for doc_id, data in zip(b.column("doc_id").to_pylist(), encoder(path).encode([t.decode() for t in texts(b)]), strict=True):
                 x = np.append(data, end)

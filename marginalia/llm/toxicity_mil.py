@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import mapped, texts, with_columns
+from marginalia.llm.common import mapped, texts, trim, with_columns
 from marginalia.llm.quality_gam import held_out, labelled_sample
 
 #: A-Z to a-z; . ! ? and line ends to byte 1; other ASCII but letters, digits and ' to blanks. Lengths stay.
@@ -144,7 +144,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 2_500, **op
         bags += own
         y += [label] * len(own)
         weight += [shares.get(label, 0) / max(1, len(own))] * len(own)
-    return train(bags, np.array(y, np.float64), np.array(weight, np.float64), **options)
+    model = train(bags, np.array(y, np.float64), np.array(weight, np.float64), **options)
+    del bags, known
+    trim()
+    return model
 
 
 def score_toxicity(df: DataFrame, model: MilModel, keep: list[str], at_least: float = 0.5) -> DataFrame:
@@ -170,7 +173,14 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7
 
 
 def reject_toxic(docs: DataFrame, model: MilModel, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below ``threshold``."""
-    row = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    kept = score_toxicity(row, model, ["_row"]).filter(F.col("score") < threshold)
-    return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+    """The rows of ``docs``, all columns, that score below ``threshold``. Their texts travel once."""
+    rest = [c for c in docs.columns if c != "text"]
+    row = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), "text")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    cache: dict[bytes, float] = {}
+
+    def spec(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([sent.value.score(t, cache)[0] < threshold for t in texts(batch)], pa.bool_()))
+
+    kept = mapped(row, spec, f"_row {row.schema['_row'].dataType.simpleString()}, text string")
+    return kept.select(*(F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))
