@@ -279,8 +279,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(df: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, th, n_shingles, component_id and kept of each row of ``df`` (doc_id, text)."""
+def with_components(df: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, th, n_shingles, component, component_id and kept of each row of ``df`` (doc_id, text).
+
+    ``component`` is a node, null for the empty set: other than ``component_id``, it tells components apart that null
+    or repeated ids have in common.
+    """
     docs = df.select("doc_id", text_or_empty(df).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     rows = materialise(sketch(docs, shingle), "sketches")
     full = rows.filter("n > 0")
@@ -305,17 +309,22 @@ def near_duplicates(df: DataFrame, shingle: int = 4, percent: int = 80) -> DataF
     final = components(links.unionByName(more))
     final = nodes.select("node", "h1", "h2", "first_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = final.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    named = final.join(least, "component").select("h1", "h2", "least_id")
+    named = final.join(least, "component").select("h1", "h2", "component", "least_id")
     joined = rows.select("doc_id", "th", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     id_ = F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "th", F.col("n").alias("n_shingles"), id_.alias("component_id"), F.col("doc_id").eqNullSafe(id_).alias("kept"))
+    return joined.select("doc_id", "th", F.col("n").alias("n_shingles"), "component", id_.alias("component_id"), F.col("doc_id").eqNullSafe(id_).alias("kept"))
+
+
+def near_duplicates(df: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
+    """doc_id, th, n_shingles, component_id and kept of each row of ``df`` (doc_id, text)."""
+    return with_components(df, shingle, percent).drop("component")
 
 
 def keep_one(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """All columns of ``df``, one row of each component: that of the smallest id."""
-    kept = near_duplicates(df, shingle, percent).filter("kept")
+    kept = with_components(df, shingle, percent).filter("kept")
     # rows of one id in one component count once; rows without words are each their own component
-    ids = kept.filter("n_shingles > 0").groupBy("component_id").agg(F.min("th").alias("k2")).select(F.col("component_id").alias("k1"), "k2", F.lit(True).alias("full"))
+    ids = kept.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("at")).select(F.col("at.doc_id").alias("k1"), F.col("at.th").alias("k2"), F.lit(True).alias("full"))
     ids = ids.unionByName(kept.filter("n_shingles = 0").select(F.col("doc_id").alias("k1"), F.col("th").alias("k2"), F.lit(False).alias("full")).distinct())
     rows = df.withColumn("_row", F.struct(*df.columns)).select("_row", F.col("doc_id").alias("_id"), F.xxhash64(text_or_empty(df)).alias("_th"))
     rows = rows.join(ids, F.col("_id").eqNullSafe(F.col("k1")) & (F.col("_th") == F.col("k2")))

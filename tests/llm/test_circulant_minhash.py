@@ -98,3 +98,10 @@ def test_keep_one(frame, prose, odd_rows):
     want = {str(d) for d, _, _, kept in brute(rows, 5) if kept}
     assert {str(i) for i in ids} == want and ids.count(5) == 1
     assert C.keep_one(frame([])).count() == 0 and C.near_duplicates(frame([])).count() == 0
+
+
+def test_keep_one_tells_unlinked_texts_of_one_id_apart(frame, prose):
+    a, b, c, d = (prose(i, 60) for i in (61, 62, 63, 64))
+    rows = [(None, a), (None, b), (None, b + " more"), (7, c), (7, d), (7, d + " more"), (8, c + " more"), (9, a)]
+    got = sorted((r["doc_id"] or 0, r["text"][:40]) for r in C.keep_one(frame(rows)).collect())
+    assert got == sorted([(9, a[:40]), (0, b[:40]), (7, c[:40]), (7, d[:40])])
