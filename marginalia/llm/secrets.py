@@ -32,8 +32,9 @@ ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
 #: Any text with an ``assign`` match has this; it is far cheaper to look for.
 ASSIGN_HINT = re.compile("[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}")
+#: The word may end a longer name (``DB_PASSWORD``, ``client_secret``), and ``key`` may have words before it.
 CONTEXT = re.compile(
-    r"\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|authorization|(?:api|access|private|secret)[_\- ]?key)\b"
+    r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|authorization|(?:api|access|private|secret)(?:[_\-][a-z0-9]+){0,3}[_\- ]?key)\b"
     r"[\"']?[ \t]*(?:[:=]>?|->|\bis\b|\bwas\b|(?<=bearer))[ \t]*[\"']?([^\s\"'<>,;]{6,})",
     re.IGNORECASE | re.ASCII,
 )

@@ -70,3 +70,15 @@ def test_query_rows(frame, odd_rows):
     got = next(r for r in rows if r["doc_id"] == 10)
     assert got["base_sha256"] == hashlib.sha256(brute(TEXTS[2]).encode()).hexdigest() and got["n_assign"] == 2
     assert S.find_secrets(frame([]), ["doc_id"]).count() == 0
+
+
+PREFIXED = [
+    ("AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMI/K7MDENG"), ('"secret_access_key": "', "wJalrXUtnFEMI/K7MDENG"), ("DB_PWD=", "Tr0ub4dor&3zQ"), ("db_password: ", "$3cR#t!9zQx"),
+    ("ssh_passphrase: ", "kq9!zvjx#wpb"), ("client_secret -> ", "x9!kQ#2mZp"), ("DB_PASSWORD='", "p@55!x#Zq9"), ("private_deploy_key: ", "x9!kQ#2mZp"),
+]
+
+
+@pytest.mark.parametrize("name,value", PREFIXED)
+def test_context_under_longer_names(name, value):
+    text = f"export {name}{value}' and so on"
+    assert [(text[i:j], k) for i, k, j in S.scan(text)[1]] == [(value, "context")]
