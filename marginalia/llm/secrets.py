@@ -5,7 +5,9 @@ them, values that stand in a credential context are judged by how many guesses a
 attacker needs: a dynamic program finds the cheapest segmentation of the value into
 common words, dates, repeats, keyboard walks and brute-force spans. A value that no
 pattern kind covers and whose cheapest segmentation costs ``min_log10`` or more is
-added as kind ``context``; an ``assign`` value below it is counted as weak.
+added as kind ``context``; an ``assign`` value below it is counted as weak. After a mere
+``is``, ``was`` or ``bearer``, which prose has too, a value must also mix letters, digits
+and other characters (two of the three).
 
 Defined cases: a null text counts as empty; an empty text has no spans and the digest
 of the empty string; every row gives one row, whatever repeats; texts of any length
@@ -35,7 +37,7 @@ ASSIGN_HINT = re.compile("[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}")
 #: The word may end a longer name (``DB_PASSWORD``, ``client_secret``), and ``key`` may have words before it.
 CONTEXT = re.compile(
     r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|authorization|(?:api|access|private|secret)(?:[_\-][a-z0-9]+){0,3}[_\- ]?key)\b"
-    r"[\"']?[ \t]*(?:[:=]>?|->|\bis\b|\bwas\b|(?<=bearer))[ \t]*[\"']?([^\s\"'<>,;]{6,})",
+    r"[\"']?[ \t]*(?:(?P<sign>[:=]>?|->)|\bis\b|\bwas\b|(?<=bearer))[ \t]*[\"']?(?P<value>[^\s\"'<>,;]{6,})",
     re.IGNORECASE | re.ASCII,
 )
 #: A context has one of these in any case; found on lower-case text.
@@ -132,12 +134,12 @@ def scan(text: str, min_log10: float = 9.0) -> tuple[list[tuple[int, str, int]],
     spans = list(base)
     if CONTEXT_HINT.search(text.lower()):
         for m in CONTEXT.finditer(text):
-            (i, j), value = m.span(1), m[1].rstrip(".)]}:!?")
+            i, value = m.start("value"), m["value"].rstrip(".)]}:!?")
             j = i + len(value)
             if len(value) < 6 or any(s < j and i < e for s, _, e in base):
                 continue
             mixed = sum((any(c.isalpha() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-            if mixed >= 2 and (cost := guess_cost(value)) >= min_log10:
+            if (m["sign"] or mixed >= 2) and (cost := guess_cost(value)) >= min_log10:
                 spans.append((i, "context", j))
                 most = max(most, cost)
         spans.sort(key=lambda x: (x[0], KINDS.index(x[1])))

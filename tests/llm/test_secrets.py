@@ -82,3 +82,13 @@ PREFIXED = [
 def test_context_under_longer_names(name, value):
     text = f"export {name}{value}' and so on"
     assert [(text[i:j], k) for i, k, j in S.scan(text)[1]] == [(value, "context")]
+
+
+@pytest.mark.parametrize("value", ["kqzvjxwpbmrtfghd", "83920571649372", "$%&!#*?~^|+{"])
+def test_one_class_of_characters_is_judged_by_its_cost(value):
+    assert [k for _, k, _ in S.scan(f"pwd={value}")[1]] == ["context"]
+    assert S.scan(f"the secret was {value}")[1] == []
+
+
+def test_cheap_values_of_one_class_stay_out():
+    assert S.scan("pwd=qwertyuiop pwd=12345678 passphrase: princess")[1] == []
