@@ -36,9 +36,6 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import materialise, pieces, ship, text_or_empty, texts, trim
 
 MAGIC = b"RPG1"
-RULES = 4096  # of a block at most
-PER_ROUND = 1024
-ROUNDS = 4
 LEAST = 16  # occurrences for a rule
 #: Control characters, and white space other than blanks and line ends in any reading of it.
 ODD_SPACE = re.compile("[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -167,62 +164,81 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-BUCKETS = 1 << 18
+HASH_BITS = 18
+SORTED = 1 << 16  # so few pairs are told apart by a sort
+
+
+def pair_numbers(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the pairs (a, b) may occur ``LEAST`` times, the number of each of those, and the pairs by number.
+
+    Pairs in thin buckets of a hash table go; in the others each pair has a number of its own.
+    """
+    if len(a) < SORTED:
+        pairs, number = np.unique((a.astype(np.int64) << 32) | b, return_inverse=True)
+        return np.arange(len(a)), number, pairs
+    bucket = (((a.view(np.uint32) * np.uint32(0x9E3779B1)) ^ (b.view(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
+    thick = np.bincount(bucket, minlength=1 << HASH_BITS) >= LEAST
+    may = np.flatnonzero(thick[bucket])
+    number, key = (np.cumsum(thick) - 1)[bucket[may]], (a[may].astype(np.int64) << 32) | b[may]
+    pairs = np.zeros(int(thick.sum()), np.int64)
+    pairs[number] = key
+    other = np.flatnonzero(pairs[number] != key)  # a bucket numbers one of its pairs, a sort the others
+    more, at = np.unique(key[other], return_inverse=True)
+    number[other] = len(pairs) + at
+    return may, number, np.append(pairs, more)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of one block. ``ends``: true at the last id of each document. Returns symbols, their ``ends``, and rules.
 
-    A round counts pairs in a hash table and takes those of the fullest buckets, most frequent first; of overlapping
-    occurrences the more frequent pair wins, and in a run of one pair every second. A pair stays within a document.
+    A round counts pairs exactly and takes all that occur ``LEAST`` times; of overlapping occurrences the more frequent
+    pair wins, and in a run of one pair every second counts. A pair left with fewer waits for the next round; the most
+    frequent one never does, so rounds go on until no pair occurs ``LEAST`` times. A pair stays within a document.
+
+    After the first round only ``live`` places are looked at: those of pairs that were frequent, and beside new symbols.
+    Any other pair has become no more frequent than it was.
     """
-    x, ends, rules = ids.astype(np.int32), ends.copy(), []
-    for _ in range(ROUNDS):
-        room = min(PER_ROUND, RULES - len(rules))
-        if len(x) < 2 * LEAST or room <= 0:
-            break
-        u = x.view(np.uint32)
-        bucket = ((u[:-1] * np.uint32(0x9E3779B1)) ^ (u[1:] * np.uint32(0x85EBCA77))) >> np.uint32(14)
-        bucket[ends[:-1]] = BUCKETS
-        count = np.bincount(bucket, minlength=BUCKETS + 1)
-        count[BUCKETS] = 0
-        top = np.argpartition(count, -room)[-room:]
-        top = top[count[top] >= LEAST]
+    x, ends, rules, n = ids.astype(np.int32), ends.copy(), [], len(ids)
+    after, before, live, held = np.arange(1, n + 1), np.arange(-1, n - 1), ~ends, np.ones(n, bool)
+    while len(places := np.flatnonzero(live)) >= LEAST:
+        a, b = x[places], x[after[places]]
+        may, number, pairs = pair_numbers(a, b)
+        live[places] = False
+        places, free = places[may], np.ones(len(may), bool)
+        twin = np.flatnonzero(a[may] == b[may])
+        if len(twin):
+            at = np.arange(len(twin))
+            run = np.append(False, after[places[twin[:-1]]] == places[twin[1:]])
+            free[twin] = (at - np.maximum.accumulate(np.where(run, 0, at))) % 2 == 0
+        count = np.bincount(number[free], minlength=len(pairs))
+        top = np.flatnonzero(count >= LEAST)
         if not len(top):
             break
         top = top[np.argsort(-count[top], kind="stable")]
-        rank_of = np.full(BUCKETS + 1, -1, np.int16)
+        rank_of = np.full(len(pairs), -1, np.int32)
         rank_of[top] = np.arange(len(top))
-        rank = rank_of[bucket]
-        places = np.flatnonzero(rank >= 0)
-        rank = rank[places]
-        a, b = x[places], x[places + 1]
-        pair = np.empty((len(top), 2), np.int32)  # of the pairs in a bucket, the one that is met last
-        pair[rank, 0], pair[rank, 1] = a, b
-        same = (pair[rank, 0] == a) & (pair[rank, 1] == b)
-        places, rank = places[same], rank[same]
-        enough = np.bincount(rank, minlength=len(top)) >= LEAST
-        places, rank = places[enough[rank]], rank[enough[rank]]
-        if not len(places):
-            continue
-        near = np.append(False, np.diff(places) == 1)
-        run = near & np.append(False, rank[1:] == rank[:-1])
-        at = np.arange(len(places))
-        even = (at - np.maximum.accumulate(np.where(run, 0, at))) % 2 == 0
+        rank = rank_of[number]
+        live[places[rank >= 0]] = True
+        free &= rank >= 0
+        places, rank = places[free], rank[free]
+        near = np.append(False, after[places[:-1]] == places[1:])
         beaten = near & np.append(False, rank[:-1] < rank[1:])
         beaten[:-1] |= near[1:] & (rank[1:] < rank[:-1])
-        take = even & ~beaten
-        places, rank = places[take], rank[take]
-        used = np.flatnonzero(np.bincount(rank, minlength=len(top)))
-        new = np.full(len(top), -1, np.int32)
-        new[used] = first_rule + len(rules) + np.arange(len(used))
-        rules += pair[used].tolist()
-        x[places] = new[rank]
-        ends[places] = ends[places + 1]
-        keep = np.ones(len(x), bool)
-        keep[places + 1] = False
-        x, ends = x[keep], ends[keep]
-    return x, ends, np.array(rules, np.uint32).reshape(-1, 2)
+        places, rank = places[~beaten], rank[~beaten]
+        used = np.bincount(rank, minlength=len(top)) >= LEAST
+        places, rank = places[used[rank]], rank[used[rank]]
+        new = np.cumsum(used) - 1 + first_rule + len(rules)
+        rules += [(pair >> 32, pair & 0xFFFFFFFF) for pair in pairs[top[used]].tolist()]
+        gone = after[places]
+        x[places], ends[places], after[places] = new[rank], ends[gone], after[gone]
+        held[gone] = live[gone] = False
+        inside = after[places] < n
+        before[after[places][inside]] = places[inside]
+        live[places] = ~ends[places]
+        left = before[places]
+        left = left[left >= 0]
+        live[left] = ~ends[left]
+    return x[held], ends[held], np.array(rules, np.uint32).reshape(-1, 2)
 
 
 def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:

@@ -50,6 +50,38 @@ def test_block_round_trip(seed):
         R.Block(data[:-5] + b"x" + data[-4:])
 
 
+def frequency(x, ends):
+    """Occurrences of each pair within documents; in a run of one symbol every second counts."""
+    count, i_of = {}, {}
+    for i in range(len(x) - 1):
+        pair = (int(x[i]), int(x[i + 1]))
+        if not ends[i] and i_of.get(pair, -2) != i - 1:
+            count[pair], i_of[pair] = count.get(pair, 0) + 1, i
+    return count
+
+
+@pytest.mark.parametrize("least_sorted", [1, 1 << 16])
+@pytest.mark.parametrize("kinds", [2, 30, 3000])
+def test_no_frequent_pair_is_left(kinds, least_sorted, monkeypatch):
+    monkeypatch.setattr(R, "SORTED", least_sorted, raising=False)
+    monkeypatch.setattr(R, "HASH_BITS", 6 if least_sorted == 1 else 18, raising=False)
+    rng = np.random.default_rng(kinds)
+    passage = rng.integers(0, 50000, 300)
+    docs = [np.concatenate([rng.integers(0, kinds, rng.integers(1, 200)), passage, np.full(rng.integers(1, 60), 7)]) for _ in range(80)]
+    ids, ends = np.concatenate(docs).astype(np.uint32), np.zeros(sum(map(len, docs)), bool)
+    ends[np.cumsum([len(d) for d in docs]) - 1] = True
+    x, left_ends, rules = R.compress(ids, ends, 50257)
+    assert max(frequency(x, left_ends).values()) < R.LEAST and left_ends.sum() == len(docs)
+    block = R.Block(R.pack([d.astype(np.uint32) for d in docs], 50257))
+    assert all((block.document(k) == d).all() for k, d in enumerate(docs))
+    assert max(block.lengths) >= len(passage) // 2
+
+
+def test_a_run_shrinks_to_its_logarithm():
+    block = R.Block(R.pack([np.full(100_000, 7, np.uint32)], 50257))
+    assert len(block.symbols) < 64 and (block.document(0) == 7).all() and block.token(0, 99_999) == 7
+
+
 def test_written_and_read_back(frame, prose, odd_rows, tmp_path):
     rows = [*odd_rows, *((100 + i, t) for i, t in enumerate(ODD)), *((500 - i, prose(i, 90)) for i in range(60))]
     out = f"file://{tmp_path}/tokens"
