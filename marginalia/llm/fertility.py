@@ -26,21 +26,36 @@ from pyspark.sql import DataFrame
 from marginalia.llm.common import mapped, texts, with_columns
 
 MIN_TOKENS = 30
-#: Per script: least and most characters per token, most byte-fallback share, and the least entropy in bits of texts
-#: that have so many tokens or more. Running prose reaches its vocabulary's entropy within some hundred tokens.
+#: Per script: least characters per token of texts that have so many tokens or more, most characters per token, most
+#: byte-fallback share, and the least entropy in bits, by tokens too. Running prose reaches its vocabulary's entropy
+#: within some hundred tokens. The Latin limits lie below the labelled good texts of sf0.1; the other scripts' are set
+#: around sample sentences. No text of mere symbols passes.
 BANDS = {
-    "latin": (1.0, 8.0, 0.20, ((30, 2.2), (120, 5.0), (250, 5.6), (500, 5.8))),
-    "cyrillic": (0.9, 8.0, 0.25, ((30, 2.2), (120, 4.5), (500, 5.2))),
-    "greek": (0.70, 6.0, 0.60, ((30, 2.2), (120, 4.0))),
-    "cjk": (0.30, 4.0, 0.95, ((30, 2.2), (120, 4.0))),
-    "other": (0.25, 8.0, 1.00, ((30, 2.0),)),
+    "latin": (((30, 1.28), (120, 1.5), (250, 1.6)), 8.0, 0.20, ((30, 2.2), (120, 5.0), (250, 5.6), (500, 5.8))),
+    "latin_marked": (((30, 0.9),), 8.0, 0.20, ((30, 2.2), (120, 5.0), (250, 5.6), (500, 5.8))),
+    "cyrillic": (((30, 1.0),), 8.0, 0.25, ((30, 2.2), (120, 4.5), (500, 5.2))),
+    "greek": (((30, 0.70),), 6.0, 0.60, ((30, 2.2), (120, 4.0))),
+    "cjk": (((30, 0.30),), 4.0, 0.90, ((30, 2.2), (120, 4.0))),
+    "hangul": (((30, 0.30),), 4.0, 0.90, ((30, 2.2), (120, 4.0))),
+    "arabic": (((30, 0.55),), 4.0, 0.40, ((30, 2.2), (120, 3.0))),
+    "hebrew": (((30, 0.55),), 4.0, 0.40, ((30, 2.2), (120, 3.0))),
+    "devanagari": (((30, 0.50),), 4.0, 0.40, ((30, 2.2), (120, 3.0))),
+    "thai": (((30, 0.50),), 4.0, 0.40, ((30, 2.2), (120, 3.0))),
+    "letters": (((30, 0.25),), 8.0, 0.92, ((30, 2.0),)),
+    "other": (((30, 0.40),), 1.1, 0.10, ((30, 2.0),)),
+    "symbols": (((30, np.inf),), 0.0, 0.0, ()),
 }
 #: First and last code point of the ranges that name a script.
 RANGES = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
     "cyrillic": ((0x400, 0x52F),),
     "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
-    "cjk": ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF), (0x20000, 0x2FA1F)),
+    "cjk": ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x2FA1F)),
+    "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
+    "arabic": ((0x620, 0x64A), (0x66E, 0x6D3), (0x6FA, 0x6FF), (0x750, 0x77F)),
+    "hebrew": ((0x5D0, 0x5EA),),
+    "devanagari": ((0x900, 0x963), (0x970, 0x97F)),
+    "thai": ((0xE01, 0xE4D),),
 }
 SYMBOLS = b"#*$%&|<>"
 CACHED = 400_000
@@ -61,11 +76,21 @@ def known_words(path: str) -> dict[bytes, bytes]:
 
 
 def script_of(text: str) -> str:
-    """The script with most letters of a text; ``other`` where none has any."""
+    """The script with most letters of a text.
+
+    ``latin_marked`` where a tenth of the Latin letters or more have marks (as in Vietnamese), ``letters`` for scripts
+    without a band of their own; without any letter ``other``, or ``symbols`` where digits are less than half.
+    """
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    count = {k: sum(int(((points >= a) & (points <= b)).sum()) for a, b in r) for k, r in RANGES.items()}
+    far = points[points >= 0x370]  # most texts have few
+    count = {k: sum(int(((x >= a) & (x <= b)).sum()) for a, b in r for x in (points if a < 0x370 else far,)) for k, r in RANGES.items()}
     best = max(count, key=count.get)
-    return best if count[best] else "other"
+    if count[best]:
+        plain = sum(int(((points >= a) & (points <= b)).sum()) for a, b in RANGES["latin"][:2]) if best == "latin" and not text.isascii() else count[best]
+        return "latin_marked" if 10 * (count[best] - plain) >= count[best] else best
+    if any(map(str.isalpha, text)):
+        return "letters"
+    return "other" if 2 * sum(map(str.isdigit, text)) >= len("".join(text.split())) else "symbols"
 
 
 def base_counts(data: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
@@ -90,7 +115,8 @@ def base_counts(data: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
 
 def verdict(script: str, n_tokens: int, chars_per_token: float, byte_share: float, entropy: float, bands=BANDS, min_tokens: int = MIN_TOKENS) -> bool:
     """Whether the figures lie in the bands of the script. Entropy grows with a text, so its limit does too."""
-    low, high, most_bytes, floors = bands[script]
+    lows, high, most_bytes, floors = bands[script]
+    low = max((x for n, x in lows if n <= n_tokens), default=0.0)
     least_entropy = max((e for n, e in floors if n <= n_tokens), default=0.0)
     return n_tokens < min_tokens or (low <= chars_per_token <= high and byte_share <= most_bytes and entropy >= least_entropy)
 

@@ -1,3 +1,5 @@
+import base64
+import random
 import re
 
 import pytest
@@ -47,3 +49,29 @@ def test_bands(prose):
 @pytest.mark.parametrize("text", ["𓀀𓂀𓃀 " * 40, "aaaa " * 3 + "x"])
 def test_junk_goes(frame, text):
     assert not Fe.measure(frame([(1, text)]), ["doc_id"], MODEL).first()["kept"]
+
+
+RNG = random.Random(7)
+JUNK = {
+    "base64": " ".join(base64.b64encode(RNG.randbytes(60)).decode() for _ in range(40)),
+    "symbols": " ".join("".join(RNG.choice("#$%&*<>|+=~^") for _ in range(6)) for _ in range(60)),
+    "private use": " ".join("".join(chr(0xE000 + RNG.randrange(6000)) for _ in range(5)) for _ in range(60)),
+}
+CLEAN = {
+    "latin": "The boy wrote a long letter to his friend in the old town before he went to the sea with his family and their two dogs, and nobody knew when they would be back.",
+    "latin_marked": "Cậu bé viết một bức thư dài cho người bạn ở thành phố cổ trước khi đi biển cùng gia đình",
+    "cyrillic": "Мальчик написал длинное письмо своему другу в старом городе перед тем как уехать к морю с семьёй",
+    "arabic": "كتب الولد رسالة طويلة إلى صديقه في المدينة القديمة قبل أن يسافر إلى البحر مع أسرته الكبيرة",
+    "hebrew": "הילד כתב מכתב ארוך לחבר שלו בעיר העתיקה לפני שנסע אל הים עם המשפחה הגדולה שלו",
+    "devanagari": "लड़के ने पुराने शहर में अपने मित्र को एक लंबा पत्र लिखा और फिर अपने परिवार के साथ समुद्र गया",
+    "thai": "เด็กชาย เขียน จดหมาย ยาว ถึง เพื่อน ใน เมือง เก่า ก่อน เดินทาง ไป ทะเล กับ ครอบครัว ใหญ่",
+    "hangul": "소년은 오래된 도시에 사는 친구에게 긴 편지를 쓰고 나서 가족과 함께 바다로 여행을 떠났다",
+}
+
+
+def test_junk_of_any_figure_goes_and_prose_stays(frame):
+    rows = [(i, t) for i, t in enumerate([*JUNK.values(), *CLEAN.values()])]
+    got = sorted(Fe.measure(frame(rows), ["doc_id"], MODEL).collect(), key=lambda r: r["doc_id"])
+    assert all(r["n_tokens"] >= Fe.MIN_TOKENS and not r["base_failed"] for r in got)
+    assert [r["kept"] for r in got] == [False] * len(JUNK) + [True] * len(CLEAN)
+    assert [r["script"] for r in got[len(JUNK) :]] == list(CLEAN)
