@@ -50,9 +50,13 @@ def tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def special_strings(path: str) -> re.Pattern:
+    """Matches the strings that the library takes out of a text before it cuts words."""
+    return re.compile("|".join(re.escape(t.content) for t in tokenizer(path).get_added_tokens_decoder().values()) or "(?!)")
 
 
 @lru_cache(maxsize=2)
@@ -68,7 +72,8 @@ class Encoder:
     """Encodes texts through the library; the ids of words met before come from a pool of bounded size.
 
     The vocabulary's pattern starts a piece at every single blank between other characters, and makes a single line end
-    a piece of its own, so a text without other white space is the sum of its words. Other texts are encoded whole.
+    a piece of its own, so a text without other white space is the sum of its words. Other texts, and those with a special token's string, are
+    encoded whole.
     Words are told apart and put together again for a whole batch at once.
     """
 
@@ -127,9 +132,9 @@ class Encoder:
     def encode(self, many: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         out: list = [None] * len(many)
-        plain = []
+        plain, special = [], special_strings(self.path)
         for i, text in enumerate(many):
-            if ODD_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+            if special.search(text) or ODD_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
                 out[i] = self.whole(text)
             else:
                 plain.append(i)

@@ -100,3 +100,12 @@ def test_written_and_read_back(frame, prose, odd_rows, tmp_path):
 
 def test_empty_table(frame):
     assert R.read_tokens(R.write_tokens(frame([]), PATH)).count() == 0
+
+
+def test_special_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    many = ["a <|endoftext|> b", "x<|endoftext|>y\nz", "<|endoftext|>", "plain words"]
+    want = [Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids for t in many]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [x.tolist() for x in R.Encoder(PATH).encode(many)] == want
