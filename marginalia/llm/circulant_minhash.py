@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import LOWER_BYTES, mapped, materialise, mix64, ship, text_or_empty, texts, trim, with_columns
+from marginalia.llm.common import LOWER_BYTES, hot_join, mapped, materialise, mix64, ship, text_or_empty, texts, trim, with_columns
 
 BANDS, ROWS = 32, 4
 SHIFTS = BANDS * ROWS
@@ -172,7 +172,7 @@ def hub_links(units: DataFrame, held: DataFrame, k: int, percent: int) -> DataFr
     ship(units.sparkSession)
     many = units.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / UNIT_ROWS).cast("int").alias("salts"))
     salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
-    members = units.join(many, "hub").select("hub", salt.alias("salt"), "node").join(held, "node").select("hub", "salt", "node", "text")
+    members = hot_join(units, many, ["hub"]).select("hub", salt.alias("salt"), "node").join(held, "node").select("hub", "salt", "node", "text")
     hubs = many.join(held.withColumnRenamed("node", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("node"), "text")
     both = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node").asc_nulls_first())
 
@@ -214,19 +214,19 @@ def hub_links(units: DataFrame, held: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
-def straggler_links(units: DataFrame, belongs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
+def straggler_links(units: DataFrame, large: DataFrame, belongs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
     """Links of large units that ``hub_links`` could not see, as their members were dealt to several tasks.
 
-    Members of another component than the hub's, in blocks of ``BLOCK``, meet all members of the unit, ``UNIT_ROWS`` at a time.
+    ``large``: hub and rows of those units. Members of another component than the hub's, in blocks of ``BLOCK``, meet
+    all members of the unit, ``UNIT_ROWS`` at a time.
     """
-    large = units.groupBy("hub").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > UNIT_ROWS)
     own = belongs.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-    rows = units.join(large, "hub").join(own, "hub", "left").join(belongs, "node", "left")
+    rows = hot_join(units, large.join(own, "hub", "left"), ["hub"]).join(belongs, "node", "left")
     apart = F.coalesce("component", "node") != F.coalesce("hub_component", "hub")
     rows = rows.select("hub", "node", F.coalesce("component", "node").alias("component"), apart.alias("apart"), F.ceil(F.col("rows") / UNIT_ROWS).cast("int").alias("salts"))
-    rows = materialise(rows, "large-units")
+    rows = materialise(rows, "large-units", 0)
     blocks = rows.filter("apart").groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "hub")
+    dealt = hot_join(rows, blocks, ["hub"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = dealt.filter("apart").select("hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), every("salts").alias("salt"), F.lit(0).alias("role"), "node", "component")
     asked = dealt.select("hub", every("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(1), "node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "node", "component")
@@ -257,25 +257,33 @@ def straggler_links(units: DataFrame, belongs: DataFrame, held: DataFrame, k: in
     return both.mapInArrow(run, "a long, b long")
 
 
+def stars(edges: DataFrame) -> bool:
+    """Whether each node has at most one edge upwards, and none that has one is at the upper end of another."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of each node that has a link (a, b): the smallest node it reaches.
+    """Edges (u, v) from each node that has a link (a, b) to the smallest node it reaches, but from that itself.
 
     Large-star and small-star steps; minima are aggregates, so no node's neighbours are gathered in one place.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == before or not state["n"]:
-            break
-        before = state
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    edges = materialise(edges.distinct(), "links", 0)
+    rows = edges.count()  # steps make no more
+    while rows and not stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hot_join(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = hot_join(large, least, ["u"])
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialise(small.distinct(), "links")
+        edges = materialise(small.distinct(), "links", rows)
+    return edges
+
+
+def membership(edges: DataFrame) -> DataFrame:
+    """(node, component) of all nodes of ``edges``, stars."""
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -287,29 +295,34 @@ def with_components(df: DataFrame, shingle: int, percent: int) -> DataFrame:
     """
     docs = df.select("doc_id", text_or_empty(df).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     rows = materialise(sketch(docs, shingle), "sketches")
+    n = rows.count()
     full = rows.filter("n > 0")
     nodes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("bands").alias("bands"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "sets", n)
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = materialise(banded.join(buckets, "band"), "buckets")  # members of buckets of two or more
+    shared = materialise(hot_join(banded, buckets, ["band"]), "buckets", n)  # members of buckets of two or more
     degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
     hubs = shared.join(degree, "node").groupBy("band").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
-    units = materialise(shared.join(hubs, "band").filter("node <> hub").select("hub", "node").distinct(), "units")
+    units = materialise(hot_join(shared, hubs, ["band"]).filter("node <> hub").select("hub", "node").distinct(), "units", n)
 
     wanted = shared.select("node").distinct().join(nodes.select("node", "at.*"), "node").withColumnsRenamed({"doc_id": "k1", "th": "k2"})
     here = F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("k2"))
-    held = materialise(wanted.join(docs, here).select("node", "text").dropDuplicates(["node"]), "set-texts")
+    held = materialise(wanted.join(docs, here).select("node", "text").dropDuplicates(["node"]), "set-texts", n)
 
-    links = materialise(hub_links(units, held, shingle, percent), "links")
-    more = straggler_links(units, materialise(components(links), "components"), held, shingle, percent)
-    more = materialise(more, "links")
-
-    final = components(links.unionByName(more))
-    final = nodes.select("node", "h1", "h2", "first_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = final.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    named = final.join(least, "component").select("h1", "h2", "component", "least_id")
+    edges = components(materialise(hub_links(units, held, shingle, percent), "links", n))
+    large = units.groupBy("hub").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > UNIT_ROWS)
+    if not large.isEmpty():
+        more = materialise(straggler_links(units, large, membership(edges), held, shingle, percent), "links", n)
+        if not more.isEmpty():
+            edges = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
+
+    # singles are left out here: a component that holds many nodes is a hot key of the join, which can be split
+    linked_ = membership(edges).join(nodes.select("node", "first_id"), "node")
+    least = linked_.groupBy("component").agg(F.min("first_id").alias("least_id"))
+    named = nodes.select("node", "h1", "h2", "first_id").join(hot_join(linked_.select("node", "component"), least, ["component"]), "node", "left")
+    named = named.select("h1", "h2", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("least_id"))
     joined = rows.select("doc_id", "th", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     id_ = F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "th", F.col("n").alias("n_shingles"), "component", id_.alias("component_id"), F.col("doc_id").eqNullSafe(id_).alias("kept"))
@@ -321,12 +334,16 @@ def near_duplicates(df: DataFrame, shingle: int = 4, percent: int = 80) -> DataF
 
 
 def keep_one(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """All columns of ``df``, one row of each component: that of the smallest id."""
+    """All columns of ``df``, one row of each component: that of the smallest id. Rows without words all stay."""
     kept = with_components(df, shingle, percent).filter("kept")
     # rows of one id in one component count once; rows without words are each their own component
-    ids = kept.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("at")).select(F.col("at.doc_id").alias("k1"), F.col("at.th").alias("k2"), F.lit(True).alias("full"))
-    ids = ids.unionByName(kept.filter("n_shingles = 0").select(F.col("doc_id").alias("k1"), F.col("th").alias("k2"), F.lit(False).alias("full")).distinct())
-    rows = df.withColumn("_row", F.struct(*df.columns)).select("_row", F.col("doc_id").alias("_id"), F.xxhash64(text_or_empty(df)).alias("_th"))
-    rows = rows.join(ids, F.col("_id").eqNullSafe(F.col("k1")) & (F.col("_th") == F.col("k2")))
-    single = rows.filter("full").dropDuplicates(["_id", "_th"]).unionByName(rows.filter("not full"))
-    return single.select(*(F.col("_row").getField(c).alias(c) for c in df.columns))
+    single = kept.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("at")).select("at.*", F.lit(True).alias("once"))
+    ids = single.unionByName(kept.filter("n_shingles = 0").select("doc_id", "th", F.lit(False).alias("once")).distinct())
+
+    def key(doc_id: str) -> list:  # plain columns, so that the rows' exchange serves the join and what follows
+        return [F.coalesce(F.col(doc_id), F.lit("0").cast(df.schema["doc_id"].dataType)).alias("_id"), F.col(doc_id).isNull().alias("_no_id")]
+
+    rows = df.select(F.struct(*df.columns).alias("_row"), *key("doc_id"), F.xxhash64(text_or_empty(df)).alias("_th"))
+    rows = rows.join(ids.select(*key("doc_id"), F.col("th").alias("_th"), "once"), ["_id", "_no_id", "_th"])
+    copy = F.when(F.col("once"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return rows.withColumn("_copy", copy).dropDuplicates(["_id", "_no_id", "_th", "_copy"]).select(*(F.col("_row").getField(c).alias(c) for c in df.columns))

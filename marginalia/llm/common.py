@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,28 +19,48 @@ from marginalia.shipping import ship
 
 #: Rows of an Arrow batch are cut into pieces of at most so many characters.
 PIECE_CHARS = 4_000_000
+FILE_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A temporary folder serves only where that is unset and all tasks run in the driver's process, as in tests.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset; executors need a shared folder")
         at = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="marginalia-"))
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage and survives the loss of an executor, unlike a cache.
+    Cuts the lineage and survives the loss of an executor, unlike a cache. ``rows``: about how many rows to expect at
+    most. Partitions are then joined to files of up to ``FILE_ROWS`` rows, though never to fewer than keep all cores
+    busy, so a small table behind a shuffle into many partitions does not cost a file for each.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on ``on`` of which a key may hold a large part of the rows.
+
+    An aggregate's exchange on the join key would serve the join too, and adaptive execution does not split such a
+    partition. With the hash of the key as a further key both sides get an exchange of the join's own, which it splits.
+    """
+    both = [d.withColumn("_hot", F.xxhash64(*on)) for d in (left, right)]
+    return both[0].join(both[1], [*on, "_hot"], how).drop("_hot")
+
+
 def text_or_empty(df: DataFrame, text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
@@ -103,9 +124,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: A-Z to a-z on bytes; every other byte stays.
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-def byte_words(data: bytes) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes: ``bytes.split()`` cuts at exactly those (``str.split()`` at more)."""
-    return data.split()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
