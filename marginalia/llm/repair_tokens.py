@@ -15,8 +15,12 @@ Payload, little endian: magic ``RPG1``; six uint64 (documents, rules, symbols, t
 of a symbol, first rule id); rules as uint32 pairs; expansion lengths as uint32; symbols
 before each document, and its tokens, as uint64; symbols; CRC-32 of all before.
 
-Defined cases: a null or empty text is its end id alone; rows with equal ids stand in order
-of their text's hash; null ids come first; an empty table makes no block.
+Defined cases: a null or empty text is its end id alone; texts of any length are encoded
+whole, and one longer than a block makes a block of its own; rows with equal ids stand in
+order of their text's hash, and equal rows (id and text) in one shard; null ids come first;
+an empty table makes no block; columns other than doc_id and text play no part, whatever
+their names. A pair that occurs fewer than ``LEAST`` times in a block stays as it is: a rule
+costs eight bytes in the file, and its expansion length four.
 """
 
 from __future__ import annotations
@@ -38,7 +42,11 @@ from marginalia.llm.common import materialise, pieces, ship, text_or_empty, text
 MAGIC = b"RPG1"
 LEAST = 16  # occurrences for a rule
 #: Control characters, and white space other than blanks and line ends in any reading of it.
-ODD_SPACE = re.compile("[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+ODD_ASCII = bytes(b for b in range(32) if b != 10)
+ODD_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+ODD_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf")
+#: Blanks and line ends that do not stand alone between other characters.
+CLUSTERS = (b"  ", b"\n\n", b" \n", b"\n ")
 FIRST = "\x01"
 POOL = 800_000  # words
 
@@ -54,16 +62,17 @@ def tokenizer(path: str):
 
 
 @lru_cache(maxsize=2)
-def special_strings(path: str) -> re.Pattern:
+def special_strings(path: str) -> re.Pattern[bytes]:
     """Matches the strings that the library takes out of a text before it cuts words."""
-    return re.compile("|".join(re.escape(t.content) for t in tokenizer(path).get_added_tokens_decoder().values()) or "(?!)")
+    return re.compile(b"|".join(re.escape(t.content.encode()) for t in tokenizer(path).get_added_tokens_decoder().values()) or b"(?!)")
 
 
 @lru_cache(maxsize=2)
 def id_widths(path: str) -> np.ndarray:
     """How many bytes each id stands for: one for each character of its byte-level name."""
-    out = np.zeros(tokenizer(path).get_vocab_size(), np.int64)
-    for name, i in tokenizer(path).get_vocab().items():
+    names = tokenizer(path).get_vocab()
+    out = np.zeros(max(names.values()) + 1, np.int64)
+    for name, i in names.items():
         out[i] = len(name)
     return out
 
@@ -72,9 +81,8 @@ class Encoder:
     """Encodes texts through the library; the ids of words met before come from a pool of bounded size.
 
     The vocabulary's pattern starts a piece at every single blank between other characters, and makes a single line end
-    a piece of its own, so a text without other white space is the sum of its words. Other texts, and those with a special token's string, are
-    encoded whole.
-    Words are told apart and put together again for a whole batch at once.
+    a piece of its own, so a text without other white space is the sum of its words. Other texts, and those with a special
+    token's string, are encoded whole. Words are told apart and put together again for a whole batch at once.
     """
 
     def __init__(self, path: str) -> None:
@@ -129,18 +137,25 @@ class Encoder:
         self.used = np.append(self.used, np.zeros(len(names), np.int32))
         return [place[w] for w in words]
 
-    def encode(self, many: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def is_plain(self, data: bytes) -> bool:
+        """Whether a text is the sum of its words. Cheap tests come first; what follows is only asked of few texts."""
+        if data[:1] == b" " or data[-1:] == b" " or any(c in data for c in CLUSTERS) or len(data.translate(None, ODD_ASCII)) < len(data) or special_strings(self.path).search(data):
+            return False
+        return data.isascii() or not any(c in data for c in ODD_LEADS) or not ODD_SPACE.search(data.decode())
+
+    def encode(self, many: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, given as UTF-8."""
         out: list = [None] * len(many)
-        plain, special = [], special_strings(self.path)
-        for i, text in enumerate(many):
-            if special.search(text) or ODD_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
-                out[i] = self.whole(text)
-            else:
+        plain = []
+        for i, data in enumerate(many):
+            if self.is_plain(data):
                 plain.append(i)
+            else:
+                out[i] = self.whole(data.decode())
         if not plain:
             return out
-        marked = pa.array([FIRST + many[i].replace("\n", " \n " + FIRST) for i in plain], pa.large_string())
+        line = b" \n " + FIRST.encode()
+        marked = pa.array([FIRST.encode() + many[i].replace(b"\n", line) for i in plain], pa.large_binary()).view(pa.large_string())
         split = pc.split_pattern(marked, " ")
         coded = split.values.dictionary_encode()
         if len(self.words) > POOL:
@@ -171,6 +186,7 @@ def encoder(path: str) -> Encoder:
 
 HASH_BITS = 18
 SORTED = 1 << 16  # so few pairs are told apart by a sort
+DENSE = 16  # what a round removes is cut out when it is this part of a block or more
 
 
 def pair_numbers(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,10 +197,15 @@ def pair_numbers(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if len(a) < SORTED:
         pairs, number = np.unique((a.astype(np.int64) << 32) | b, return_inverse=True)
         return np.arange(len(a)), number, pairs
-    bucket = (((a.view(np.uint32) * np.uint32(0x9E3779B1)) ^ (b.view(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
+    bucket = a.view(np.uint32) * np.uint32(0x9E3779B1)
+    bucket ^= b.view(np.uint32) * np.uint32(0x85EBCA77)
+    bucket >>= np.uint32(32 - HASH_BITS)
+    bucket = bucket.astype(np.intp)
     thick = np.bincount(bucket, minlength=1 << HASH_BITS) >= LEAST
     may = np.flatnonzero(thick[bucket])
-    number, key = (np.cumsum(thick) - 1)[bucket[may]], (a[may].astype(np.int64) << 32) | b[may]
+    number, key = (np.cumsum(thick, dtype=np.int32) - 1)[bucket[may]], a[may].astype(np.int64)
+    key <<= 32
+    key |= b[may]
     pairs = np.zeros(int(thick.sum()), np.int64)
     pairs[number] = key
     other = np.flatnonzero(pairs[number] != key)  # a bucket numbers one of its pairs, a sort the others
@@ -203,19 +224,25 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
     After the first round only ``live`` places are looked at: those of pairs that were frequent, and beside new symbols.
     Any other pair has become no more frequent than it was.
     """
-    x, ends, rules, n = ids.astype(np.int32), ends.copy(), [], len(ids)
-    after, before, live, held = np.arange(1, n + 1), np.arange(-1, n - 1), ~ends, np.ones(n, bool)
-    while len(places := np.flatnonzero(live)) >= LEAST:
+    x, ends, rules = ids.astype(np.int32), ends.copy(), []
+    live, after = ~ends, None
+    while True:
+        if after is None:
+            after, before, held = np.arange(1, len(x) + 1), np.arange(-1, len(x) - 1), np.ones(len(x), bool)
+        places = np.flatnonzero(live)
+        if len(places) < LEAST:
+            break
         a, b = x[places], x[after[places]]
         may, number, pairs = pair_numbers(a, b)
         live[places] = False
-        places, free = places[may], np.ones(len(may), bool)
-        twin = np.flatnonzero(a[may] == b[may])
+        places, a, b = places[may], a[may], b[may]
+        count = np.bincount(number, minlength=len(pairs))
+        twin = np.flatnonzero(a == b)
         if len(twin):
             at = np.arange(len(twin))
             run = np.append(False, after[places[twin[:-1]]] == places[twin[1:]])
-            free[twin] = (at - np.maximum.accumulate(np.where(run, 0, at))) % 2 == 0
-        count = np.bincount(number[free], minlength=len(pairs))
+            twin = twin[(at - np.maximum.accumulate(np.where(run, 0, at))) % 2 == 1]  # each second of a run is no occurrence
+            count -= np.bincount(number[twin], minlength=len(pairs))
         top = np.flatnonzero(count >= LEAST)
         if not len(top):
             break
@@ -223,27 +250,36 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
         rank_of = np.full(len(pairs), -1, np.int32)
         rank_of[top] = np.arange(len(top))
         rank = rank_of[number]
-        live[places[rank >= 0]] = True
-        free &= rank >= 0
+        live[places[np.flatnonzero(rank >= 0)]] = True
+        rank[twin] = -1
+        free = np.flatnonzero(rank >= 0)
         places, rank = places[free], rank[free]
-        near = np.append(False, after[places[:-1]] == places[1:])
-        beaten = near & np.append(False, rank[:-1] < rank[1:])
-        beaten[:-1] |= near[1:] & (rank[1:] < rank[:-1])
-        places, rank = places[~beaten], rank[~beaten]
-        used = np.bincount(rank, minlength=len(top)) >= LEAST
-        places, rank = places[used[rank]], rank[used[rank]]
+        near = after[places[:-1]] == places[1:]
+        won = np.ones(len(places), bool)
+        won[1:] &= ~(near & (rank[:-1] < rank[1:]))
+        won[:-1] &= ~(near & (rank[1:] < rank[:-1]))
+        used = np.bincount(rank[won], minlength=len(top)) >= LEAST
+        won = np.flatnonzero(won & used[rank])
+        places, rank = places[won], rank[won]
         new = np.cumsum(used) - 1 + first_rule + len(rules)
         rules += [(pair >> 32, pair & 0xFFFFFFFF) for pair in pairs[top[used]].tolist()]
         gone = after[places]
-        x[places], ends[places], after[places] = new[rank], ends[gone], after[gone]
+        x[places], ends[places] = new[rank], ends[gone]
         held[gone] = live[gone] = False
-        inside = after[places] < n
-        before[after[places][inside]] = places[inside]
-        live[places] = ~ends[places]
-        left = before[places]
+        if DENSE * len(gone) >= len(x):
+            keep = np.flatnonzero(held)
+            places = np.searchsorted(keep, places)
+            x, ends, live, after = x[keep], ends[keep], live[keep], None
+            left = places - 1
+        else:
+            after[places] = after[gone]
+            inside = after[places] < len(x)
+            before[after[places][inside]] = places[inside]
+            left = before[places]
         left = left[left >= 0]
-        live[left] = ~ends[left]
-    return x[held], ends[held], np.array(rules, np.uint32).reshape(-1, 2)
+        live[places], live[left] = ~ends[places], ~ends[left]
+    keep = np.flatnonzero(held)
+    return x[keep], ends[keep], np.array(rules, np.uint32).reshape(-1, 2)
 
 
 def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
@@ -346,7 +382,7 @@ def blocks(df: DataFrame, path: str, end_id: int, first_rule: int, block_tokens:
 
         for b in (p for batch in batches for p in pieces(batch, chars=12_000_000)):
             id_type = b.schema.field("doc_id").type
-            for doc_id, data in zip(b.column("doc_id").to_pylist(), encoder(path).encode([t.decode() for t in texts(b)]), strict=True):
+            for doc_id, data in zip(b.column("doc_id").to_pylist(), encoder(path).encode(texts(b)), strict=True):
                 x = np.append(data, end)
                 if docs and held + len(x) > block_tokens:
                     yield flush()
@@ -361,8 +397,14 @@ def blocks(df: DataFrame, path: str, end_id: int, first_rule: int, block_tokens:
     return ranged.mapInArrow(run, f"shard int, block int, doc_ids array<{kind}>, n_tokens long, payload binary")
 
 
-def write_tokens(df: DataFrame, path: str, out: str | None = None, end_id: int = 0, first_rule: int = 50257, block_tokens: int = 1_000_000) -> DataFrame:
-    """Encode and write ``df`` (doc_id, text); returns the written table, read back. ``out``: a folder, else in the shared one."""
+def write_tokens(df: DataFrame, path: str, out: str | None = None, end_id: int = 0, block_tokens: int = 1_000_000) -> DataFrame:
+    """Encode and write ``df`` (doc_id, text); returns the written table, read back. ``out``: a folder, else in the shared one.
+
+    ``path``: a byte-level vocabulary of any size; symbols of rules begin after its last id.
+    """
+    first_rule = len(id_widths(path))
+    if not 0 <= end_id < first_rule:
+        raise ValueError("end_id is no id of the vocabulary")
     table = blocks(df, path, end_id, first_rule, block_tokens)
     if out is None:
         return materialise(table, "token-blocks")

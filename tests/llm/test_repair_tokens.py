@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from marginalia.llm import repair_tokens as R
 from marginalia.llm.queries import vocabulary
@@ -9,18 +10,21 @@ from marginalia.llm.queries import vocabulary
 PATH = vocabulary("byte_bpe_50k.json")
 
 
+LIBRARY = Tokenizer.from_file(PATH)  # as the library has it, not by way of the operator
+
+
 def ids_of(text):
-    return R.tokenizer(PATH).encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
-ODD = ["", "a  b\n\n c\t d", "\n x", "  ", "it's I'll 　x \xa0y", "<|endoftext|> z", "é́ 12a3 !!x  \r\n q", " 's", "a \n b", "x\ny 's\n", "\n\n", "a ", "q 日本 'll ve", "\na", "\x01 b \x01c", "a\n", "\n", "one two\nthree four\nfive"]
+ODD = ["", "a  b\n\n c\t d", "\n x", "  ", "it's I'll 　x \xa0y", "<|endoftext|> z", "é́ 12a3 !!x  \r\n q", " 's", "a \n b", "x\ny 's\n", "\n\n", "a ", "q 日本 'll ve", "\na", "\x01 b \x01c", "a\n", "\n", "one two\nthree four\nfive", "a\u2019b \u201cc\u201d", "a\u2003b", "x\ufeffy", "\x85z", "p\u1680q", "tab\there"]
 
 
 def test_words_make_the_ids_of_the_text(prose):
     many = [*ODD, prose(3, 500), prose(4, 200).replace(". ", ".\n"), prose(3, 40) + " ünï çôdé 東京"]
     encoder = R.Encoder(PATH)
     for _ in range(2):
-        assert [x.tolist() for x in encoder.encode(many)] == [ids_of(t) for t in many]
+        assert [x.tolist() for x in encoder.encode([t.encode() for t in many])] == [ids_of(t) for t in many]
 
 
 def test_pool_is_bounded(prose, monkeypatch):
@@ -28,7 +32,7 @@ def test_pool_is_bounded(prose, monkeypatch):
     encoder = R.Encoder(PATH)
     for seed in range(5):
         many = [prose(seed, 100)]
-        assert encoder.encode(many)[0].tolist() == ids_of(many[0])
+        assert encoder.encode([t.encode() for t in many])[0].tolist() == ids_of(many[0])
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -108,4 +112,4 @@ def test_special_tokens_as_the_library_has_them():
     many = ["a <|endoftext|> b", "x<|endoftext|>y\nz", "<|endoftext|>", "plain words"]
     want = [Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids for t in many]
     assert want[0] == [64, 220, 50256, 275]
-    assert [x.tolist() for x in R.Encoder(PATH).encode(many)] == want
+    assert [x.tolist() for x in R.Encoder(PATH).encode([t.encode() for t in many])] == want
