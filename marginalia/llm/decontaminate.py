@@ -7,30 +7,40 @@ that ends there. A window is ``window`` consecutive item words; an item of fewer
 is a window of its own. Only stretches whose adjacent word pairs all occur in items can
 hold a match, so the automaton runs on those; the pairs are looked up in bulk.
 
-Items travel to the tasks in blocks of at most ``block_words`` words, one automaton each,
-so a broadcast never exceeds that bound; several blocks are applied one after another
-in the same pass. There is no shuffle.
-
-Defined cases: a null or empty text has no words and is clean; an empty item has no
-window; items that repeat each count under their own id (rows with equal ids once); null
-item ids are left out of the id list; an empty benchmark leaves all documents clean.
+Items are dealt to blocks of about ``block_words`` words, long items in overlapping pieces.
+Tasks build one automaton for each block and write it to the shared folder; the driver
+broadcasts the blocks one by one and never holds two, so its memory does not grow with the
+benchmark. The blocks are applied one after another in the same pass. Documents are not
+shuffled.
+
+Defined cases: a null or empty text has no words and is clean; texts of any length are
+matched whole, in time linear in their words; documents that repeat are judged each by
+itself; an empty item has no window; items that repeat each count under their own id (rows
+with equal ids once); null item ids are left out of the id list; an empty benchmark leaves
+all documents clean; an empty table of documents gives an empty result; other columns may
+have any names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import pickle
+import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import mapped, text_or_empty, texts, with_columns
+from marginalia.llm.common import mapped, materialise, text_or_empty, texts, with_columns
 
 #: Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z became a-z: digits, a-z and every character beyond ASCII.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+BLOCK_WORDS = 250_000  # benchmark words in one automaton, some hundred MB in a worker
+
+
 class SuffixAutomaton:
     """A generalised suffix automaton over sequences of word numbers."""
 
@@ -148,33 +158,86 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> list[ItemIndex]:
-    """Automata of blocks of items. A block closes before it would exceed ``block_words`` words (a larger item stands alone)."""
-    blocks: list[list[tuple[str | None, bytes]]] = [[]]
-    held = 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_or_empty(benchmark).alias("text")).distinct()
-    for row in rows.toLocalIterator():
-        data = row["text"].encode()
-        n = len(data.translate(FOLD).split())
-        if blocks[-1] and held + n > block_words:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row["item_id"], data))
-        held += n
-    return [ItemIndex(b, window) for b in blocks]
-
-
-def match_items(df: DataFrame, benchmark: DataFrame, keep: list[str], window: int = 10, block_words: int = 2_000_000) -> DataFrame:
-    """Columns ``keep`` and text of ``df`` with n_words, hits (spans of words, merged) and items (ids as strings)."""
+def item_pieces(benchmark: DataFrame, window: int, piece_words: int) -> DataFrame:
+    """Distinct items as rows (item_id, words, n); one of more than ``piece_words`` words in pieces that overlap by all
+    but one word of a window, so the pieces have the item's windows and no others."""
+
+    def spec(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for item_id, text in zip(batch.column("item_id").to_pylist(), texts(batch), strict=True):
+            words = text.translate(FOLD).split()
+            step = max(1, piece_words - window + 1)
+            for at in range(0, max(1, len(words) - window + 1), step):
+                part = words[at : at + step + window - 1]
+                rows.append((item_id, b" ".join(part), len(part)))
+        ids, parts, n = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(parts, pa.binary()), pa.array(n, pa.int64())], names=["item_id", "words", "n"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_or_empty(benchmark).alias("text"))
+    return mapped(rows, spec, "item_id string, words binary, n long").distinct()
+
+
+def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[DataFrame, int]:
+    """A written table of (block, payload), a packed automaton each, and the number of blocks.
+
+    Pieces of items are dealt to blocks by hash; a task builds each block's automaton, about ``block_words`` words.
+    """
+    pieces_ = item_pieces(benchmark, window, max(window, block_words // 8))
+    total = pieces_.agg(F.sum("n")).first()[0] or 0
+    blocks = -(-total // block_words)
+    if not blocks:
+        return pieces_, 0
+    dealt = pieces_.filter("n > 0").select(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)).cast("int").alias("block"), "item_id", "words")
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "item_id")
+
+    def run(batches):
+        block, held = None, []
+
+        def flush():
+            payload = zlib.compress(pickle.dumps(ItemIndex(held, window)), 1)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([payload], pa.binary())], names=["block", "payload"])
+
+        for batch in batches:
+            for at, item_id, words in zip(*(batch.column(c).to_pylist() for c in ("block", "item_id", "words")), strict=True):
+                if held and at != block:
+                    yield flush()
+                    held = []
+                block = at
+                held.append((item_id, words))
+        if held:
+            yield flush()
+
+    return materialise(dealt.mapInArrow(run, "block int, payload binary"), "item-blocks", blocks), blocks
+
+
+_opened: dict[str, ItemIndex] = {}
+
+
+def opened(key: str, sent) -> ItemIndex:
+    """The automaton that the broadcast of this key carries; a worker keeps the last."""
+    if key not in _opened:
+        _opened.clear()
+        _opened[key] = pickle.loads(zlib.decompress(sent.value)) if sent.value else ItemIndex([], 1)
+    return _opened[key]
+
+
+def match_items(df: DataFrame, benchmark: DataFrame, keep: list[str], window: int, block_words: int, last=None, last_schema: str = "") -> DataFrame:
+    """Columns ``keep`` and text of ``df`` with n_words, hits (spans of words, merged) and items (ids as strings).
+
+    ``last`` maps the batches that the last block has been applied to, in the same pass, to ``last_schema``.
+    """
     spark = df.sparkSession
     df = df.select(*keep, text_or_empty(df).alias("text"))
     given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-    def apply(df: DataFrame, index: ItemIndex) -> DataFrame:
-        sent = spark.sparkContext.broadcast(index)
-
-        def spec(batch: pa.RecordBatch) -> pa.RecordBatch:
-            index, n, hits, items = sent.value, [], [], []
+    table, blocks = item_blocks(benchmark, window, block_words)
+    for block in range(max(1, blocks)):
+        # the driver holds one block at a time
+        payload = [bytes(r["payload"]) for r in table.filter(F.col("block") == block).collect()] if blocks else []
+        sent, end = spark.sparkContext.broadcast(payload[0] if payload else b""), last is not None and block >= blocks - 1
+        key = uuid.uuid4().hex
+
+        def spec(batch: pa.RecordBatch, key=key, sent=sent, end=end) -> pa.RecordBatch:
+            index, n = opened(key, sent), []
             if "hits" in batch.schema.names:
                 hits = [[(x["a"], x["b"]) for x in h] for h in batch.column("hits").to_pylist()]
                 items = [set(x) for x in batch.column("items").to_pylist()]
@@ -192,14 +255,14 @@ def match_items(df: DataFrame, benchmark: DataFrame, keep: list[str], window: in
                 "hits": pa.array([[{"a": a, "b": b} for a, b in h] for h in hits], spans_type),
                 "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
             }
-            return with_columns(batch, new)
+            out = with_columns(batch, new)
+            return last(out) if end else out
 
-        return mapped(df, spec, f"{given}, n_words long, hits array<struct<a: long, b: long>>, items array<string>")
+        df = mapped(df, spec, last_schema if end else f"{given}, n_words long, hits array<struct<a: long, b: long>>, items array<string>")
+    return df
 
-    return reduce(apply, item_blocks(benchmark, window, block_words), df)
 
-
-def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
+def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """For each row (doc_id, text): n_words, n_hit, n_items, items_sha256 (ids sorted, comma-joined) and contaminated."""
     found = match_items(df, benchmark, ["doc_id"], window, block_words)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
@@ -229,20 +292,18 @@ def remove_spans(text: bytes, hits: list[tuple[int, int]]) -> str:
     return b"".join([*out, text[at:]]).decode()
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All columns of ``df``, with matching spans cut from ``text``. A document of which more than ``max_coverage`` of
     the words are hit goes altogether; others keep their remaining text, clean ones theirs unchanged (a null stays null)."""
     columns = df.columns
     prepared = df.select(F.struct(*columns).alias("_row"), "text")
-    found = match_items(prepared, benchmark, ["_row"], window, block_words)
 
-    def spec(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         old = batch.column("_row").field("text").to_pylist()
         spans = [[(x["a"], x["b"]) for x in h] for h in batch.column("hits").to_pylist()]
-        new = [remove_spans(t, h) if h else o for t, h, o in zip(texts(batch), spans, old, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], names=["_row", "text"])
+        few = [sum(b - a for a, b in h) <= max_coverage * max(n, 1) for h, n in zip(spans, batch.column("n_words").to_pylist(), strict=True)]
+        new = [(remove_spans(t, h) if h else o) if f else None for t, h, o, f in zip(texts(batch), spans, old, few, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], names=["_row", "text"]).filter(pa.array(few, pa.bool_()))
 
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    kept = found.filter(n_hit <= max_coverage * F.greatest("n_words", F.lit(1)))
-    cut = mapped(kept, spec, f"_row {prepared.schema['_row'].dataType.simpleString()}, text string")
-    return cut.select(*(F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in columns))
+    kept = match_items(prepared, benchmark, ["_row"], window, block_words, cut, f"_row {prepared.schema['_row'].dataType.simpleString()}, text string")
+    return kept.select(*(F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in columns))

@@ -175,7 +175,8 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7
 def reject_toxic(docs: DataFrame, model: MilModel, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns, that score below ``threshold``. Their texts travel once."""
     rest = [c for c in docs.columns if c != "text"]
-    row = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), "text")
+    filler = "_" * (1 + max(map(len, rest), default=0))  # a struct must not be empty; longer than any other name
+    row = docs.select(F.struct(F.lit(0).alias(filler), *rest).alias("_row"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     cache: dict[bytes, float] = {}
 
