@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -31,28 +34,68 @@ def test_base_spans(text):
     assert set(base) <= set(spans)
 
 
-def cheapest(value):
-    """Every segmentation, by recursion."""
-    spans = {}
-    for i, j, _, c in S.segments(value):
-        spans[i, j] = min(c, spans.get((i, j), 1e9))
-    for i in range(len(value)):
-        cost = 0
-        for j in range(i + 1, len(value) + 1):
-            cost += S.brute_cost(value[j - 1])
-            spans[i, j] = min(cost, spans.get((i, j), 1e9))
+def span_costs(value, i, j):
+    """What the span can be, told by looking at it alone (and at what stands beside it, for long runs)."""
+    part, low = value[i:j], value[i:j].lower()
+    out = [sum(map(S.brute_cost, part))]
+    for form, extra in ((low, 0.0), (low.translate(S.LEET), 0.5)):
+        if len(part) >= 3 and form in S.COMMON_WORDS and not (extra and form == low):
+            cased = 0.0 if part.islower() else S.STEP if part.istitle() or part.isupper() else 1.0
+            out.append(math.log10(S.COMMON_WORDS.index(form) + 2) + extra + cased)
+    if re.fullmatch(r"(?:19|20)\d\d", part, re.ASCII):
+        out.append(math.log10(150))
+    ymd = r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])"
+    dmy = r"(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d"
+    if re.fullmatch(f"{ymd}|{dmy}", part, re.ASCII):
+        out.append(math.log10(365 * 150 * 4))
+    for p in range(1, S.UNIT + 1):
+        k, over = divmod(len(part), p)
+        whole = (i == 0 or value[i - 1] != value[i - 1 + p : i + p]) and not value[j:].startswith(part[:p])
+        if not over and k >= 2 and len(part) >= 3 and part == part[:p] * k and (len(part) <= S.SPAN or whole):
+            out.append(sum(map(S.brute_cost, part[:p])) + math.log10(k))
+    beside = lambda a, b: any(a + b in row or b + a in row for row in S.WALKS)
+    whole = not (i and beside(*value[i - 1 : i + 1].lower())) and not (j < len(value) and beside(*value[j - 1 : j + 1].lower()))
+    if len(part) >= 3 and all(map(beside, low, low[1:])) and (len(part) <= S.SPAN or whole):
+        ups = [b > a for a, b in zip(low, low[1:])]
+        out.append(math.log10(len(S.WALKS) * 10 * len(part)) + 0.6 * sum(a != b for a, b in zip(ups, ups[1:])))
+    return min(out)
 
-    def best(j):
-        return 0.0 if j == 0 else min(best(i) + spans[i, j] + (S.STEP if i else 0) for i in range(j))
 
-    return best(len(value))
+def cheapest(value):
+    """Over all segmentations into any spans."""
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + span_costs(value, i, j) + (S.STEP if i else 0) for i in range(j)))
+    return best[-1]
 
 
-@pytest.mark.parametrize("value", ["password1", "qwerty2019-04-01", "aaaaaaab", "Xk9$vLq2", "dr4g0n!!", "12345678", "x"])
+@pytest.mark.parametrize(
+    "value",
+    ["password1", "qwerty2019-04-01", "aaaaaaab", "Xk9$vLq2", "dr4g0n!!", "12345678", "x", "10112019-12-31", "kqzvwxjhtrmpbgdlfc", "31122019x2019", "abababaxyxyxy", "a" * 60, "qwertyuiop" * 4, "poiuytrewq1987", "abcabcabcdefed" * 3, "Pa55WORD", "0" * 30 + "1" * 26],
+)
 def test_guess_cost_is_the_cheapest_segmentation(value):
     assert S.guess_cost(value) == pytest.approx(cheapest(value))
 
 
+def test_guess_cost_of_random_values():
+    rng = random.Random(4)
+    for _ in range(60):
+        value = "".join(rng.choice(["pass", "19", "20", "12", "31", "a", "b", "qwe", "-", "Z", "ab", "1"]) for _ in range(rng.randint(1, 12)))
+        assert S.guess_cost(value) == pytest.approx(cheapest(value)), value
+
+
+def test_long_texts_take_linear_time():
+    began = time.process_time()
+    assert len(S.scan("password=abcdef " * 100_000)[0]) == 100_000
+    assert len(S.scan("pwd=" + "x9!" * 30_000)[1]) <= 1
+    assert time.process_time() - began < 30
+
+
+@pytest.mark.parametrize("value", ["kqzvwxjhtrmpbgdlfc", "80931746205917"])
+def test_one_class_of_characters_is_judged_by_its_cost(value):
+    assert S.scan(f"pwd={value}")[1] == [(4, "context", 4 + len(value))]
+
+
 def test_costs_order_as_expected():
     assert S.guess_cost("password123") < S.guess_cost("qwertyuiop1987") < S.guess_cost("vT7#kQ9zLm2!")
     assert S.guess_cost("") == 0.0
