@@ -49,6 +49,7 @@ ODD_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\
 CLUSTERS = (b"  ", b"\n\n", b" \n", b"\n ")
 FIRST = "\x01"
 POOL = 800_000  # words
+PIECE = 6_000_000  # bytes of text encoded at once; more would only spare lookups a rebuilt index of the pool
 
 
 @lru_cache(maxsize=2)
@@ -380,7 +381,7 @@ def blocks(df: DataFrame, path: str, end_id: int, first_rule: int, block_tokens:
             arrays = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.int64()), pa.array([pack(docs, first_rule)], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "doc_ids", "n_tokens", "payload"])
 
-        for b in (p for batch in batches for p in pieces(batch, chars=12_000_000)):
+        for b in (p for batch in batches for p in pieces(batch, chars=PIECE)):
             id_type = b.schema.field("doc_id").type
             for doc_id, data in zip(b.column("doc_id").to_pylist(), encoder(path).encode(texts(b)), strict=True):
                 x = np.append(data, end)
