@@ -14,7 +14,8 @@ still differs from the hub's meet all members in bounded blocks. So every pair o
 is compared unless it is in one component already, which cannot change the result.
 
 Defined cases: a null or blank text has the empty set, links with nothing and is its own
-component; a text of fewer words than a shingle has its whole word sequence as one shingle;
+component; an empty table gives an empty result; texts of any length count whole; other
+columns may have any names; a text of fewer words than a shingle has its whole word sequence as one shingle;
 rows with equal ids count as documents of their own; a null id is never the smallest unless
 a component has no other.
 """

@@ -11,7 +11,9 @@ Words are tokenised on their own (pieces of this vocabulary never cross blanks),
 distinct word is cut once per batch, whatever its frequency; the counts cover whole texts.
 
 Defined cases: a null or blank text has no words and fails the base rule (fewer than 10);
-repeated rows are judged alike; a text without tokens has figures 0. No shuffle.
+repeated rows are judged alike; a text without tokens has figures 0; texts of any length are
+measured whole; a text of fewer than ``MIN_TOKENS`` tokens tells too little about its figures
+and is judged by the base rule alone; an empty table gives an empty result. No shuffle.
 """
 
 from __future__ import annotations
@@ -93,6 +95,11 @@ def script_of(text: str) -> str:
     return "other" if 2 * sum(map(str.isdigit, text)) >= len("".join(text.split())) else "symbols"
 
 
+def id_type(model_path: str) -> type:
+    """The smallest type that holds the vocabulary's ids."""
+    return np.uint16 if len(vocabulary(model_path)[1]) <= 1 << 16 else np.uint32
+
+
 def base_counts(data: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
     """word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     word_chars = sum(map(len, words))
@@ -131,7 +138,7 @@ def measure(df: DataFrame, keep: list[str], model_path: str, bands: dict = BANDS
             cache.clear()
         new = [w for w in words if w not in cache]
         for w, ids in zip(new, vocabulary(model_path)[0].encode([w.decode() for w in new], num_threads=1), strict=True):
-            cache[w] = np.array(ids, np.uint16).tobytes()
+            cache[w] = np.array(ids, id_type(model_path)).tobytes()
 
     def spec(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -139,7 +146,7 @@ def measure(df: DataFrame, keep: list[str], model_path: str, bands: dict = BANDS
             words, cache = data.split(), known_words(model_path)
             for a in range(0, len(words), CACHED):  # so that the cache stays bounded in the longest text too
                 cut(set(words[a : a + CACHED]))
-            tokens = np.frombuffer(b"".join([cache.get(w) or whole(w) for w in words]), np.uint16)
+            tokens = np.frombuffer(b"".join([cache.get(w) or whole(w) for w in words]), id_type(model_path))
             n, n_tokens = len(words), len(tokens)
             chars, symbols, dup, repeat = base_counts(data, words)
             is_byte = vocabulary(model_path)[1]
@@ -156,7 +163,7 @@ def measure(df: DataFrame, keep: list[str], model_path: str, bands: dict = BANDS
         return with_columns(batch, {k: pa.array(c, t) for k, c, t in zip(names, zip(*rows, strict=True), kinds, strict=True)}, drop=("text",))
 
     def whole(word: bytes) -> bytes:
-        return np.array(vocabulary(model_path)[0].encode(word.decode()), np.uint16).tobytes()
+        return np.array(vocabulary(model_path)[0].encode(word.decode()), id_type(model_path)).tobytes()
 
     given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text")
     counts = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))

@@ -11,7 +11,8 @@ ends, and only the rows of that slice are sorted. Targets are computed over one
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its
 own, last in order; rows with equal id and text have equal keys and are taken together; a
-source of size 0 has target 0; an empty table gives an empty mix. Results depend on the rows
+source of size 0 has target 0; texts of any length count whole; an empty table gives an
+empty mix; other columns may have any names. Results depend on the rows
 alone, so reruns agree.
 """
 
@@ -74,6 +75,12 @@ def few_sources(sized: DataFrame) -> bool:
     return found["n"] <= SENT_SOURCES and found["bytes"] <= 100 * SENT_SOURCES
 
 
+def same_source(left: str, right: str, few: bool) -> Column:
+    """Equal sources, null to null. Their hashes as a further key keep a large source's partition divisible, where sides are exchanged."""
+    same = F.col(left).eqNullSafe(F.col(right))
+    return same if few else same & (F.xxhash64(left) == F.xxhash64(right))
+
+
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slice_rows: int = SLICE_ROWS, few: bool = False) -> DataFrame:
     """A row per source of ``sized`` (source, size, key): its target, epochs, and where the last, partial epoch ends."""
     send = F.broadcast if few else lambda df: df
@@ -83,13 +90,13 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     goal = goal.withColumn("slices", F.ceil(F.col("rows") / F.greatest(F.lit(float(slice_rows)), F.sqrt("rows"))).cast("long"))
     goal = goal.withColumnRenamed("source", "of")
-    here = F.col("source").eqNullSafe(F.col("of"))
+    here = same_source("source", "of", few)
     cut = sized.join(send(goal.select("of", "slices")), here).select("source", "size", "key", slice_of(F.col("key"), F.col("slices")).alias("slice"))
     sums = cut.groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))
     upto = F.sum("in_slice").over(Window.partitionBy("source").orderBy("slice"))
     ends = sums.withColumn("upto", upto).join(send(goal.select("of", "rest")), here).filter("rest > 0 and upto >= rest and upto - in_slice < rest")
     ends = ends.select(F.col("source").alias("end_of"), F.col("slice").alias("end"), (F.col("upto") - F.col("in_slice")).alias("earlier"), "rest")
-    inside = cut.join(send(ends), F.col("source").eqNullSafe(F.col("end_of")) & (F.col("slice") == F.col("end")))
+    inside = cut.join(send(ends), same_source("source", "end_of", few) & (F.col("slice") == F.col("end")))
     groups = inside.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("earlier").alias("earlier"), F.first("rest").alias("rest"))
     through = F.col("earlier") + F.sum("size").over(Window.partitionBy("source").orderBy("key"))
     near = groups.withColumn("through", through).filter(2 * F.col("through") - F.col("size") <= 2 * F.col("rest"))
@@ -121,7 +128,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, weights: tuple[int, ..
     sized = materialise(drawn.select(F.col("_id").alias("doc_id"), "source", "size", (F.col("_key") / F.col("weight")).alias("key")), "mix-sizes")
     few = few_sources(sized)
     goal = plan(sized, weights, most, slice_rows, few).withColumnRenamed("source", "of")
-    return sized.join(F.broadcast(goal) if few else goal, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("key"))).cast("long").alias("taken"))
+    return sized.join(F.broadcast(goal) if few else goal, same_source("source", "of", few)).select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("key"))).cast("long").alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, labels: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -131,8 +138,8 @@ def mixed_rows(docs: DataFrame, labels: DataFrame | None = None, weights: tuple[
     narrow = weighed(docs, labels, [F.col("doc_id").alias("_id"), "source", size_of().alias("size"), key_of(F.lit(1.0)).alias("_key")])
     sized = materialise(narrow.select("source", "size", key), "mix-sizes")
     few = few_sources(sized)
-    goal = materialise(plan(sized, weights, most, slice_rows, few), "mix-plan").withColumnRenamed("source", "of")
+    goal = materialise(plan(sized, weights, most, slice_rows, few), "mix-plan", 0).withColumnRenamed("source", "of")
     rows = weighed(docs, labels, [*row, F.col("source"), key_of(F.lit(1.0)).alias("_key")]).select("_row", "source", key)
-    rows = rows.join(F.broadcast(goal) if few else goal, F.col("source").eqNullSafe(F.col("of"))).select("_row", times(F.col("key")).cast("int").alias("n"))
+    rows = rows.join(F.broadcast(goal) if few else goal, same_source("source", "of", few)).select("_row", times(F.col("key")).cast("int").alias("n"))
     rows = rows.filter("n > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -11,7 +11,9 @@ their id, so the driver holds a bounded table. Features come from the text alone
 
 Defined cases: a null text counts as empty; an empty text has all features 0 and gets the
 model's score for that; rows without a label are not learned from; a fit without rows, or
-with labels of one kind only, scores all texts by the smoothed share of label 1.
+with labels of one kind only, scores all texts by the smoothed share of label 1; texts of any
+length are measured whole; rows that repeat are scored alike, and each is learned from; rows of
+the sample with equal hashes stand in order of id; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations

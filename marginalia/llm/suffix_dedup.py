@@ -14,10 +14,14 @@ one anchor form an interval, whose bytes are its *context*. Then:
    scans), and adjacent common prefixes of ``length`` bytes mark the repeated starts.
 
 A group of more than ``hot`` different contexts is split by the anchor's offset within
-the string, which equal strings share. Nothing is sampled or capped.
+the string, and beyond as many parts as there are offsets also by a hash of the string's
+first bytes; equal strings share both. Nothing is sampled or capped. Contexts count as equal
+if their lengths, the hash of their anchor and a 128-bit digest of their bytes are (XXH3, not
+made against adversaries).
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` lose nothing;
-rows that repeat (even with equal ids) are documents of their own; a null id is a value.
+rows that repeat (even with equal ids) are documents of their own; a null id is a value;
+an empty table gives an empty result; columns other than doc_id and text play no part.
 Runs of one byte and other periodic texts, of any length, are judged in full.
 """
 
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import mapped, materialise, ship, text_or_empty, texts, trim, with_columns
+from marginalia.llm.common import hot_join, mapped, materialise, ship, text_or_empty, texts, trim, with_columns
 
 GRAM = 32  # bytes of an anchor's gram; a power of two
 SECTION = 1 << 20  # starts judged at once
@@ -246,29 +250,29 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 16384) -> Data
 
     def located(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, begins, ends = joined(batch)
-        view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+        view, digest = memoryview(data), xxhash.xxh3_128_digest
         cols = [[np.empty(0, t)] for t in (np.int64, np.int64, np.int64, np.uint64, bool)]
         for found in intervals(data, ends, length):
             for c, x in zip(cols, found, strict=True):
                 c.append(x)
         doc, start, size, v, twice = map(np.concatenate, cols)
-        ch = np.array([digest(view[i:j]) for i, j in zip(start.tolist(), (start + size + length - 1).tolist(), strict=True)], dtype=np.uint64)
+        ch = pa.array([digest(view[i:j]) for i, j in zip(start.tolist(), (start + size + length - 1).tolist(), strict=True)], pa.binary())
         pick = pa.array(doc)
-        arrays = [pa.array(v.view(np.int64)), pa.array(ch.view(np.int64)), batch.column("doc_id").take(pick), batch.column("th").take(pick)]
+        arrays = [pa.array(v.view(np.int64)), ch, batch.column("doc_id").take(pick), batch.column("th").take(pick)]
         arrays += [pa.array(start - begins[doc]), pa.array(size.astype(np.int32)), pa.array(twice)]
         return pa.RecordBatch.from_arrays(arrays, names=["ah", "ch", "doc_id", "th", "p0", "m", "twice"])
 
     again = mapped(docs.select("text"), counted, "ah long, n long").groupBy("ah").agg(F.sum("n").alias("n")).filter("n >= 2").select("ah")
-    rows = mapped(docs, located, f"ah long, ch long, doc_id {id_type}, th long, p0 long, m int, twice boolean")
+    rows = mapped(docs, located, f"ah long, ch binary, doc_id {id_type}, th long, p0 long, m int, twice boolean")
     found = materialise(rows.join(again, "ah", "left_semi"), "suffix-candidates")
 
     same = found.groupBy("ah", "ch", "m").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min(F.struct("doc_id", "th", "p0")).alias("at"))
     sure = same.filter("n >= 2").select("ah", "ch", "m")
-    whole = found.join(sure, ["ah", "ch", "m"], "left_semi").select("doc_id", "th", F.col("p0").alias("a"), (F.col("p0") + F.col("m")).alias("b"))
+    whole = hot_join(found, sure, ["ah", "ch", "m"], "left_semi").select("doc_id", "th", F.col("p0").alias("a"), (F.col("p0") + F.col("m")).alias("b"))
 
     groups = same.groupBy("ah").agg(F.count(F.lit(1)).alias("width"), F.min("n").alias("least"), F.max("twice").alias("any_twice"))
     groups = groups.filter("least = 1 and (width >= 2 or any_twice)").select("ah", "width")
-    open_ = same.join(groups, "ah").select("ah", "ch", "m", "n", "width", "at.*")
+    open_ = hot_join(same, groups, ["ah"]).select("ah", "ch", "m", "n", "width", "at.*")
     asked = open_.groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "ch", "m", "n", "width", "p0")).alias("asked"))
     fetched = asked.withColumnsRenamed({"doc_id": "k1", "th": "k2"}).join(docs, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("k2"))).select("doc_id", "th", "asked", "text")
 
@@ -280,8 +284,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 16384) -> Data
                 ctx = text[q["p0"] : q["p0"] + q["m"] + length - 1]
                 split = [(0, 0, q["m"])]
                 if q["width"] > hot:
-                    offset = anchors(np.frombuffer(ctx, np.uint8), length)[1] - np.arange(q["m"])
-                    part = offset * min(length - GRAM + 1, -(-q["width"] // hot)) // (length - GRAM + 1)
+                    s = np.frombuffer(ctx, np.uint8)
+                    offsets, parts = length - GRAM + 1, -(-q["width"] // hot)
+                    part = (anchors(s, length)[1] - np.arange(q["m"])) * min(offsets, parts) // offsets
+                    if parts > offsets:  # more than offsets tell apart: the string's first bytes do too
+                        more = -(-parts // offsets)
+                        part = part * more + (gram_hashes(s)[: q["m"]] % np.uint64(more)).astype(np.int64)
                     edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), q["m"]]
                     split = [(int(part[a]), a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
                 for part, a, m in split:
@@ -289,11 +297,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 16384) -> Data
                         out[k].append(x)
                     doc.append(i)
         pick = pa.array(doc, pa.int64())
-        types = {"ah": pa.int64(), "part": pa.int32(), "ch": pa.int64(), "m": pa.int32(), "n": pa.int64(), "p0": pa.int64(), "ctx": pa.binary()}
+        types = {"ah": pa.int64(), "part": pa.int64(), "ch": pa.binary(), "m": pa.int32(), "n": pa.int64(), "p0": pa.int64(), "ctx": pa.binary()}
         arrays = [pa.array(v, types[k]) for k, v in out.items()]
         return pa.RecordBatch.from_arrays([*arrays, batch.column("doc_id").take(pick), batch.column("th").take(pick)], names=[*out, "doc_id", "th"])
 
-    contexts = mapped(fetched, cut, f"ah long, part int, ch long, m int, n long, p0 long, ctx binary, doc_id {id_type}, th long")
+    contexts = mapped(fetched, cut, f"ah long, part long, ch binary, m int, n long, p0 long, ctx binary, doc_id {id_type}, th long")
     contexts = contexts.repartition("ah", "part").sortWithinPartitions("ah", "part", "ch", "m", "p0")
 
     def judged(batches):

@@ -8,7 +8,8 @@ rules' shapes, not by a URL's length.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and meets no
 rule; repeated URLs are judged once and each row gets the verdict; equal rules with
-different verdicts: block wins; no rule at all: every URL gets the default verdict.
+different verdicts: block wins; no rule at all: every URL gets the default verdict; URLs of
+any length are judged whole; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -65,7 +66,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     short = table.withColumn("short", F.substring("full", 1, PREFIX_HEX))
     fits = found.join(short, "short").filter(F.col("tried_full") == F.col("full"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct("length", F.col("verdict").alias("verdict"), F.col("expr").alias("rule"))).alias("best"))
-    judged = rows.join(best.select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", F.col("best.verdict").alias("told")), (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    # pages without a host are one key; the hash as a further key gives the join exchanges of its own, whose partitions can be split
+    judged = rows.join(best.select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", F.col("best.verdict").alias("told")), (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")) & (F.xxhash64("host", "path") == F.xxhash64("h", "p")), "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("told", F.lit(default)).alias("verdict"))
 
 

@@ -71,6 +71,15 @@ def test_short_length_and_small_sections(frame, prose, monkeypatch):
     assert sorted((str(r[0]), *r[1:]) for r in got) == want
 
 
+def test_more_contexts_of_an_anchor_than_offsets(frame, prose):
+    """A passage within half of all rows: its anchors' groups are split by offset and by first bytes."""
+    common = "zq" + prose(5000, 6)[:38]
+    rows = [(i, prose(2000 + i, 12) + common * (i % 2) + prose(3000 + i // 4 * 4, 12)) for i in range(120)]
+    got = S.remove_repeats(frame(rows), 48, 1).collect()
+    want = sorted((str(i), *w) for (i, _), w in zip(rows, brute([t for _, t in rows], 48), strict=True))
+    assert sorted((str(r[0]), *r[1:]) for r in got) == want
+
+
 def test_odd_rows(frame, odd_rows):
     got = S.remove_repeats(frame(odd_rows).withColumnRenamed("lang", "th"), kept=True).collect()
     want = sorted((str(i), *w) for (i, _), w in zip(odd_rows, brute([t for _, t in odd_rows], 200), strict=True))
