@@ -95,5 +95,29 @@ def test_columns_stay(spark, folder):
         assert out.dtypes == docs.dtypes
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, `_` string, hits long, node long, band string"
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_odd_tables(spark, odd_rows, prose, tmp_path, some):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing names; and no rows at all."""
+    at = f"file://{tmp_path}"
+    rows = [(i, t, None if k % 3 else "en", None if k % 2 else "s", None if k % 5 else 7, "x", 1, None, "b") for k, (i, t) in enumerate([*odd_rows, *odd_rows[-3:], (9, prose(31, 60)), (10, prose(31, 60))])]
+    spark.createDataFrame(rows if some else [], DOCS).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(None, None, None), (6, 1, 0), (9, None, 1), (9, 0, None)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, ""), (2, prose(31, 60))] if some else [], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        docs = P.materialise(stage(spark, docs, at), "odd")
+        assert docs.columns == [c.split()[0].strip("`") for c in DOCS.split(", ")]
+    got = P.STAGES[-1][1](spark, docs, at).collect()
+    if not some:
+        assert got == []
+        return
+    left = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert (6, prose(1, 30000)) in left and not {9, 10} & {i for i, _ in left}  # the latter are all benchmark
+    assert set(left) <= {(i, t) for i, t, *_ in rows} and Counter(r["doc_id"] for r in got) == Counter(i for i, _ in left)
+
+
 def test_pattern_of_the_contract():
     assert re.findall(WORD, "a1-B ü.") == ["a1", "ü"]
