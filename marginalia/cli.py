@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import json
 import time
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
 from marginalia.operators.evaluate import Evaluator
 from marginalia.operators.mechanisms import AIM, MST, MWEM, KWay
-from marginalia.operators.particles import ParticleInference
+from marginalia.operators.particles import ParticleInference, measured_constraint
 from marginalia.operators.pgm import FactoredInference
 from marginalia.plans.privacy import Budget
 from marginalia.plans.schema import all_kway
@@ -46,7 +48,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--rounds", type=int)
     p.add_argument("--max-model-mb", type=float, default=1000.0)
     p.add_argument("--warm-start", action="store_true")
-    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--seed", type=int, help="for runs that repeat; a release leaves it out")
+    p.add_argument("--constraint", help="JSON file of threshold queries: thetas (rows over the attributes), taus and sigma")
+    p.add_argument("--constraint-epsilon", type=float, default=0.5)
+    p.add_argument("--constraint-delta", type=float, default=2e-6)
     return p
 
 
@@ -56,10 +61,13 @@ def make(args: argparse.Namespace, domain):
         args.mechanism, args.engine = PRESETS[args.preset]
     if args.engine == "particles" and args.mechanism != "kway":
         raise ValueError("the particle engine works with the K-Way mechanism only")
-    budget = Budget(args.epsilon, args.delta, not args.unbounded, args.seed)
+    if args.scale_reg and not args.constraint:
+        raise ValueError("--scale-reg weighs the queries of --constraint")
+    seed = {} if args.seed is None else {"seed": args.seed}
+    budget = Budget(args.epsilon, args.delta, not args.unbounded, **seed)
     mechanism = {"kway": lambda: KWay(budget), "mst": lambda: MST(budget), "mwem": lambda: MWEM(budget, args.rounds or 100, args.max_model_mb), "aim": lambda: AIM(budget, args.rounds, args.max_model_mb)}[args.mechanism]()
     if args.engine == "particles":
-        return mechanism, ParticleInference(domain, args.n_particles, args.iters, args.lr or 0.1, args.batch_size, args.num_projections, args.p_mask, proj_iters=args.iters_proj, proj_directions=args.num_projections_proj, seed=args.seed, scale_reg=args.scale_reg)
+        return mechanism, ParticleInference(domain, args.n_particles, args.iters, args.lr or 0.1, args.batch_size, args.num_projections, args.p_mask, proj_iters=args.iters_proj, proj_directions=args.num_projections_proj, seed=budget.seed, scale_reg=args.scale_reg)
     return mechanism, FactoredInference(domain, args.iters, args.lr or 1.0, args.warm_start)
 
 
@@ -67,8 +75,15 @@ def main(argv: list[str] | None = None) -> dict:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("marginalia").getOrCreate()
     data = Dataset.load(spark, args.data, args.domain)
-    workload = all_kway(data.domain, args.degree, args.num_marginals, args.seed)
+    workload = all_kway(data.domain, args.degree, args.num_marginals, args.seed or 0)
     mechanism, engine = make(args, data.domain)
+    if args.constraint:  # X10: a budget of its own, besides that of the marginals
+        if args.engine != "particles":
+            raise ValueError("constraints work with the particle engine only")
+        with open(args.constraint) as f:
+            asked = json.load(f)
+        own = replace(mechanism.budget, epsilon=args.constraint_epsilon, delta=args.constraint_delta, seed=mechanism.budget.seed + 1)
+        engine.constraint = measured_constraint(data.df, data.domain, asked["thetas"], asked["taus"], own, asked.get("sigma", 5.0))
     began = time.time()
     synth = mechanism.run(data.df, data.domain, engine, workload, args.records)
     if args.out:

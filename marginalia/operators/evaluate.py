@@ -75,12 +75,27 @@ class Evaluator:
         return gaps | {"w_avg": sum(w) / len(w), "w_sum": sum(w), "w_max": max(w)}, w
 
 
+def _summed(values, clique: Sequence[str], attrs: Sequence[str]):
+    """The marginal of ``attrs`` of an array over ``clique``."""
+    import numpy as np
+
+    x = np.asarray(values).sum(axis=tuple(i for i, a in enumerate(clique) if a not in attrs))
+    keep = [a for a in clique if a in attrs]
+    return np.transpose(x, [keep.index(a) for a in attrs])
+
+
 @dataclass
 class Logger:
-    """Records metrics of marginals every ``frequency`` calls; pass ``logger`` as an engine's callback."""
+    """Records metrics of marginals every ``frequency`` calls; pass ``logger`` as an engine's callback.
+
+    A true answer is compared with the first clique that contains its attributes. With ``engine`` also the fit to what
+    was measured: the sums of misses in units of noise, and half of their squares. ``feasibility`` is the mean L1 gap
+    of the marginals of cliques on the attributes that two of them share.
+    """
 
     truth: dict
     frequency: int = 50
+    engine: object | None = None
     rows: list[dict] = field(default_factory=list)
     calls: int = 0
     started: float = field(default_factory=time.time)
@@ -93,14 +108,41 @@ class Logger:
     def run(self, marginals: dict) -> None:
         import numpy as np
 
-        gaps = [np.abs(np.ravel(self.truth[c]) - np.ravel(marginals[c])) for c in marginals if c in self.truth]
-        total = sum(float(np.sum(self.truth[c])) for c in marginals if c in self.truth) or 1.0
-        self.rows.append(
-            {
-                "call": self.calls,
-                "time": time.time() - self.started,
-                "l1": float(sum(g.sum() for g in gaps)),
-                "l2": float(sum((g**2).sum() for g in gaps)) ** 0.5,
-                "variation": 0.5 * float(sum(g.sum() for g in gaps)) / total,
-            }
-        )
+        home = {q: next((c for c in marginals if set(q) <= set(c)), None) for q in self.truth}
+        truth = {q: np.ravel(self.truth[q]) for q, c in home.items() if c is not None}
+        gaps = {q: np.abs(t - _summed(marginals[home[q]], home[q], q).ravel()) for q, t in truth.items()}
+        row = {
+            "call": self.calls,
+            "time": time.time() - self.started,
+            "l1": float(sum(g.sum() for g in gaps.values())),
+            "l2": float(sum((g**2).sum() for g in gaps.values())) ** 0.5,
+            "variation": float(np.mean([0.5 * gaps[q].sum() / (t.sum() or 1.0) for q, t in truth.items()])) if truth else 0.0,
+            "feasibility": self.feasibility(marginals),
+        }
+        if self.engine is not None:
+            miss = self.misses(marginals)
+            row |= {"l1_loss": float(np.abs(miss).sum()), "l2_loss": 0.5 * float(miss @ miss)}
+        self.rows.append(row)
+
+    def misses(self, marginals: dict):
+        """How far the marginals are from each measured answer, in units of its noise."""
+        import numpy as np
+
+        measured = self.engine.measured if hasattr(self.engine, "measured") else [m for own in self.engine.groups.values() for m in own]
+        out = [np.empty(0)]
+        for m in measured:
+            home = next(c for c in marginals if set(m.clique) <= set(c))
+            x = _summed(marginals[home], home, m.clique).ravel()
+            out.append(((x if m.q is None else m.q @ x) - m.y) * m.weight)
+        return np.concatenate(out)
+
+    @staticmethod
+    def feasibility(marginals: dict) -> float:
+        import numpy as np
+
+        cliques, gaps = list(marginals), []
+        for i, a in enumerate(cliques):
+            for b in cliques[i + 1 :]:
+                if shared := [x for x in a if x in b]:
+                    gaps.append(float(np.abs(_summed(marginals[a], a, shared) - _summed(marginals[b], b, shared)).sum()))
+        return float(np.mean(gaps)) if gaps else 0.0

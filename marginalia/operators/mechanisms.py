@@ -159,6 +159,10 @@ class AIM:
         cache = MarginalCache(df, domain, [*candidates, *singles])
         rho, scale = self.budget.rho, self.budget.marginal_sensitivity
         rounds = self.rounds or 16 * len(domain)
+        if rounds < 0.9 * len(domain):
+            raise ValueError("single attributes alone take 0.9 rounds each: ask for more rounds")
+        if self.structural_zeros:
+            engine.structural_zeros = {**engine.structural_zeros, **self.structural_zeros}
         sigma, epsilon = math.sqrt(rounds / (1.8 * rho)), math.sqrt(0.8 * rho / rounds)  # sigma: per unit of sensitivity
         total, used, measured, done = _total(self.budget, cache), 0.0, [], False
 
@@ -188,6 +192,8 @@ class AIM:
             moved = float(np.abs(model.project(pick).ravel() - before).sum())
             if moved <= sigma * scale * ROOT_2_PI * domain.size(pick):
                 sigma, epsilon = sigma / 2, epsilon * 2
+        if used > rho * (1 + 1e-9):
+            raise AssertionError("the rounds took more than the budget")
         self.model, self.measured, self.spent = model, measured, used
         return model.synthetic(spark, records)
 

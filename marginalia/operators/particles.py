@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.scalar import uniform
+from marginalia.functions.scalar import threshold_query, uniform
 from marginalia.operators.discretize import Embedding
 from marginalia.operators.pgm import Measurement, estimate_total, fix_measurements
 from marginalia.operators.transport import directions
+from marginalia.plans.privacy import Budget, ana_gaussian_mech
 from marginalia.plans.schema import Clique, Domain
 from marginalia.shipping import ship
 
@@ -218,6 +219,7 @@ class ParticleInference:
         if new:
             found = projection_step(spark, self.domain, new, total, self.proj_iters, self.proj_directions, self.proj_lr, self.seed)
             self._known.update((self._key(m), p) for m, p in zip(new, found, strict=True))
+        self.cliques, self.total, self.measured = list(dict.fromkeys(m.clique for m in measured)), total, measured
         targets = [(self.domain.axes(m.clique), quantise(cell_centers(self.domain, m.clique), self._known[self._key(m)], len(model.x))) for m in measured]
         self.final_loss = self._descend(model, targets)
         return model
@@ -255,7 +257,7 @@ class ParticleInference:
             if (epoch + 1) % self.decay_every == 0:
                 adam.rate *= self.decay
             if self.callback is not None:
-                self.callback({})
+                self.callback({c: model.project(c) * (self.total / len(model.x)) for c in self.cliques})
         return float(losses.sum())
 
 
@@ -273,3 +275,14 @@ class ThresholdConstraint:
         miss = s.mean(axis=0) - self.answers
         slope = (self.sigma / len(x)) * s * (1 - s) * miss
         return float(0.5 * (miss**2).sum()), slope @ np.asarray(self.thetas)
+
+
+def measured_constraint(df: DataFrame, domain: Domain, thetas: Sequence[Sequence[float]], taus: Sequence[float], budget: Budget, sigma: float = 5.0) -> ThresholdConstraint:
+    """The queries' noisy means over the rows of ``df`` as a constraint. A row moves each mean by 1 / N at most."""
+    points = Embedding(domain).embed(df)
+    x = [F.col("x_" + a) for a in domain]
+    means = [F.avg(threshold_query(x, theta, tau, sigma)).alias(f"m{i}") for i, (theta, tau) in enumerate(zip(thetas, taus, strict=True))]
+    row = points.agg(F.count(F.lit(1)).alias("n"), *means).first()
+    noise = ana_gaussian_mech(budget.epsilon, budget.delta) * len(means) ** 0.5 / max(1, row["n"])
+    answers = np.array(row[1:], float) + np.random.default_rng(budget.seed).normal(0, noise, len(means))
+    return ThresholdConstraint(np.array(thetas, float), np.array(taus, float), answers, sigma)

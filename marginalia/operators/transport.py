@@ -178,25 +178,53 @@ def sinkhorn_gradient(a: np.ndarray, b: np.ndarray, cost: np.ndarray, reg: float
     return np.clip(sinkhorn(a, b, cost, reg)[0], -most, most)
 
 
-def nearest_probability(signed_weights: np.ndarray, cost: np.ndarray, reg: float = 0.05, steps: int = 500, rate: float = 0.1) -> np.ndarray:
-    """A probability vector near signed weights in transport cost, by mirror descent on the entropic cost to their
-    positive part (no linear-programming solver is at hand; a vector that is one already comes back unchanged)."""
+CREATED = 2.0  # what a unit of new mass costs; moving it costs the distance
+
+
+def nearest_probability(signed_weights: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The probability vector nearest to signed weights, if a unit moves at ``cost`` and is made at ``CREATED``.
+
+    The linear program in its transport form: mass at positive cells first serves the total of 1 where it lies, for
+    nothing; what is beyond that fills negative cells, by successive cheapest paths, as long as moving is cheaper than
+    making; the rest is made. Where solutions tie, the mass that stays is scaled as a whole.
+    """
     v = np.asarray(signed_weights, float)
-    if (v >= 0).all() and abs(v.sum() - 1) < 1e-12:
-        return v
-    target = np.maximum(v, 0)
-    if target.sum() == 0:
+    have, want = np.flatnonzero(v > 0), np.flatnonzero(v < 0)
+    if not len(have):
         return np.full(len(v), 1 / len(v))
-    target, debt = target / target.sum(), np.maximum(-v, 0)
-    # negative mass is taken from the nearest positive cells first
-    order = np.argsort(cost, axis=1)
-    left = np.maximum(v, 0)
-    for i in np.flatnonzero(debt):
-        need = debt[i]
-        for j in order[i]:
-            take = min(need, left[j])
-            left[j] -= take
-            need -= take
-            if need <= 0:
+    left, need = v[have].copy(), -v[want]
+    spare, flow = left.sum() - 1, np.zeros((len(have), len(want)))
+    price = np.asarray(cost, float)[np.ix_(have, want)]
+    while spare > 1e-12 and need.size and need.max() > 1e-12:
+        at, into = np.where(left > 1e-12, 0.0, np.inf), np.full(len(want), np.inf)  # cheapest way to each cell
+        by, back = np.full(len(want), -1), np.full(len(have), -1)
+        for _ in range(len(v)):
+            ways = at[:, None] + price
+            near, first = ways.min(axis=0), ways.argmin(axis=0)
+            better = near < into - 1e-12
+            into[better], by[better] = near[better], first[better]
+            undo = np.where(flow > 1e-12, into[None, :] - price, np.inf)  # a cell served by another way frees its mass
+            cheap, where = undo.min(axis=1), undo.argmin(axis=1)
+            again = cheap < at - 1e-12
+            at[again], back[again] = cheap[again], where[again]
+            if not better.any() and not again.any():
                 break
-    return left / left.sum() if left.sum() > 0 else target
+        j = int(np.where(need > 1e-12, into, np.inf).argmin())
+        if need[j] <= 1e-12 or into[j] >= CREATED:
+            break
+        path, i = [], int(by[j])
+        path.append((i, j))
+        while back[i] >= 0:
+            j2 = int(back[i])
+            path.append((i, j2))
+            i = int(by[j2])
+            path.append((i, j2))
+        most = min(spare, need[j], left[i], *(flow[a, b] for a, b in path[1::2]))
+        for step, (a, b) in enumerate(path):
+            flow[a, b] += most if step % 2 == 0 else -most
+        left[i] -= most
+        need[j] -= most
+        spare -= most
+    out = np.zeros(len(v))
+    out[have] = np.maximum(left, 0)
+    return out / out.sum()

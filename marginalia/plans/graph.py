@@ -45,7 +45,7 @@ def adjacency(domain: Domain, cliques: Iterable[Sequence[str]]) -> dict[str, set
 def elimination_order(domain: Domain, cliques: Iterable[Sequence[str]], elim: Iterable[str] | None = None, rng: random.Random | None = None) -> list[str]:
     """Eliminate, each time, the attribute whose neighbourhood has the fewest cells (first in schema order on ties).
 
-    With ``rng`` the choice is random, in proportion to how much cheaper a candidate is than the dearest.
+    With ``rng`` the choice is random, by softmax of minus the log of the cells: half the cells, twice as likely.
     """
     near, order = adjacency(domain, cliques), []
     left = list(domain.canonical(elim if elim is not None else domain.attrs))
@@ -54,8 +54,7 @@ def elimination_order(domain: Domain, cliques: Iterable[Sequence[str]], elim: It
         if rng is None:
             pick = min(left, key=cost.__getitem__)
         else:
-            most = max(cost.values())
-            pick = rng.choices(left, [most - cost[a] + 1 for a in left])[0]
+            pick = rng.choices(left, [min(cost.values()) / cost[a] for a in left])[0]
         for a in near[pick]:
             near[a] |= near[pick] - {a}
             near[a].discard(pick)

@@ -529,10 +529,23 @@ def eval_l2(spark, sf_dir):
     return evaluate.marginal_gaps(*parity_rows(spark, sf_dir), LINEITEM, all_kway(LINEITEM, 2)).select("clique_id", F.round("l2", 7).alias("l2"))
 
 
-@query()
+def _w_sql(domain: Domain, n: int) -> str:
+    """Sliced distances of the parity halves, with the directions written out."""
+    parts = []
+    for i, c in enumerate(all_kway(domain, 2)):
+        lines = transport.directions(2, n, i).tolist()
+        values = ", ".join(f"({j}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for j, (a, b) in enumerate(lines))
+        z = f"t.a * ((2 * {c[0]} + 1) / {2 * domain[c[0]]}.0::DOUBLE) + t.b * ((2 * {c[1]} + 1) / {2 * domain[c[1]]}.0::DOUBLE)"
+        parts.append(f"""SELECT {i} AS clique_id, round(avg(w1), 6) AS w1 FROM (SELECT proj, sum(abs(g) * dz) AS w1 FROM (
+          SELECT proj, sum(w) OVER (PARTITION BY proj ORDER BY z ROWS UNBOUNDED PRECEDING) AS g, lead(z) OVER (PARTITION BY proj ORDER BY z) - z AS dz FROM (
+            SELECT proj, {z} AS z, w FROM (SELECT {c[0]}, {c[1]}, sum(CASE WHEN l_orderkey % 2 = 0 THEN 1.0::DOUBLE / n0 ELSE -1.0::DOUBLE / n1 END) AS w FROM d, nn GROUP BY 1, 2), (VALUES {values}) t(proj, a, b))) GROUP BY proj)""")
+    return f"WITH {D}, nn AS (SELECT count(*) FILTER (l_orderkey % 2 = 0) AS n0, count(*) FILTER (l_orderkey % 2 = 1) AS n1 FROM d) " + " UNION ALL ".join(parts)
+
+
+@query(_w_sql(LINEITEM, 20))
 def eval_w(spark, sf_dir):
-    """Rows only, as the directions are random."""
-    return evaluate.wasserstein(*parity_rows(spark, sf_dir), LINEITEM, all_kway(LINEITEM, 2), 20)
+    """The sliced distance of each pair of attributes."""
+    return evaluate.wasserstein(*parity_rows(spark, sf_dir), LINEITEM, all_kway(LINEITEM, 2), 20).select("clique_id", F.round("w1", 6).alias("w1"))
 
 
 @query("SELECT round(avg(1 / (1 + exp(-10 * (0.6 * (l_quantity / 50) + 0.8 * (l_discount * 10) - 0.7)))), 7) AS answer FROM lineitem")
@@ -557,7 +570,7 @@ def laplace_noise(spark, sf_dir):
     return noise.with_laplace_noise(answers, 4.0, 1)
 
 
-BUDGET = Budget(2.5, 1e-5)
+BUDGET = Budget(2.5, 1e-5, seed=0)  # repeatable, for a benchmark; a release draws its own
 
 
 @query()
@@ -663,18 +676,3 @@ def evaluation_summary(spark, sf_dir):
     """V03, T07."""
     gaps = evaluate.marginal_gaps(*parity_rows(spark, sf_dir), LINEITEM, all_kway(LINEITEM, 2))
     return gaps.agg(*(F.round(f(m), 7).alias(f"{m}_{n}") for m in ("l1", "l2") for n, f in (("avg", F.avg), ("max", F.max))))
-
-
-@query()
-def train_test_split(spark, sf_dir):
-    """Rows of the test part; the split depends on the key alone."""
-    from marginalia.sources.tables import split
-
-    return split(table(spark, sf_dir, "customer"), ["c_custkey"])[1]
-
-
-@query()
-def table_coding(spark, sf_dir):
-    """A whole table coded at once."""
-    df = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_size", "p_retailprice")
-    return discretize.Coder.fit(df, 16).forward(df)

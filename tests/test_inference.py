@@ -197,6 +197,46 @@ def test_sinkhorn():
     assert p.sum() == pytest.approx(1) and (p >= 0).all() and T.nearest_probability(a, cost) is not None
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_nearest_probability_against_all_moves(seed):
+    """Whole units of a tenth: every way to fill the negative cells from what exceeds a total of 1."""
+    rng = np.random.default_rng(seed)
+    n = 4
+    x = rng.random((n, 2))
+    cost = np.abs(x[:, None] - x[None]).max(-1) * rng.choice([0.5, 3.0])
+    v = rng.integers(-2, 7, n).astype(float)
+    v[v.argmax()] += max(0, 10 - np.maximum(v, 0).sum() + rng.integers(0, 3))
+
+    def best(have, need, spare):
+        j = next((j for j in range(n) if need[j]), None)
+        if j is None or not spare:
+            return 2.0 * sum(need)
+        out = 2.0 + best(have, [m - (k == j) for k, m in enumerate(need)], spare)
+        for i in range(n):
+            if have[i]:
+                out = min(out, cost[i, j] + best([h - (k == i) for k, h in enumerate(have)], [m - (k == j) for k, m in enumerate(need)], spare - 1))
+        return out
+
+    have, need = [int(max(0, y)) for y in v], [int(max(0, -y)) for y in v]
+    spare = max(0, sum(have) - 10)
+    p = T.nearest_probability(v / 10, cost)
+    assert p.sum() == pytest.approx(1) and (p >= 0).all()
+    if sum(need) and spare >= sum(need):  # all of it can be moved; what is left tells what was, up to scale
+        left = p * (sum(have) - sum(need)) if best(have, need, spare) < 2.0 * sum(need) and (cost < 2).all() else None
+        if left is not None:
+            moved = np.array(have) - left
+            assert (moved > -1e-6).all() and moved.sum() == pytest.approx(sum(need))
+            ways = best([round(m) for m in moved], need, sum(need))
+            assert ways == pytest.approx(best(have, need, spare))
+
+
+def test_nearest_probability_keeps_what_is_one():
+    cost = np.abs(np.subtract.outer(np.arange(3), np.arange(3))).astype(float)
+    assert T.nearest_probability(np.array([0.2, 0.5, 0.3]), cost) == pytest.approx([0.2, 0.5, 0.3])
+    assert T.nearest_probability(np.array([-0.2, -0.5, 0.0]), cost) == pytest.approx([1 / 3] * 3)
+    assert T.nearest_probability(np.array([0.4, -0.5, 0.4]), cost) == pytest.approx([0.5, 0, 0.5])  # too little to give any away
+
+
 # --- particles -------------------------------------------------------------------------------------------------------------
 
 
@@ -273,9 +313,14 @@ def test_utility_grows_with_epsilon(spark, data, name):
 def test_budgets_are_kept(spark, data):
     df, _ = data
     b = Budget(1.0, 1e-5)
-    aim = AIM(b, 6)
-    aim.run(df, DOM, E.FactoredInference(DOM, iters=50), all_kway(DOM, 2))
-    assert aim.spent <= b.rho * (1 + 1e-9)
+    for rounds in (4, 6):
+        aim = AIM(b, rounds, structural_zeros={("a", "b"): [(0, 0)]})
+        engine = E.FactoredInference(DOM, iters=30)
+        aim.run(df, DOM, engine, all_kway(DOM, 2), 10)
+        assert aim.spent <= b.rho * (1 + 1e-9) and engine.model.project(("a", "b"))[0, 0] == 0
+    for rounds in (1, 2, 3):
+        with pytest.raises(ValueError):
+            AIM(b, rounds).run(df, DOM, engine, all_kway(DOM, 2))
     mwem = MWEM(b, 3, max_model_mb=0.0)
     mwem.run(df, DOM, E.FactoredInference(DOM, iters=5), all_kway(DOM, 2), 10)
     assert mwem.measured == []
@@ -322,6 +367,37 @@ def test_sources(spark, data, tmp_path):
     assert [r["name"] for r in Src.eligible(cat).collect()] == ["p"]
 
 
+def test_constraint_from_the_command_line(spark, data, tmp_path):
+    df, x = data
+    at = f"file://{tmp_path}"
+    df.write.parquet(f"{at}/rows.parquet")
+    Src.write_text(spark, json.dumps(DOM.config), f"{at}/domain")
+    asked = tmp_path / "asked.json"
+    asked.write_text(json.dumps({"thetas": [[1.0, 0.5, 0.0, 0.0]], "taus": [0.6]}))
+    given = ["--data", f"{at}/rows.parquet", "--domain", f"{at}/domain", "--preset", "particles", "--iters", "3", "--n-particles", "300", "--iters-proj", "3", "--num-projections-proj", "3"]
+    row = cli.main([*given, "--constraint", str(asked), "--scale-reg", "5", "--seed", "4"])
+    assert row["scale_reg"] == 5 and row["loss"] >= 0
+    con = K.measured_constraint(df, DOM, [[1.0, 0.5, 0.0, 0.0]], [0.6], Budget(50.0, 1e-2, seed=1))
+    pts = (2 * x + 1) / (2 * np.array(DOM.shape))
+    assert con.answers[0] == pytest.approx((1 / (1 + np.exp(-5 * (pts[:, 0] + 0.5 * pts[:, 1] - 0.6)))).mean(), abs=0.01)
+    with pytest.raises(ValueError):
+        cli.main([*given, "--scale-reg", "5"])
+
+
+def test_logger_of_either_engine(spark, data):
+    _, x = data
+    measured = [E.Measurement(c, true(x, c).ravel(), 1.0) for c in CLIQUES]
+    engine = E.FactoredInference(DOM, iters=20)
+    log = Logger({c: true(x, c) for c in CLIQUES} | {("a",): true(x, ("a",))}, 5, engine)
+    engine.callback = log
+    engine.estimate(measured)
+    assert log.rows[0]["l2_loss"] >= log.rows[-1]["l2_loss"] and log.rows[-1]["feasibility"] < 1 and log.rows[-1]["variation"] < 0.5
+    points = K.ParticleInference(DOM, n_particles=400, iters=10, proj_iters=3, proj_directions=3)
+    points.callback = log2 = Logger({c: true(x, c) for c in CLIQUES}, 9, points)
+    points.estimate(spark, measured)
+    assert len(log2.rows) == 2 and log2.rows[-1]["l1"] < log2.rows[0]["l1"] and log2.rows[-1]["feasibility"] == pytest.approx(0, abs=1e-6)
+
+
 def test_command_line(spark, data, tmp_path):
     df, _ = data
     at = f"file://{tmp_path}"

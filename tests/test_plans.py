@@ -81,7 +81,7 @@ def test_noise_calibration():
     s = P.gaussian_mech(1.0, 1e-5)
     rho = 1 / (2 * s * s)
     assert rho + 2 * math.sqrt(rho * math.log(1e5)) == pytest.approx(1.0)
-    assert P.gaussian_mech(1.0, 1e-5, k=4) == pytest.approx(2 * s) and P.gaussian_mech(1.0, 1e-5, prob=0.01) < s
+    assert P.gaussian_mech(1.0, 1e-5, k=4) == pytest.approx(2 * s)
     a = P.ana_gaussian_mech(1.0, 1e-5)
     assert a < P.classical_gaussian_mech(1.0, 1e-5) and a == pytest.approx(3.73, abs=0.01)
     assert P.laplace_mech(1.0, 0) == 1.0 and P.laplace_mech(1.0, 1e-5, k=50) < 50
@@ -99,3 +99,37 @@ def test_budget():
     assert b.best_noise(1, 1, 1.0, 1e-5)[0] == "laplace" and b.best_noise(1000, 1, 1.0, 1e-5)[0] == "gaussian"
     assert b.laplace_noise_scale(1, 0.5) == 4.0 and u.laplace_noise_scale(1, 0.5) == 2.0
     assert len({frozenset(c) for c in combinations("abc", 2)}) == 3
+
+
+def test_subsampled_noise_grows_with_the_probability():
+    for mech in (P.gaussian_mech, P.laplace_mech):
+        noise = [mech(1.0, 1e-5, prob=p) for p in (1e-4, 0.01, 0.1, 0.5, 0.9, 1 - 1e-9)]
+        assert noise == sorted(noise) and noise[0] > 0.05
+        assert noise[-1] == pytest.approx(mech(1.0, 1e-5), rel=0.02)
+        assert mech(1.0, 1e-5, 50, 0.1) > mech(1.0, 1e-5, 1, 0.1)
+    s = P.gaussian_mech(1.0, 1e-5, 10, 0.05)
+    rdp = lambda a: P.rdp_subsampled(lambda x: P.rdp_gaussian(s, x), 0.05, a, True)
+    assert P.eps_from_rdp(rdp, 1e-5, 10) == pytest.approx(1.0, rel=1e-6)
+    assert P.subsampled_prob_for(lambda a: P.rdp_gaussian(0.01, a), 1.0, 1e-5) < 1e-3
+    assert P.subsampled_prob_for(lambda a: P.rdp_gaussian(100.0, a), 1.0, 1e-5) > 0.99
+    for p in (0.0, 0.3, 1.0):
+        assert P.rdp_subsampled(lambda a: 2.0, p, 3.0) == pytest.approx(math.log(1 - p + p * math.exp(4.0)) / 2)
+    with pytest.raises(ValueError):
+        P.gaussian_mech(1.0, 1e-5, prob=0.0)
+    assert P.subsample_epsdelta_inverse(1.0, 0.5, 0.1)[1] == 1.0
+
+
+def test_sampled_gaussian_divergence_is_exact():
+    """Against numeric integration of the mixture's density ratio."""
+    import numpy as np
+
+    for a, q, s in ((2, 0.3, 1.0), (5, 0.1, 1.5)):
+        x = np.linspace(-30, 30, 600_001)
+        base = np.exp(-(x**2) / (2 * s * s)) / (s * math.sqrt(2 * math.pi))
+        ratio = 1 - q + q * np.exp((2 * x - 1) / (2 * s * s))
+        want = math.log(float((base * ratio**a).sum() * (x[1] - x[0]))) / (a - 1)
+        assert P.rdp_subsampled(lambda o, s=s: P.rdp_gaussian(s, o), q, a, True) == pytest.approx(want, rel=1e-6)
+
+
+def test_budgets_draw_their_own_seeds():
+    assert P.Budget(1.0, 1e-5).seed != P.Budget(1.0, 1e-5).seed and P.Budget(1.0, 1e-5, seed=3).seed == 3
