@@ -215,7 +215,7 @@ def hub_links(units: DataFrame, held: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
-def straggler_links(units: DataFrame, large: DataFrame, belongs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
+def straggler_links(units: DataFrame, large: DataFrame, belongs: DataFrame, held: DataFrame, k: int, percent: int, nodes: int) -> DataFrame:
     """Links of large units that ``hub_links`` could not see, as their members were dealt to several tasks.
 
     ``large``: hub and rows of those units. Members of another component than the hub's, in blocks of ``BLOCK``, meet
@@ -225,7 +225,7 @@ def straggler_links(units: DataFrame, large: DataFrame, belongs: DataFrame, held
     rows = hot_join(units, large.join(own, "hub", "left"), ["hub"]).join(belongs, "node", "left")
     apart = F.coalesce("component", "node") != F.coalesce("hub_component", "hub")
     rows = rows.select("hub", "node", F.coalesce("component", "node").alias("component"), apart.alias("apart"), F.ceil(F.col("rows") / UNIT_ROWS).cast("int").alias("salts"))
-    rows = materialise(rows, "large-units", 0)
+    rows = materialise(rows, "large-units", nodes)
     blocks = rows.filter("apart").groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = hot_join(rows, blocks, ["hub"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -264,13 +264,14 @@ def stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, nodes: int) -> DataFrame:
     """Edges (u, v) from each node that has a link (a, b) to the smallest node it reaches, but from that itself.
+    ``nodes``: about how many there are.
 
     Large-star and small-star steps; minima are aggregates, so no node's neighbours are gathered in one place.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
-    edges = materialise(edges.distinct(), "links", 0)
+    edges = materialise(edges.distinct(), "links", nodes)
     rows = edges.count()  # steps make no more
     while rows and not stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -303,21 +304,21 @@ def with_components(df: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = materialise(hot_join(banded, buckets, ["band"]), "buckets", n)  # members of buckets of two or more
+    shared = materialise(hot_join(banded, buckets, ["band"]), "buckets", 8 * n)  # members of buckets of two or more
     degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
     hubs = shared.join(degree, "node").groupBy("band").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
     units = materialise(hot_join(shared, hubs, ["band"]).filter("node <> hub").select("hub", "node").distinct(), "units", n)
 
     wanted = shared.select("node").distinct().join(nodes.select("node", "at.*"), "node").withColumnsRenamed({"doc_id": "k1", "th": "k2"})
     here = F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("k2"))
-    held = materialise(wanted.join(docs, here).select("node", "text").dropDuplicates(["node"]), "set-texts", n)
+    held = materialise(wanted.join(docs, here).select("node", "text").dropDuplicates(["node"]), "set-texts")
 
-    edges = components(materialise(hub_links(units, held, shingle, percent), "links", n))
+    edges = components(materialise(hub_links(units, held, shingle, percent), "links", n), n)
     large = units.groupBy("hub").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > UNIT_ROWS)
     if not large.isEmpty():
-        more = materialise(straggler_links(units, large, membership(edges), held, shingle, percent), "links", n)
+        more = materialise(straggler_links(units, large, membership(edges), held, shingle, percent, n), "links", n)
         if not more.isEmpty():
-            edges = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
+            edges = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more), n)
 
     # singles are left out here: a component that holds many nodes is a hot key of the join, which can be split
     linked_ = membership(edges).join(nodes.select("node", "first_id"), "node")

@@ -19,7 +19,7 @@ from marginalia.shipping import ship
 
 #: Rows of an Arrow batch are cut into pieces of at most so many characters.
 PIECE_CHARS = 4_000_000
-FILE_ROWS = 250_000
+FILE_ROWS = 100_000  # of a written table of narrow rows
 
 
 def shared_dir(spark: SparkSession) -> str:
