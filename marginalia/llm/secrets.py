@@ -157,20 +157,6 @@ def known_cost(value: str) -> float:
     return guess_cost(value)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation; 0 for the empty value."""
-    n = len(value)
-    ending: dict[int, list[tuple[int, float]]] = {}
-    for i, j, _, cost in segments(value):
-        ending.setdefault(j, []).append((i, cost))
-    best, brute = [0.0] * (n + 1), [math.inf] * (n + 1)
-    for j in range(1, n + 1):
-        start = best[j - 1] + (STEP if j > 1 else 0.0)
-        brute[j] = brute_cost(value[j - 1]) + min(brute[j - 1], start)
-        best[j] = min([brute[j], *(best[i] + cost + (STEP if i else 0.0) for i, cost in ending.get(j, ()))])
-    return best[n]
-
-
 def cost_of(value: str) -> float:
     """``guess_cost``, remembered for values of usual length."""
     return known_cost(value) if len(value) <= 200 else guess_cost(value)
