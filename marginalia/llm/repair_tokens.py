@@ -29,6 +29,7 @@ import re
 import struct
 import zlib
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,9 @@ LEAST = 16  # occurrences for a rule
 ODD_ASCII = bytes(b for b in range(32) if b != 10)
 ODD_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 ODD_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf")
-#: Blanks and line ends that do not stand alone between other characters.
-CLUSTERS = (b"  ", b"\n\n", b" \n", b"\n ")
 FIRST = "\x01"
 POOL = 800_000  # words
-PIECE = 6_000_000  # bytes of text encoded at once; more would only spare lookups a rebuilt index of the pool
+PIECE = 9_000_000  # bytes of text encoded at once; each piece indexes the pool once, and holds some ten times its bytes
 
 
 @lru_cache(maxsize=2)
@@ -140,7 +139,7 @@ class Encoder:
 
     def is_plain(self, data: bytes) -> bool:
         """Whether a text is the sum of its words. Cheap tests come first; what follows is only asked of few texts."""
-        if data[:1] == b" " or data[-1:] == b" " or any(c in data for c in CLUSTERS) or len(data.translate(None, ODD_ASCII)) < len(data) or special_strings(self.path).search(data):
+        if data[:1] == b" " or data[-1:] == b" " or b"  " in data.replace(b"\n", b" ") or len(data.translate(None, ODD_ASCII)) < len(data) or special_strings(self.path).search(data):
             return False
         return data.isascii() or not any(c in data for c in ODD_LEADS) or not ODD_SPACE.search(data.decode())
 
@@ -329,7 +328,7 @@ class Block:
         out: list[list[int]] = []
         for a, b in self.rules.tolist():
             out.append((out[a - self.first_rule] if a >= self.first_rule else [a]) + (out[b - self.first_rule] if b >= self.first_rule else [b]))
-        flat = np.concatenate([np.arange(self.first_rule, dtype=np.uint32), *(np.array(x, np.uint32) for x in out)])
+        flat = np.append(np.arange(self.first_rule, dtype=np.uint32), np.fromiter(chain.from_iterable(out), np.uint32))
         size = np.concatenate([np.ones(self.first_rule, np.int32), self.lengths.astype(np.int32)])
         return flat, (np.cumsum(size) - size).astype(np.int32), size
 
