@@ -46,7 +46,11 @@ LEAST = 16  # occurrences for a rule
 ODD_ASCII = bytes(b for b in range(32) if b != 10)
 ODD_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 ODD_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf")
+ODD_BYTES = ODD_ASCII + bytes({c[0] for c in ODD_LEADS})
 FIRST = "\x01"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # no letter, digit or white space in any reading of it
+LONGEST = 64
+ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 POOL = 800_000  # words
 PIECE = 9_000_000  # bytes of text encoded at once; each piece indexes the pool once, and holds some ten times its bytes
 
@@ -77,12 +81,55 @@ def id_widths(path: str) -> np.ndarray:
     return out
 
 
+def byte_lengths(words: pa.Array) -> np.ndarray:
+    return pc.binary_length(words).to_numpy(zero_copy_only=False)
+
+
+def cut_marks(words: pa.Array) -> list[pa.Array]:
+    """Each word without the ASCII punctuation at its end, and that punctuation after ``FIRST``.
+
+    The vocabulary's pattern starts a piece where punctuation follows a letter or digit, so the ids of both make those of
+    the word. Where the last character before is none of ASCII's or Latin's (up to U+027F), or more than ``LONGEST`` marks
+    follow, the word stays whole.
+    """
+    stems = pc.ascii_rtrim(words, characters=MARKS)
+    ends, data = np.frombuffer(stems.buffers()[1], np.int64, len(stems) + 1)[1:], np.frombuffer(stems.buffers()[2] or b"", np.uint8)
+    data = np.append(np.zeros(2, np.uint8), data)
+    last, lead = data[ends + 1], data[ends]
+    latin = (lead >= 0xC3) & (lead <= 0xC9) & (last >= 0x80) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+    cut = (byte_lengths(stems) > 0) & (ALNUM[last] | latin) & (byte_lengths(words) - byte_lengths(stems) <= LONGEST)
+    stems = pc.if_else(pa.array(cut), stems, words)
+    size = byte_lengths(words) - byte_lengths(stems)
+    offsets = np.append(0, np.cumsum(size + 1))
+    marks = np.full(offsets[-1], ord(FIRST), np.uint8)
+    has = np.flatnonzero(size)
+    if len(has):
+        ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)[1:]
+        end, ends, size = offsets[1:][has], ends[has], size[has]
+        data = np.frombuffer(words.buffers()[2], np.uint8)
+        for j in range(1, int(size.max()) + 1):
+            marks[end - j] = data[ends - j]
+            more = size > j
+            end, ends, size = end[more], ends[more], size[more]
+    return [stems, pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(marks))]
+
+
+def spans(values: np.ndarray, start: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values[start : start + size]`` of each index in ``of``, joined, and where each begins, with the end."""
+    size = size[of]
+    upto = np.append(0, np.cumsum(size))
+    at = np.repeat(start.astype(np.int32)[of] - upto[:-1].astype(np.int32), size)  # a pool and a batch both have less than 2**31 ids
+    at += np.arange(upto[-1], dtype=np.int32)
+    return values[at], upto
+
+
 class Encoder:
     """Encodes texts through the library; the ids of words met before come from a pool of bounded size.
 
     The vocabulary's pattern starts a piece at every single blank between other characters, and makes a single line end
     a piece of its own, so a text without other white space is the sum of its words. Other texts, and those with a special
-    token's string, are encoded whole. Words are told apart and put together again for a whole batch at once.
+    token's string, are encoded whole. Words are told apart and put together again for a whole batch at once, and the
+    punctuation at a word's end is a word of its own, so that the library sees "word", "word," and "word." once.
     """
 
     def __init__(self, path: str) -> None:
@@ -102,46 +149,54 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, words: list[str]) -> list[int]:
-        """Add words to the pool, many in one call of the library; where each ends follows from the bytes of its ids.
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Add distinct words to the pool, many in one call of the library; where each ends follows from the bytes of its ids.
 
         Returns the places of ``words`` in the pool.
         """
-        width, ids, sizes, names = id_widths(self.path), [], [], []
-        first = [w for w in words if w[:1] == FIRST and len(w) > 1]
-        plain = [w for w in words if w[:1] != FIRST and w != "\n"]
-        for group, skip in ((plain, 0), (first, 1)):
-            parts = [group[a : a + 200] for a in range(0, len(group), 200)]
-            joined = ["\n".join(w[1:] for w in p) + "\n" if skip else " " + " ".join(p) for p in parts]
-            got = [np.array(e.ids, np.uint32) for e in tokenizer(self.path).encode_batch_fast(joined, add_special_tokens=False)]
-            if not got:
+        width = id_widths(self.path)
+        alone = pc.is_in(words, pa.array([FIRST, "\n"], words.type)).to_numpy(zero_copy_only=False)
+        marked = pc.starts_with(words, FIRST).to_numpy(zero_copy_only=False) & ~alone
+        order = [np.flatnonzero(~marked & ~alone), np.flatnonzero(marked), np.flatnonzero(alone)]
+        ids, sizes = [], []
+        for skip, at in enumerate(order[:2]):
+            if not len(at):
                 continue
-            got = np.concatenate(got)
-            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in group]) + (1 - skip) * np.arange(1, len(group) + 1)
-            edge = np.append(0, np.searchsorted(np.cumsum(width[got]), ends) + 1)
+            group = words.take(pa.array(at))
+            if skip:
+                group = pc.utf8_slice_codeunits(group, 1)
+            names = group.to_pylist()
+            names = [names[a : a + 200] for a in range(0, len(names), 200)]
+            joined = ["\n".join(p) + "\n" if skip else " " + " ".join(p) for p in names]
+            got = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer(self.path).encode_batch_fast(joined, add_special_tokens=False)])
+            edge = np.append(0, np.searchsorted(np.cumsum(width[got]), np.cumsum(byte_lengths(group) + 1) - skip) + 1)
             if skip:  # the line end after each word is not its own
                 keep = np.ones(len(got), bool)
+                edge[1:] += 1
                 keep[edge[1:] - 1] = False
                 got, edge = got[keep], edge - np.arange(len(edge))
             ids.append(got)
             sizes.append(np.diff(edge))
-            names += group
-        for w in (FIRST, "\n"):
-            if w in words:
-                ids.append(self.whole(w.replace(FIRST, "")))
-                sizes.append(np.array([len(ids[-1])]))
-                names.append(w)
-        place = dict(zip(names, range(len(self.size), len(self.size) + len(names)), strict=True))
-        self.words = pa.concat_arrays([self.words, pa.array(names, pa.large_string())])
+        for i in order[2]:
+            ids.append(self.whole(words[i].as_py().replace(FIRST, "")))
+            sizes.append(np.array([len(ids[-1])]))
+        order = np.concatenate(order)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(self.size), len(self.size) + len(words))
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(order))])
         self.ids, self.size = np.concatenate([self.ids, *ids]), np.concatenate([self.size, *sizes]).astype(np.int32)
-        self.used = np.append(self.used, np.zeros(len(names), np.int32))
-        return [place[w] for w in words]
+        self.used = np.append(self.used, np.zeros(len(words), np.int32))
+        return place
 
     def is_plain(self, data: bytes) -> bool:
         """Whether a text is the sum of its words. Cheap tests come first; what follows is only asked of few texts."""
-        if data[:1] == b" " or data[-1:] == b" " or b"  " in data.replace(b"\n", b" ") or len(data.translate(None, ODD_ASCII)) < len(data) or special_strings(self.path).search(data):
+        if data[:1] == b" " or data[-1:] == b" " or b"  " in data.replace(b"\n", b" ") or special_strings(self.path).search(data):
+            return False
+        if len(data.translate(None, ODD_BYTES)) == len(data):
+            return True
+        if len(data.translate(None, ODD_ASCII)) < len(data):
             return False
-        return data.isascii() or not any(c in data for c in ODD_LEADS) or not ODD_SPACE.search(data.decode())
+        return not any(c in data for c in ODD_LEADS) or not ODD_SPACE.search(data.decode())
 
     def encode(self, many: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, given as UTF-8."""
@@ -157,22 +212,25 @@ class Encoder:
         line = b" \n " + FIRST.encode()
         marked = pa.array([FIRST.encode() + many[i].replace(b"\n", line) for i in plain], pa.large_binary()).view(pa.large_string())
         split = pc.split_pattern(marked, " ")
-        coded = split.values.dictionary_encode()
+        offsets, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
+        del marked, split
+        parts, word = pa.concat_arrays(cut_marks(coded.dictionary)).dictionary_encode(), coded.indices.to_numpy()
+        del coded
         if len(self.words) > POOL:
             self.shrink()
-        at = pc.index_in(coded.dictionary, value_set=self.words)
-        new = at.is_null()
-        at = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
-        if (at < 0).any():
-            at[at < 0] = self.learn(coded.dictionary.filter(new).to_pylist())
+        at = np.full(len(parts.dictionary), -1)
+        of = pc.index_in(self.words, value_set=parts.dictionary).fill_null(-1).to_numpy()  # the smaller side is the one indexed
+        known = np.flatnonzero(of >= 0)
+        at[of[known]] = known
+        new = at < 0
+        if new.any():
+            at[new] = self.learn(parts.dictionary.filter(pa.array(new)))
         self.used[at] += 1
-        start, of = (np.cumsum(self.size) - self.size).astype(np.int32), at[coded.indices.to_numpy()]
-        size = self.size[of]
-        upto = np.append(0, np.cumsum(size))
-        ids = np.repeat(start[of] - upto[:-1].astype(np.int32), size)  # a pool and a batch both have less than 2**31 ids
-        ids += np.arange(upto[-1], dtype=np.int32)
-        ids = self.ids[ids]
-        edge = upto[split.offsets.to_numpy()]
+        of = at[parts.indices.to_numpy()].reshape(2, -1).T.ravel()  # each word's stem, then its marks
+        ids, upto = spans(self.ids, np.cumsum(self.size) - self.size, self.size, of)
+        upto = upto[::2]
+        ids, upto = spans(ids, upto[:-1], np.diff(upto), word)
+        edge = upto[offsets]
         for k, i in enumerate(plain):
             out[i] = ids[edge[k] : edge[k + 1]]
         return out
@@ -225,22 +283,21 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
     Any other pair has become no more frequent than it was.
     """
     x, ends, rules = ids.astype(np.int32), ends.copy(), []
-    live, after = ~ends, None
+    live, after, held = ~ends, None, None  # until a round removes little, symbols stand side by side
     while True:
-        if after is None:
-            after, before, held = np.arange(1, len(x) + 1), np.arange(-1, len(x) - 1), np.ones(len(x), bool)
         places = np.flatnonzero(live)
         if len(places) < LEAST:
             break
-        a, b = x[places], x[after[places]]
+        behind = places + 1 if after is None else after[places]
+        a, b = x[places], x[behind]
         may, number, pairs = pair_numbers(a, b)
         live[places] = False
-        places, a, b = places[may], a[may], b[may]
+        places, behind, a, b = places[may], behind[may], a[may], b[may]
         count = np.bincount(number, minlength=len(pairs))
         twin = np.flatnonzero(a == b)
         if len(twin):
             at = np.arange(len(twin))
-            run = np.append(False, after[places[twin[:-1]]] == places[twin[1:]])
+            run = np.append(False, behind[twin[:-1]] == places[twin[1:]])
             twin = twin[(at - np.maximum.accumulate(np.where(run, 0, at))) % 2 == 1]  # each second of a run is no occurrence
             count -= np.bincount(number[twin], minlength=len(pairs))
         top = np.flatnonzero(count >= LEAST)
@@ -253,33 +310,37 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
         live[places[np.flatnonzero(rank >= 0)]] = True
         rank[twin] = -1
         free = np.flatnonzero(rank >= 0)
-        places, rank = places[free], rank[free]
-        near = after[places[:-1]] == places[1:]
+        places, behind, rank = places[free], behind[free], rank[free]
+        near = behind[:-1] == places[1:]
         won = np.ones(len(places), bool)
         won[1:] &= ~(near & (rank[:-1] < rank[1:]))
         won[:-1] &= ~(near & (rank[1:] < rank[:-1]))
         used = np.bincount(rank[won], minlength=len(top)) >= LEAST
         won = np.flatnonzero(won & used[rank])
-        places, rank = places[won], rank[won]
+        places, gone, rank = places[won], behind[won], rank[won]
         new = np.cumsum(used) - 1 + first_rule + len(rules)
         rules += [(pair >> 32, pair & 0xFFFFFFFF) for pair in pairs[top[used]].tolist()]
-        gone = after[places]
         x[places], ends[places] = new[rank], ends[gone]
+        if held is None:
+            held = np.ones(len(x), bool)
         held[gone] = live[gone] = False
         if DENSE * len(gone) >= len(x):
-            keep = np.flatnonzero(held)
-            places = np.searchsorted(keep, places)
-            x, ends, live, after = x[keep], ends[keep], live[keep], None
+            places = (np.cumsum(held, dtype=np.int32) - 1)[places]  # a block has less than 2**31 ids
+            x, ends, live = x[held], ends[held], live[held]
+            after = held = None
             left = places - 1
         else:
+            if after is None:
+                after, before = np.arange(1, len(x) + 1), np.arange(-1, len(x) - 1)
             after[places] = after[gone]
             inside = after[places] < len(x)
             before[after[places][inside]] = places[inside]
             left = before[places]
         left = left[left >= 0]
         live[places], live[left] = ~ends[places], ~ends[left]
-    keep = np.flatnonzero(held)
-    return x[keep], ends[keep], np.array(rules, np.uint32).reshape(-1, 2)
+    if held is not None:
+        x, ends = x[held], ends[held]
+    return x, ends, np.array(rules, np.uint32).reshape(-1, 2)
 
 
 def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:

@@ -35,6 +35,22 @@ def test_pool_is_bounded(prose, monkeypatch):
         assert encoder.encode([t.encode() for t in many])[0].tolist() == ids_of(many[0])
 
 
+def test_a_word_is_learned_once_whatever_punctuation_ends_it():
+    text = "a word word, word. word!! word... wörd wörd; wörd?"
+    encoder = R.Encoder(PATH)
+    assert encoder.encode([text.encode()])[0].tolist() == ids_of(text)
+    assert [w for w in encoder.words.to_pylist() if "rd" in w] == ["word", "wörd"]
+
+
+def test_punctuation_at_a_words_end_makes_the_ids_of_the_text():
+    last = ["a", "Z", "9", "é", "×", "÷", "ā", "ʰ", "́", "…", "’", "'", "'s", "日", "¿", "²", "ѐ", "\U0001f600", "_", ""]
+    marks = [",", "'", "',", "!!", "…,", ",…", "-x-", "'s,", "|>", "." * 64, "." * 65, "\"]\\", ",é,"]
+    many = [f"{lead}{c}{m}{after}" for lead in ("", "x ", "x\n", "b") for c in last for m in marks for after in ("", " y", "\nz")]
+    encoder = R.Encoder(PATH)
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode([t.encode() for t in many])] == [ids_of(t) for t in many]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_block_round_trip(seed):
     rng = np.random.default_rng(seed)
