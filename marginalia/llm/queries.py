@@ -10,6 +10,7 @@ from marginalia.llm import (
     circulant_minhash,
     decontaminate,
     fertility,
+    merkle,
     mixing,
     quality_gam,
     repair_tokens,
@@ -73,8 +74,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_decontamination, op4_quality, op5_toxicity, op6_fertility, op7_mixing, op8_token_output, op9_near_dedup, op10_url_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_decontamination, op4_quality, op5_toxicity, op6_fertility, op7_mixing, op8_token_output, op9_near_dedup, op10_url_rules, op11_merkle_manifest)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -156,5 +161,57 @@ FROM part
 """
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    data = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INT), 2) AS BIGINT))"
+    byte = "list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: {byte}), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Trees over sources have number -1; a node knows its tree, the tree's size and its place.
+OP11_SQL = f"""
+WITH RECURSIVE row_ AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_leaf_sql("text")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_leaf_sql(_SMALL)} END AS changed
+  FROM documents),
+src AS (SELECT source, count(*) AS size, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS tree FROM row_ GROUP BY source),
+leaf AS (
+  SELECT r, doc_id, tree, size, leaf, changed, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM row_ JOIN src ON row_.source IS NOT DISTINCT FROM src.source),
+grown AS (
+  SELECT 0 AS k, tree, size, pos, leaf AS hash, NULL::VARCHAR AS pre FROM leaf
+  UNION ALL
+  SELECT max(k) + 1, tree, size, pos // 16, sha256(string_agg(hash, '' ORDER BY pos)), string_agg(hash, '' ORDER BY pos)
+  FROM grown WHERE size > CAST(pow(16, k) AS BIGINT) GROUP BY tree, size, pos // 16),
+sub AS (SELECT tree, arg_max(hash, k) AS subroot, max(k) AS height FROM grown GROUP BY tree),
+upper AS (
+  SELECT 0 AS k, (SELECT count(*) FROM sub) AS size, tree AS pos, subroot AS hash, NULL::VARCHAR AS pre FROM sub
+  UNION ALL
+  SELECT max(k) + 1, size, pos // 16, sha256(string_agg(hash, '' ORDER BY pos)), string_agg(hash, '' ORDER BY pos)
+  FROM upper WHERE size > CAST(pow(16, k) AS BIGINT) GROUP BY size, pos // 16),
+top AS (SELECT arg_max(hash, k) AS root FROM upper),
+step AS (
+  SELECT r, k, pre, (pos // CAST(pow(16, k - 1) AS BIGINT)) % 16 AS slot
+  FROM leaf JOIN (SELECT k, tree AS t, pos AS p, pre FROM grown WHERE k > 0) ON t = tree AND p = pos // CAST(pow(16, k) AS BIGINT)
+  UNION ALL
+  SELECT r, height + k, pre, (tree // CAST(pow(16, k - 1) AS BIGINT)) % 16
+  FROM leaf JOIN sub USING (tree) JOIN (SELECT k, pos AS p, pre FROM upper WHERE k > 0) ON p = tree // CAST(pow(16, k) AS BIGINT)),
+proof AS (SELECT r, string_agg(substr(pre, 1, 64 * slot) || substr(pre, 64 * slot + 65), '' ORDER BY k) AS siblings FROM step GROUP BY r),
+fold AS (
+  SELECT r, 0 AS k, coalesce(changed, leaf) AS hash FROM leaf
+  UNION ALL
+  SELECT fold.r, step.k, sha256(substr(pre, 1, 64 * slot) || hash || substr(pre, 64 * slot + 65)) FROM fold JOIN step ON step.r = fold.r AND step.k = fold.k + 1),
+folded AS (SELECT r, arg_max(hash, k) AS folded_root FROM fold GROUP BY r)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaf JOIN sub USING (tree) JOIN folded USING (r) LEFT JOIN proof USING (r), top
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_mixing": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_url_rules": OP10_SQL}
+    return {"op3_decontamination": OP3_SQL, "op7_mixing": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_url_rules": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
