@@ -14,6 +14,7 @@ from marginalia.llm import (
     mixing,
     quality_gam,
     repair_tokens,
+    resampling,
     secrets,
     suffix_dedup,
     toxicity_mil,
@@ -78,8 +79,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_decontamination, op4_quality, op5_toxicity, op6_fertility, op7_mixing, op8_token_output, op9_near_dedup, op10_url_rules, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_decontamination, op4_quality, op5_toxicity, op6_fertility, op7_mixing, op8_token_output, op9_near_dedup, op10_url_rules, op11_merkle_manifest, op13_resampling)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -212,6 +217,30 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha2
 FROM leaf JOIN sub USING (tree) JOIN folded USING (r) LEFT JOIN proof USING (r), top
 """
 
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP13_SQL = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+feat AS (
+  SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM doc WHERE len(w) > 0
+  UNION ALL
+  SELECT NULL, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM (SELECT {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+per AS (SELECT r, f, count(*) AS n FROM feat GROUP BY r, f),
+crc AS (SELECT f, {crc32_sql("f")} % 10000 AS b FROM (SELECT DISTINCT f FROM per)),
+cnt AS (SELECT b, CAST(coalesce(sum(n) FILTER (r IS NOT NULL), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (r IS NULL), 0) AS DOUBLE) AS t FROM per JOIN crc USING (f) GROUP BY b),
+tot AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM cnt),
+gain AS (SELECT b, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS g FROM cnt, tot),
+weighed AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * g) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight
+  FROM per JOIN crc USING (f) JOIN gain USING (b) WHERE r IS NOT NULL GROUP BY r),
+noisy AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM doc LEFT JOIN weighed USING (r)),
+place AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS k, count(*) OVER () AS n FROM noisy WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 25 * n // 100 THEN k END AS rank FROM noisy LEFT JOIN place USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_mixing": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_url_rules": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op3_decontamination": OP3_SQL, "op7_mixing": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_url_rules": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op13_resampling": OP13_SQL}
