@@ -12,6 +12,7 @@ from marginalia.llm import (
     fertility,
     merkle,
     mixing,
+    packing,
     quality_gam,
     repair_tokens,
     resampling,
@@ -79,12 +80,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.checked_places(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_decontamination, op4_quality, op5_toxicity, op6_fertility, op7_mixing, op8_token_output, op9_near_dedup, op10_url_rules, op11_merkle_manifest, op13_resampling)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_decontamination, op4_quality, op5_toxicity, op6_fertility, op7_mixing, op8_token_output, op9_near_dedup, op10_url_rules, op11_merkle_manifest, op12_packing, op13_resampling)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
