@@ -13,11 +13,11 @@ one anchor form an interval, whose bytes are its *context*. Then:
    smaller than their successors are sorted directly, the others are induced by bucket
    scans), and adjacent common prefixes of ``length`` bytes mark the repeated starts.
 
-A group of more than ``hot`` different contexts is split by the anchor's offset within
-the string, and beyond as many parts as there are offsets also by a hash of the string's
-first bytes; equal strings share both. Nothing is sampled or capped. Contexts count as equal
-if their lengths, the hash of their anchor and a 128-bit digest of their bytes are (XXH3, not
-made against adversaries).
+A group of more than ``hot`` different contexts comes from a passage that many documents share. It is
+never gathered: its strings are counted by their own hashes, those seen once go, and of each other
+string two places are judged by suffix arrays for all of them (``repeated_in_wide``). Nothing is sampled
+or capped. Contexts count as equal if their lengths, the hash of their anchor and a 128-bit digest of their
+bytes are (XXH3, not made against adversaries), and strings of such a group if their digests are.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` lose nothing;
 rows that repeat (even with equal ids) are documents of their own; a null id is a value;
@@ -40,7 +40,8 @@ from marginalia.llm.common import hot_join, mapped, materialise, ship, text_or_e
 GRAM = 32  # bytes of an anchor's gram; a power of two
 SECTION = 1 << 20  # starts judged at once
 LONGEST = 4096  # starts of an interval; a longer one is cut
-CHUNK = 1_000_000  # bytes that one suffix array covers, or one group
+CHUNK = 1_000_000  # bytes that one suffix array covers, and at most one group of HOT contexts more
+HOT = 2048  # contexts of a group that one task may judge
 INDEX = np.uint64((1 << 21) - 1)
 _TABLE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -235,7 +236,7 @@ def judge(contexts: list[tuple[bytes, int]], length: int) -> list[list[tuple[int
     return [runs_of(hit[i : i + m]) for i, (_, m) in zip(where, contexts, strict=True)]
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 16384) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
     """Of ``docs`` (doc_id, th, text): rows (doc_id, th, a, b), the starts a to b (exclusive) of strings that repeat."""
     ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -264,7 +265,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 16384) -> Data
 
     again = mapped(docs.select("text"), counted, "ah long, n long").groupBy("ah").agg(F.sum("n").alias("n")).filter("n >= 2").select("ah")
     rows = mapped(docs, located, f"ah long, ch binary, doc_id {id_type}, th long, p0 long, m int, twice boolean")
-    found = materialise(rows.join(again, "ah", "left_semi"), "suffix-candidates")
+    found = materialise(hot_join(rows, again, ["ah"], "left_semi"), "suffix-candidates")
 
     same = found.groupBy("ah", "ch", "m").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min(F.struct("doc_id", "th", "p0")).alias("at"))
     sure = same.filter("n >= 2").select("ah", "ch", "m")
@@ -272,39 +273,47 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 16384) -> Data
 
     groups = same.groupBy("ah").agg(F.count(F.lit(1)).alias("width"), F.min("n").alias("least"), F.max("twice").alias("any_twice"))
     groups = groups.filter("least = 1 and (width >= 2 or any_twice)").select("ah", "width")
-    open_ = hot_join(same, groups, ["ah"]).select("ah", "ch", "m", "n", "width", "at.*")
-    asked = open_.groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "ch", "m", "n", "width", "p0")).alias("asked"))
-    fetched = asked.withColumnsRenamed({"doc_id": "k1", "th": "k2"}).join(docs, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("k2"))).select("doc_id", "th", "asked", "text")
+    open_ = materialise(hot_join(same, groups, ["ah"]).select("ah", "ch", "m", "n", "width", "at.*"), "suffix-open")
+    single = judged(contexts_of(docs, open_.filter(F.col("width") <= hot), length), length)
+    wide = open_.filter(F.col("width") > hot)
+    if wide.limit(1).count():
+        single = single.unionByName(repeated_in_wide(docs, wide, length))
+    return whole.unionByName(single)
+
+
+def fetched(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Texts of the documents that ``rows`` (ah, ch, m, n, p0, doc_id, th) name, with these as ``asked``."""
+    asked = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "ch", "m", "n", "p0")).alias("asked")).withColumnsRenamed({"doc_id": "k1", "th": "k2"})
+    return asked.join(docs, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("k2"))).select("doc_id", "th", "asked", "text")
+
+
+def contexts_of(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """``rows`` (ah, ch, m, n, p0, doc_id, th) with their bytes, ctx."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {k: [] for k in ("ah", "part", "ch", "m", "n", "p0", "ctx")}
+        out: dict[str, list] = {k: [] for k in ("ah", "ch", "m", "n", "p0", "ctx")}
         doc = []
         for i, (text, asks) in enumerate(zip(texts(batch), batch.column("asked").to_pylist(), strict=True)):
             for q in asks:
-                ctx = text[q["p0"] : q["p0"] + q["m"] + length - 1]
-                split = [(0, 0, q["m"])]
-                if q["width"] > hot:
-                    s = np.frombuffer(ctx, np.uint8)
-                    offsets, parts = length - GRAM + 1, -(-q["width"] // hot)
-                    part = (anchors(s, length)[1] - np.arange(q["m"])) * min(offsets, parts) // offsets
-                    if parts > offsets:  # more than offsets tell apart: the string's first bytes do too
-                        more = -(-parts // offsets)
-                        part = part * more + (gram_hashes(s)[: q["m"]] % np.uint64(more)).astype(np.int64)
-                    edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), q["m"]]
-                    split = [(int(part[a]), a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
-                for part, a, m in split:
-                    for k, x in zip(out, (q["ah"], part, q["ch"], m, q["n"], q["p0"] + a, ctx[a : a + m + length - 1]), strict=True):
-                        out[k].append(x)
-                    doc.append(i)
+                for k in ("ah", "ch", "m", "n", "p0"):
+                    out[k].append(q[k])
+                out["ctx"].append(text[q["p0"] : q["p0"] + q["m"] + length - 1])
+                doc.append(i)
         pick = pa.array(doc, pa.int64())
-        types = {"ah": pa.int64(), "part": pa.int64(), "ch": pa.binary(), "m": pa.int32(), "n": pa.int64(), "p0": pa.int64(), "ctx": pa.binary()}
+        types = {"ah": pa.int64(), "ch": pa.binary(), "m": pa.int32(), "n": pa.int64(), "p0": pa.int64(), "ctx": pa.binary()}
         arrays = [pa.array(v, types[k]) for k, v in out.items()]
         return pa.RecordBatch.from_arrays([*arrays, batch.column("doc_id").take(pick), batch.column("th").take(pick)], names=[*out, "doc_id", "th"])
 
-    contexts = mapped(fetched, cut, f"ah long, part long, ch binary, m int, n long, p0 long, ctx binary, doc_id {id_type}, th long")
-    contexts = contexts.repartition("ah", "part").sortWithinPartitions("ah", "part", "ch", "m", "p0")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return mapped(fetched(docs, rows), cut, f"ah long, ch binary, m int, n long, p0 long, ctx binary, doc_id {id_type}, th long")
+
 
-    def judged(batches):
+def judged(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, th, a, b): of contexts seen once (n = 1) the starts whose string starts elsewhere in the group of ``ah`` too, by suffix arrays."""
+    id_type = contexts.schema["doc_id"].dataType.simpleString()
+    contexts = contexts.repartition("ah").sortWithinPartitions("ah", "ch", "m", "p0", "doc_id", "th")
+
+    def run(batches):
         held: list[tuple] = []
         size, group, last = 0, None, None
 
@@ -317,13 +326,13 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 16384) -> Data
         id_arrow = pa.int64()
         for batch in batches:
             id_arrow = batch.schema.field("doc_id").type
-            cols = {k: batch.column(k).to_pylist() for k in ("ah", "part", "ch", "m", "n", "p0", "ctx", "doc_id", "th")}
-            for ah, part, ch, m, n, p0, ctx, doc_id, th in zip(*cols.values(), strict=True):
-                if (ah, part) != group and size > CHUNK:
+            cols = {k: batch.column(k).to_pylist() for k in ("ah", "ch", "m", "n", "p0", "ctx", "doc_id", "th")}
+            for ah, ch, m, n, p0, ctx, doc_id, th in zip(*cols.values(), strict=True):
+                if ah != group and size > CHUNK:
                     yield flush()
                     held, size = [], 0
-                group = (ah, part)
-                if (key := (ah, part, ch, m, p0)) != last:  # a row that repeats brings its contexts again
+                group = ah
+                if (key := (ah, ch, m, p0, doc_id, th)) != last:  # a row that repeats brings its contexts again
                     held.append((ctx, m, n, p0, doc_id, th))
                     size += len(ctx) + 1
                 last = key
@@ -331,11 +340,62 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 16384) -> Data
             yield flush()
         trim()
 
-    single = contexts.mapInArrow(judged, f"doc_id {id_type}, th long, a long, b long")
-    return whole.unionByName(single)
+    return contexts.mapInArrow(run, f"doc_id {id_type}, th long, a long, b long")
 
 
-def remove_repeats(df: DataFrame, length: int = 200, hot: int = 16384, kept: bool = False) -> DataFrame:
+def string_hashes(s: np.ndarray, m: int, length: int) -> np.ndarray:
+    """A 64-bit hash of the ``length`` bytes from each of the first ``m`` places, from those of the grams that cover them."""
+    h, out = gram_hashes(s), np.zeros(m, np.uint64)
+    for d in (*range(0, length - GRAM, GRAM), length - GRAM):
+        out = out * _ODD[1] + h[d : d + m]
+    out ^= out >> np.uint64(31)
+    return out
+
+
+def repeated_in_wide(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, th, a, b) as ``judged``, for contexts whose groups are too wide to meet in one task.
+
+    Such a group comes from a passage that many documents share and go on from differently, so nearly all of its strings are
+    different. Strings are told apart by their own hashes, not by their group: those whose hash is seen once go before any
+    bytes move. Of each string left, by its 128-bit digest, the first and the last place are judged by suffix arrays, and what holds for
+    these two holds for all its places. No step gathers a group, or the places of one string.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    asked = fetched(docs, rows)
+
+    def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [np.empty(0, np.uint64)]
+        for text, asks in zip(texts(batch), batch.column("asked").to_pylist(), strict=True):
+            out += [string_hashes(np.frombuffer(text, np.uint8, q["m"] + length - 1, q["p0"]), q["m"], length) for q in asks]
+        values, n = np.unique(np.concatenate(out), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    def strings(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, sh, at, doc = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)], []
+        digest = xxhash.xxh3_128_digest
+        for i, (text, asks) in enumerate(zip(texts(batch), batch.column("asked").to_pylist(), strict=True)):
+            for q in asks:
+                h.append(string_hashes(np.frombuffer(text, np.uint8, q["m"] + length - 1, q["p0"]), q["m"], length))
+                sh += [digest(text[p : p + length]) for p in range(q["p0"], q["p0"] + q["m"])]
+                at.append(np.arange(q["p0"], q["p0"] + q["m"]))
+                doc += [i] * q["m"]
+        pick = pa.array(doc, pa.int64())
+        arrays = [pa.array(np.concatenate(h).view(np.int64)), pa.array(sh, pa.binary()), pa.array(np.concatenate(at)), batch.column("doc_id").take(pick), batch.column("th").take(pick)]
+        return pa.RecordBatch.from_arrays(arrays, names=["h", "sh", "p", "doc_id", "th"])
+
+    again = mapped(asked, hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 2").select("h")
+    places = mapped(asked, strings, f"h long, sh binary, p long, doc_id {id_type}, th long")
+    places = materialise(hot_join(places, again, ["h"], "left_semi").drop("h"), "suffix-strings")
+    at = F.struct("doc_id", "th", "p")
+    ends = places.groupBy("sh").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("not (first <=> last)")
+    ends = materialise(ends.select("sh", F.explode(F.array("first", "last")).alias("at")).select("sh", "at.*"), "suffix-ends")
+    pairs = ends.select(F.xxhash64("sh").alias("ah"), F.col("sh").alias("ch"), F.lit(1).alias("m"), F.lit(1).cast("long").alias("n"), F.col("p").alias("p0"), "doc_id", "th")
+    sure = judged(contexts_of(docs, pairs, length), length).withColumnsRenamed({"doc_id": "k1", "th": "k2"})
+    sure = ends.join(sure, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("k2")) & (F.col("p") == F.col("a"))).select("sh").distinct()
+    return hot_join(places, sure, ["sh"], "left_semi").select("doc_id", "th", F.col("p").alias("a"), (F.col("p") + 1).alias("b"))
+
+
+def remove_repeats(df: DataFrame, length: int = 200, hot: int = HOT, kept: bool = False) -> DataFrame:
     """For each row of ``df`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and
     kept_sha256; with ``kept`` also the remaining bytes (cuts may fall inside a character)."""
     if length < GRAM + 8:

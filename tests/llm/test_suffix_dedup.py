@@ -72,7 +72,7 @@ def test_short_length_and_small_sections(frame, prose, monkeypatch):
 
 
 def test_more_contexts_of_an_anchor_than_offsets(frame, prose):
-    """A passage within half of all rows: its anchors' groups are split by offset and by first bytes."""
+    """A passage within half of all rows: its anchors' groups are never gathered."""
     common = "zq" + prose(5000, 6)[:38]
     rows = [(i, prose(2000 + i, 12) + common * (i % 2) + prose(3000 + i // 4 * 4, 12)) for i in range(120)]
     got = S.remove_repeats(frame(rows), 48, 1).collect()
@@ -80,6 +80,28 @@ def test_more_contexts_of_an_anchor_than_offsets(frame, prose):
     assert sorted((str(r[0]), *r[1:]) for r in got) == want
 
 
+def test_no_task_gets_a_wide_group(frame, prose, monkeypatch):
+    """5,000 documents share a passage and go on differently, some alike: no group that is judged has over ``hot`` contexts."""
+    common, hot = prose(5000, 60)[:300], 200
+    rows = [(i, f"{i * 7919 % 10007} " + common + f" {i // 5 if i % 5 < 2 else i * 31 % 9973} " + prose(i // 5 if i % 5 < 2 else 9000 + i, 45)) for i in range(5000)]
+    seen = []
+    real = S.judged
+    monkeypatch.setattr(S, "judged", lambda contexts, length: seen.append(contexts) or real(contexts, length))
+    got = S.remove_repeats(frame(rows), 200, hot).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *w) for (i, _), w in zip(rows, brute([t for _, t in rows], 200), strict=True))
+    assert len(seen) == 2
+    for contexts in seen:
+        assert max((r["count"] for r in contexts.groupBy("ah").count().collect()), default=0) <= hot
+    assert seen[1].count() > 0
+
+
+def test_string_hashes():
+    s = np.random.default_rng(1).integers(0, 250, 600).astype(np.uint8)
+    s[300:520] = s[20:240]
+    h = S.string_hashes(s, 401, 200)
+    assert (h[20:41] == h[300:321]).all() and len(set(h.tolist())) == 401 - 21
+
+
 def test_odd_rows(frame, odd_rows):
     got = S.remove_repeats(frame(odd_rows).withColumnRenamed("lang", "th"), kept=True).collect()
     want = sorted((str(i), *w) for (i, _), w in zip(odd_rows, brute([t for _, t in odd_rows], 200), strict=True))
