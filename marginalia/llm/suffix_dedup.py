@@ -41,7 +41,7 @@ GRAM = 32  # bytes of an anchor's gram; a power of two
 SECTION = 1 << 20  # starts judged at once
 LONGEST = 4096  # starts of an interval; a longer one is cut
 CHUNK = 1_000_000  # bytes that one suffix array covers, and at most one group of HOT contexts more
-HOT = 2048  # contexts of a group that one task may judge
+HOT = 16384  # contexts of a group that one task may judge, about 200 MB of them
 INDEX = np.uint64((1 << 21) - 1)
 _TABLE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -274,44 +274,40 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     groups = same.groupBy("ah").agg(F.count(F.lit(1)).alias("width"), F.min("n").alias("least"), F.max("twice").alias("any_twice"))
     groups = groups.filter("least = 1 and (width >= 2 or any_twice)").select("ah", "width")
     open_ = materialise(hot_join(same, groups, ["ah"]).select("ah", "ch", "m", "n", "width", "at.*"), "suffix-open")
-    single = judged(contexts_of(docs, open_.filter(F.col("width") <= hot), length), length)
-    wide = open_.filter(F.col("width") > hot)
-    if wide.limit(1).count():
-        single = single.unionByName(repeated_in_wide(docs, wide, length))
-    return whole.unionByName(single)
-
-
-def fetched(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Texts of the documents that ``rows`` (ah, ch, m, n, p0, doc_id, th) name, with these as ``asked``."""
-    asked = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "ch", "m", "n", "p0")).alias("asked")).withColumnsRenamed({"doc_id": "k1", "th": "k2"})
-    return asked.join(docs, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("k2"))).select("doc_id", "th", "asked", "text")
+    if not open_.filter(F.col("width") > hot).limit(1).count():
+        return whole.unionByName(judged(contexts_of(docs, open_, length), length))
+    contexts = materialise(contexts_of(docs, open_, length), "suffix-contexts")  # texts move once for both kinds
+    few = judged(contexts.filter(F.col("width") <= hot), length)
+    return whole.unionByName(few).unionByName(repeated_in_wide(contexts.filter(F.col("width") > hot), length))
 
 
 def contexts_of(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """``rows`` (ah, ch, m, n, p0, doc_id, th) with their bytes, ctx."""
+    """``rows`` (ah, ch, m, n, width, p0, doc_id, th) with their bytes, ctx."""
+    asked = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "ch", "m", "n", "width", "p0")).alias("asked")).withColumnsRenamed({"doc_id": "k1", "th": "k2"})
+    fetched = asked.join(docs, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("k2"))).select("doc_id", "th", "asked", "text")
+    types = {"ah": pa.int64(), "ch": pa.binary(), "m": pa.int32(), "n": pa.int64(), "width": pa.int64(), "p0": pa.int64(), "ctx": pa.binary()}
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {k: [] for k in ("ah", "ch", "m", "n", "p0", "ctx")}
+        out: dict[str, list] = {k: [] for k in types}
         doc = []
         for i, (text, asks) in enumerate(zip(texts(batch), batch.column("asked").to_pylist(), strict=True)):
             for q in asks:
-                for k in ("ah", "ch", "m", "n", "p0"):
-                    out[k].append(q[k])
-                out["ctx"].append(text[q["p0"] : q["p0"] + q["m"] + length - 1])
+                q["ctx"] = text[q["p0"] : q["p0"] + q["m"] + length - 1]
+                for k, x in out.items():
+                    x.append(q[k])
                 doc.append(i)
         pick = pa.array(doc, pa.int64())
-        types = {"ah": pa.int64(), "ch": pa.binary(), "m": pa.int32(), "n": pa.int64(), "p0": pa.int64(), "ctx": pa.binary()}
         arrays = [pa.array(v, types[k]) for k, v in out.items()]
         return pa.RecordBatch.from_arrays([*arrays, batch.column("doc_id").take(pick), batch.column("th").take(pick)], names=[*out, "doc_id", "th"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(fetched(docs, rows), cut, f"ah long, ch binary, m int, n long, p0 long, ctx binary, doc_id {id_type}, th long")
+    return mapped(fetched, cut, f"ah long, ch binary, m int, n long, width long, p0 long, ctx binary, doc_id {id_type}, th long")
 
 
 def judged(contexts: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, a, b): of contexts seen once (n = 1) the starts whose string starts elsewhere in the group of ``ah`` too, by suffix arrays."""
     id_type = contexts.schema["doc_id"].dataType.simpleString()
-    contexts = contexts.repartition("ah").sortWithinPartitions("ah", "ch", "m", "p0", "doc_id", "th")
+    contexts = contexts.drop("width").repartition("ah").sortWithinPartitions("ah", "ch", "m", "p0", "doc_id", "th")
 
     def run(batches):
         held: list[tuple] = []
@@ -352,45 +348,52 @@ def string_hashes(s: np.ndarray, m: int, length: int) -> np.ndarray:
     return out
 
 
-def repeated_in_wide(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, a, b) as ``judged``, for contexts whose groups are too wide to meet in one task.
+def repeated_in_wide(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, th, a, b) as ``judged``, for (written) contexts whose groups are too wide to meet in one task.
 
     Such a group comes from a passage that many documents share and go on from differently, so nearly all of its strings are
     different. Strings are told apart by their own hashes, not by their group: those whose hash is seen once go before any
     bytes move. Of each string left, by its 128-bit digest, the first and the last place are judged by suffix arrays, and what holds for
     these two holds for all its places. No step gathers a group, or the places of one string.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    asked = fetched(docs, rows)
+    id_type = contexts.schema["doc_id"].dataType.simpleString()
+
+    def each(batch: pa.RecordBatch):
+        return zip(texts(batch, "ctx"), batch.column("m").to_pylist(), strict=True)
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [np.empty(0, np.uint64)]
-        for text, asks in zip(texts(batch), batch.column("asked").to_pylist(), strict=True):
-            out += [string_hashes(np.frombuffer(text, np.uint8, q["m"] + length - 1, q["p0"]), q["m"], length) for q in asks]
-        values, n = np.unique(np.concatenate(out), return_counts=True)
+        found = [string_hashes(np.frombuffer(ctx, np.uint8), m, length) for ctx, m in each(batch)]
+        values, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     def strings(batch: pa.RecordBatch) -> pa.RecordBatch:
-        h, sh, at, doc = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)], []
-        digest = xxhash.xxh3_128_digest
-        for i, (text, asks) in enumerate(zip(texts(batch), batch.column("asked").to_pylist(), strict=True)):
-            for q in asks:
-                h.append(string_hashes(np.frombuffer(text, np.uint8, q["m"] + length - 1, q["p0"]), q["m"], length))
-                sh += [digest(text[p : p + length]) for p in range(q["p0"], q["p0"] + q["m"])]
-                at.append(np.arange(q["p0"], q["p0"] + q["m"]))
-                doc += [i] * q["m"]
-        pick = pa.array(doc, pa.int64())
-        arrays = [pa.array(np.concatenate(h).view(np.int64)), pa.array(sh, pa.binary()), pa.array(np.concatenate(at)), batch.column("doc_id").take(pick), batch.column("th").take(pick)]
+        h, sh, digest = [np.empty(0, np.uint64)], [], xxhash.xxh3_128_digest
+        for ctx, m in each(batch):
+            view = memoryview(ctx)
+            h.append(string_hashes(np.frombuffer(ctx, np.uint8), m, length))
+            sh += [digest(view[i : i + length]) for i in range(m)]
+        m = batch.column("m").to_numpy().astype(np.int64)
+        pick = np.repeat(np.arange(batch.num_rows), m)
+        p = batch.column("p0").to_numpy()[pick] + np.arange(len(pick)) - np.repeat(np.cumsum(m) - m, m)
+        pick = pa.array(pick)
+        arrays = [pa.array(np.concatenate(h).view(np.int64)), pa.array(sh, pa.binary()), pa.array(p), batch.column("doc_id").take(pick), batch.column("th").take(pick)]
         return pa.RecordBatch.from_arrays(arrays, names=["h", "sh", "p", "doc_id", "th"])
 
-    again = mapped(asked, hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 2").select("h")
-    places = mapped(asked, strings, f"h long, sh binary, p long, doc_id {id_type}, th long")
+    def pieces_of(df: DataFrame, spec, schema: str) -> DataFrame:
+        return mapped(df.withColumnRenamed("ctx", "text"), lambda b: spec(b.rename_columns([{"text": "ctx"}.get(c, c) for c in b.schema.names])), schema)
+
+    again = pieces_of(contexts.select("m", "ctx"), hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 2").select("h")
+    again = materialise(again, "suffix-again")  # where it is small, by its own size on disk, the strings need no exchange
+    places = pieces_of(contexts.select("m", "p0", "ctx", "doc_id", "th"), strings, f"h long, sh binary, p long, doc_id {id_type}, th long")
     places = materialise(hot_join(places, again, ["h"], "left_semi").drop("h"), "suffix-strings")
     at = F.struct("doc_id", "th", "p")
     ends = places.groupBy("sh").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("not (first <=> last)")
     ends = materialise(ends.select("sh", F.explode(F.array("first", "last")).alias("at")).select("sh", "at.*"), "suffix-ends")
-    pairs = ends.select(F.xxhash64("sh").alias("ah"), F.col("sh").alias("ch"), F.lit(1).alias("m"), F.lit(1).cast("long").alias("n"), F.col("p").alias("p0"), "doc_id", "th")
-    sure = judged(contexts_of(docs, pairs, length), length).withColumnsRenamed({"doc_id": "k1", "th": "k2"})
+    near = contexts.select(F.col("doc_id").alias("k1"), F.col("th").alias("k2"), "p0", "m", "ctx")
+    inside = F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("k2")) & (F.col("p") >= F.col("p0")) & (F.col("p") < F.col("p0") + F.col("m"))
+    ctx = F.substring("ctx", (F.col("p") - F.col("p0") + 1).cast("int"), F.lit(length))
+    pairs = ends.join(near, inside).select(F.xxhash64("sh").alias("ah"), F.col("sh").alias("ch"), F.lit(1).alias("m"), F.lit(1).cast("long").alias("n"), F.col("p").alias("p0"), ctx.alias("ctx"), "doc_id", "th")
+    sure = judged(pairs, length).withColumnsRenamed({"doc_id": "k1", "th": "k2"})
     sure = ends.join(sure, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("k2")) & (F.col("p") == F.col("a"))).select("sh").distinct()
     return hot_join(places, sure, ["sh"], "left_semi").select("doc_id", "th", F.col("p").alias("a"), (F.col("p") + 1).alias("b"))
 
