@@ -19,7 +19,7 @@ from marginalia.plans import privacy as P
 from marginalia.plans.graph import JunctionTree, elimination_order
 from marginalia.plans.privacy import Budget
 from marginalia.plans.schema import Domain, all_kway, downward_closure
-from marginalia.queries import D, FG, LINEITEM, SMALL, TREE, _eval_sql, coded_lineitem, counted, grid_sql, parity_rows, query, table
+from marginalia.queries import D, FG, LINEITEM, SMALL, TREE, _eval_sql, coded_lineitem, counted, grid_sql, parity_rows, query, stated, table
 from marginalia.sources.tables import Dataset, eligible, split
 
 # --- schemas --------------------------------------------------------------------------------------------------------------
@@ -31,7 +31,7 @@ def pairs_sql(rows: dict[str, str]) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in rows.items()) + ") t(op, result)"
 
 
-@query(pairs_sql({"project": "c:5 a:10", "marginalize": "b:20", "invert": "a c", "axes": "2 0", "transpose": "c:5 b:20 a:10", "merge": "a:10 b:20 c:5 d:7", "contains": "True False", "size": "1000 50", "sort_size": "c:5 a:10 b:20", "sort_name": "a:10 b:20 c:5", "canonical": "a c", "item": "20", "iterate": "a b c", "length": "3", "equal": "True False", "member": "True False"}))
+@stated(pairs_sql({"project": "c:5 a:10", "marginalize": "b:20", "invert": "a c", "axes": "2 0", "transpose": "c:5 b:20 a:10", "merge": "a:10 b:20 c:5 d:7", "contains": "True False", "size": "1000 50", "sort_size": "c:5 a:10 b:20", "sort_name": "a:10 b:20 c:5", "canonical": "a c", "item": "20", "iterate": "a b c", "length": "3", "equal": "True False", "member": "True False"}))
 def schema_algebra(spark, sf_dir):
     """P04-P16."""
     show = lambda d: " ".join(f"{a}:{n}" for a, n in d.config.items())
@@ -50,7 +50,7 @@ RING = Domain(tuple("abcde"), (2, 3, 4, 5, 6))
 
 
 #: Fans out from a, the smallest: abc, acd, ade.
-@query("SELECT * FROM (VALUES ('cells', 2 * 3 * 4 + 2 * 4 * 5 + 2 * 5 * 6), ('best_cells', 124), ('cliques', 3), ('megabyte_bytes', 8 * 124), ('candidates', 1), ('first_by_length', 1)) t(what, n)")
+@stated("SELECT * FROM (VALUES ('cells', 2 * 3 * 4 + 2 * 4 * 5 + 2 * 5 * 6), ('best_cells', 124), ('cliques', 3), ('megabyte_bytes', 8 * 124), ('candidates', 1), ('first_by_length', 1)) t(what, n)")
 def elimination_cells(spark, sf_dir):
     """A ring of five attributes."""
     tree, best = JunctionTree(RING, CHAIN), JunctionTree(RING, CHAIN, 200)
@@ -80,7 +80,7 @@ def factor_multiply_within(spark, sf_dir):
     return f.rows.select("dc", "rf", "value")
 
 
-@query(f"""SELECT kind, rf, ls, CASE kind WHEN 'zeros' THEN 0.0 WHEN 'ones' THEN 1.0 WHEN 'uniform' THEN 1.0 / 6 WHEN 'given' THEN rf * 2.0 + ls WHEN 'copy' THEN rf * 2.0 + ls END::DOUBLE AS value
+@stated(f"""SELECT kind, rf, ls, CASE kind WHEN 'zeros' THEN 0.0 WHEN 'ones' THEN 1.0 WHEN 'uniform' THEN 1.0 / 6 WHEN 'given' THEN rf * 2.0 + ls WHEN 'copy' THEN rf * 2.0 + ls END::DOUBLE AS value
   FROM (SELECT unnest(['zeros', 'ones', 'uniform', 'given', 'copy']) AS kind) CROSS JOIN (SELECT g_rf.rf, g_ls.ls FROM {grid_sql(('rf', 3), ('ls', 2))})""")
 def factor_constructors(spark, sf_dir):
     """F03-F05, F09."""
@@ -92,7 +92,7 @@ def factor_constructors(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
 
 
-@query("SELECT * FROM (VALUES ('zeros', 0.0::DOUBLE, 39), ('ones', 39.0::DOUBLE, 39), ('uniform', 2.0::DOUBLE, 39)) t(kind, total, cells)")
+@stated("SELECT * FROM (VALUES ('zeros', 0.0::DOUBLE, 39), ('ones', 39.0::DOUBLE, 39), ('uniform', 2.0::DOUBLE, 39)) t(kind, total, cells)")
 def clique_constructors(spark, sf_dir):
     """Vectors over the cliques (dc, rf) and (rf, ls) of 33 and 6 cells."""
     V, cliques = factor.CliqueVector, [("dc", "rf"), ("rf", "ls")]
@@ -184,7 +184,7 @@ def _entries_sql(want: dict[str, np.ndarray]) -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) t(op, row, cell, coef)"
 
 
-@query(_entries_sql(_WANT))
+@stated(_entries_sql(_WANT))
 def linear_constructions(spark, sf_dir):
     """Their entries."""
     a, b = linear.Matrix(_A), linear.Matrix(_B)
@@ -201,7 +201,7 @@ def linear_constructions(spark, sf_dir):
     return out.filter("abs(coef) > 1e-12")
 
 
-@query("SELECT * FROM (VALUES ('trace', -2.0::DOUBLE), ('l1', 5.0::DOUBLE), ('l2', sqrt(13.0::DOUBLE)), ('total', 0.0::DOUBLE), ('column0', 1.0::DOUBLE), ('column1', -1.0::DOUBLE), ('row0', 3.0::DOUBLE), ('row1', -3.0::DOUBLE), ('diag0', 1.0::DOUBLE), ('diag1', -3.0::DOUBLE), ('equal', 1.0::DOUBLE), ('rows', 2.0::DOUBLE)) t(what, value)")
+@stated("SELECT * FROM (VALUES ('trace', -2.0::DOUBLE), ('l1', 5.0::DOUBLE), ('l2', sqrt(13.0::DOUBLE)), ('total', 0.0::DOUBLE), ('column0', 1.0::DOUBLE), ('column1', -1.0::DOUBLE), ('row0', 3.0::DOUBLE), ('row1', -3.0::DOUBLE), ('diag0', 1.0::DOUBLE), ('diag1', -3.0::DOUBLE), ('equal', 1.0::DOUBLE), ('rows', 2.0::DOUBLE)) t(what, value)")
 def linear_norms(spark, sf_dir):
     """Of the matrix (1, 2; 0, -3)."""
     a = linear.Matrix(_A)
@@ -222,7 +222,7 @@ _CLOSED = """VALUES ('cdp_delta_standard', exp(-0.81::DOUBLE / 0.4)), ('subsampl
   ('laplace_scale', 6.0::DOUBLE), ('normal_cdf_0', 0.5::DOUBLE)"""
 
 
-@query(f"SELECT name, round(value, 9) AS value FROM ({_CLOSED}) t(name, value)")
+@stated(f"SELECT name, round(value, 9) AS value FROM ({_CLOSED}) t(name, value)")
 def privacy_closed_forms(spark, sf_dir):
     """Against their formulas."""
     e, d = P.subsample_epsdelta(1.0, 1e-5, 0.1)
@@ -239,7 +239,7 @@ def privacy_closed_forms(spark, sf_dir):
 _CDP = "(SELECT min((a - 1) * (a * {rho}::DOUBLE - {eps}::DOUBLE) + a * ln(1 - 1 / a) - ln(a - 1)) FROM (SELECT 1.01::DOUBLE + range / 2000.0::DOUBLE AS a FROM range(200000)))"
 
 
-@query(f"""SELECT name, round(value, 4) AS value FROM (VALUES ('log_delta', {_CDP.format(rho=0.1, eps=1.5)}), ('log_delta_small', {_CDP.format(rho=0.02, eps=1.0)}),
+@stated(f"""SELECT name, round(value, 4) AS value FROM (VALUES ('log_delta', {_CDP.format(rho=0.1, eps=1.5)}), ('log_delta_small', {_CDP.format(rho=0.02, eps=1.0)}),
   ('eps_round_trip', ln(1e-5::DOUBLE)), ('rho_round_trip', ln(1e-6::DOUBLE))) t(name, value)""")
 def privacy_concentrated(spark, sf_dir):
     """The least delta over orders, against a search over a grid of them; eps and rho lead back to their delta."""
@@ -252,7 +252,7 @@ def _phi(x: str) -> str:
     return f"(SELECT sum(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(-12.0::DOUBLE + i * (({x}) + 12.0::DOUBLE) / 4000, 2) / 2)) * (({x}) + 12.0::DOUBLE) / 12000 / sqrt(2 * pi()) FROM (SELECT range AS i FROM range(4001)))"
 
 
-@query(f"SELECT * FROM (SELECT sigma, round({_phi('1 / (2 * sigma) - sigma')} - exp(1.0::DOUBLE) * {_phi('-1 / (2 * sigma) - sigma')}, 7) AS delta, round(1e-5::DOUBLE, 7) AS wanted FROM (SELECT 3.730632::DOUBLE AS sigma))")
+@stated(f"SELECT * FROM (SELECT sigma, round({_phi('1 / (2 * sigma) - sigma')} - exp(1.0::DOUBLE) * {_phi('-1 / (2 * sigma) - sigma')}, 7) AS delta, round(1e-5::DOUBLE, 7) AS wanted FROM (SELECT 3.730632::DOUBLE AS sigma))")
 def privacy_analytic_gaussian(spark, sf_dir):
     """The tail at the calibrated deviation, against numeric integration."""
     sigma = P.ana_gaussian_mech(1.0, 1e-5)
@@ -260,7 +260,7 @@ def privacy_analytic_gaussian(spark, sf_dir):
     return spark.createDataFrame([(round(sigma, 6), round(delta, 7), round(1e-5, 7))], "sigma double, delta double, wanted double")
 
 
-@query("""WITH RECURSIVE f(n, v) AS (SELECT 0, 0.0::DOUBLE UNION ALL SELECT n + 1, v + ln(n + 1.0::DOUBLE) FROM f WHERE n < 64),
+@stated("""WITH RECURSIVE f(n, v) AS (SELECT 0, 0.0::DOUBLE UNION ALL SELECT n + 1, v + ln(n + 1.0::DOUBLE) FROM f WHERE n < 64),
   c(a, q, s) AS (VALUES (2, 0.1::DOUBLE, 1.0::DOUBLE), (8, 0.01::DOUBLE, 1.5::DOUBLE), (32, 0.001::DOUBLE, 2.0::DOUBLE), (64, 0.5::DOUBLE, 4.0::DOUBLE))
   SELECT a, q, s, round(greatest(0, ln(sum(exp(fa.v - fj.v - fr.v + (a - fj.n) * ln(1 - q) + fj.n * ln(q) + fj.n * (fj.n - 1) / (2 * s * s))))) / (a - 1), 8) AS rdp
   FROM c JOIN f fa ON fa.n = a JOIN f fj ON fj.n <= a JOIN f fr ON fr.n = a - fj.n GROUP BY a, q, s""")
@@ -270,7 +270,7 @@ def privacy_subsampled_divergence(spark, sf_dir):
     return spark.createDataFrame(rows, "a int, q double, s double, rdp double")
 
 
-@query("SELECT * FROM (VALUES ('grows_with_prob', true), ('meets_unsampled', true), ('private_when_rare', true), ('laplace_grows', true), ('prob_of_little_noise', true), ('k_costs', true)) t(what, holds)")
+@stated("SELECT * FROM (VALUES ('grows_with_prob', true), ('meets_unsampled', true), ('private_when_rare', true), ('laplace_grows', true), ('prob_of_little_noise', true), ('k_costs', true)) t(what, holds)")
 def privacy_subsampled_order(spark, sf_dir):
     """Noise grows with the sampling probability up to the unsampled noise, and never vanishes."""
     sigma = [P.gaussian_mech(1.0, 1e-5, prob=p) for p in (0.01, 0.1, 0.5, 0.9)]
@@ -295,7 +295,7 @@ def distances_to_centers(spark, sf_dir):
     return far.join(near, ["i", "j"]).select("i", "j", F.round("far", 9).alias("far"), F.round("near", 9).alias("near"))
 
 
-@query("SELECT * FROM (VALUES (0, 0.5::DOUBLE), (1, 0.0::DOUBLE), (2, 0.5::DOUBLE), (3, 0.0::DOUBLE)) t(cell, p)")
+@stated("SELECT * FROM (VALUES (0, 0.5::DOUBLE), (1, 0.0::DOUBLE), (2, 0.5::DOUBLE), (3, 0.0::DOUBLE)) t(cell, p)")
 def nearest_probability(spark, sf_dir):
     """0.1 beyond a total of 1 fills the negative cell from its nearer neighbour, 2, as 0 is dearer."""
     cost = np.array([[0, 0.6, 1, 1], [0.6, 0, 0.4, 1], [1, 0.4, 0, 1], [1, 1, 1, 0]])
@@ -393,7 +393,7 @@ def cleaned_rows(spark, sf_dir):
     return discretize.clean(table(spark, sf_dir, "part").select("p_name", F.col("p_partkey").alias("p_part.key"), "p_size"), True)
 
 
-@query("SELECT s.range AS code, CASE WHEN s.range IN (1, 4) THEN 'kept' ELSE 'merged' END AS what FROM range(6) s")
+@stated("SELECT s.range AS code, CASE WHEN s.range IN (1, 4) THEN 'kept' ELSE 'merged' END AS what FROM range(6) s")
 def merged_and_split(spark, sf_dir):
     """Merged codes come back as some code that was merged."""
     domain, keep = Domain(("a",), (6,)), {"a": [1, 4]}

@@ -39,6 +39,20 @@ def query(sql: str | None = None):
     return add
 
 
+#: Statements about schemas, matrices and budgets that read no table: held against SQL by the tests, and not registered.
+STATED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+STATED_SQL: dict[str, str] = {}
+
+
+def stated(sql: str | None = None):
+    def add(f):
+        STATED[f.__name__] = f
+        if sql:
+            STATED_SQL[f.__name__] = sql
+        return f
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -161,7 +175,7 @@ def merge_rare_codes(spark, sf_dir):
     return discretize.merge_unsupported(codes, {"sz": keep}).groupBy(F.col("sz").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT g_a.a, g_b.b, CAST(g_a.a * 7 + g_b.b AS BIGINT) AS cell, (2 * g_a.a + 1) / 10.0::DOUBLE AS x_a, (2 * g_b.b + 1) / 14.0::DOUBLE AS x_b FROM {grid_sql(('a', 5), ('b', 7))}")
+@stated(f"SELECT g_a.a, g_b.b, CAST(g_a.a * 7 + g_b.b AS BIGINT) AS cell, (2 * g_a.a + 1) / 10.0::DOUBLE AS x_a, (2 * g_b.b + 1) / 14.0::DOUBLE AS x_b FROM {grid_sql(('a', 5), ('b', 7))}")
 def embed_centers(spark, sf_dir):
     domain = Domain(("a", "b"), (5, 7))
     cells = marginals.grid(spark, domain)
@@ -300,7 +314,7 @@ def clique_combine(spark, sf_dir):
     return v.combine(own - 1.0).rows
 
 
-@query("""WITH m(model_id, attrs, cells) AS (VALUES (0, ['q','dc','rf'], 330), (1, ['dc','rf'], 33), (2, ['rf','ls','mo'], 72)), a(measured_id, attrs) AS (VALUES (0, ['rf']), (1, ['q','rf']), (2, ['mo','ls']))
+@stated("""WITH m(model_id, attrs, cells) AS (VALUES (0, ['q','dc','rf'], 330), (1, ['dc','rf'], 33), (2, ['rf','ls','mo'], 72)), a(measured_id, attrs) AS (VALUES (0, ['rf']), (1, ['q','rf']), (2, ['mo','ls']))
   SELECT measured_id, model_id FROM (SELECT measured_id, model_id, row_number() OVER (PARTITION BY measured_id ORDER BY cells, model_id) AS r FROM a JOIN m ON list_has_all(m.attrs, a.attrs)) WHERE r = 1""")
 def containing_clique(spark, sf_dir):
     return factor.containing_cliques(spark, LINEITEM, [("q", "dc", "rf"), ("dc", "rf"), ("rf", "ls", "mo")], [("rf",), ("q", "rf"), ("mo", "ls")])
@@ -393,7 +407,7 @@ def haar_transform(spark, sf_dir):
     return linear.Haar(16).apply(v).select(F.col("row").cast("long").alias("row"), "value")
 
 
-@query("SELECT 11.0::DOUBLE AS l1, round(sqrt(11.0::DOUBLE), 9) AS l2, 5.0::DOUBLE AS haar")
+@stated("SELECT 11.0::DOUBLE AS l1, round(sqrt(11.0::DOUBLE), 9) AS l2, 5.0::DOUBLE AS haar")
 def l1_sensitivity(spark, sf_dir):
     p = linear.prefix(11)
     return spark.createDataFrame([(p.l1_sensitivity(spark), round(p.l2_sensitivity(spark), 9), linear.Haar(16).l1_sensitivity())], "l1 double, l2 double, haar double")
@@ -438,7 +452,7 @@ def aim_scores(spark, sf_dir):
     return mechanisms.pair_gaps(coded_lineitem(spark, sf_dir), SMALL).select("clique_id", F.round(F.get(w, at) * (F.col("gap") - F.lit(mechanisms.ROOT_2_PI) * 5 * F.get(n, at)), 4).alias("gap"))
 
 
-@query("""WITH w(c) AS (VALUES (['a','b']), (['b','c']), (['c','d'])), cl(c) AS (VALUES (['a']), (['b']), (['c']), (['d']), (['a','b']), (['b','c']), (['c','d']))
+@stated("""WITH w(c) AS (VALUES (['a','b']), (['b','c']), (['c','d'])), cl(c) AS (VALUES (['a']), (['b']), (['c']), (['d']), (['a','b']), (['b','c']), (['c','d']))
   SELECT array_to_string(cl.c, '|') AS clique, CAST(sum(len(list_intersect(cl.c, w.c))) AS DOUBLE) AS score FROM cl, w GROUP BY 1""")
 def aim_workload_scores(spark, sf_dir):
     scores = workload_scores([("a", "b"), ("b", "c"), ("c", "d")])
@@ -448,7 +462,7 @@ def aim_workload_scores(spark, sf_dir):
 # --- transport ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT CAST(i.a * 3 + i.b AS BIGINT) AS i, CAST(j.a * 3 + j.b AS BIGINT) AS j, round(pow(pow(abs(i.a - j.a) / 4.0::DOUBLE, 5) + pow(abs(i.b - j.b) / 3.0::DOUBLE, 5), 0.2), 8) AS dist FROM (SELECT g_a.a, g_b.b FROM {grid_sql(('a', 4), ('b', 3))}) i CROSS JOIN (SELECT g_a.a, g_b.b FROM {grid_sql(('a', 4), ('b', 3))}) j")
+@stated(f"SELECT CAST(i.a * 3 + i.b AS BIGINT) AS i, CAST(j.a * 3 + j.b AS BIGINT) AS j, round(pow(pow(abs(i.a - j.a) / 4.0::DOUBLE, 5) + pow(abs(i.b - j.b) / 3.0::DOUBLE, 5), 0.2), 8) AS dist FROM (SELECT g_a.a, g_b.b FROM {grid_sql(('a', 4), ('b', 3))}) i CROSS JOIN (SELECT g_a.a, g_b.b FROM {grid_sql(('a', 4), ('b', 3))}) j")
 def pairwise_minkowski(spark, sf_dir):
     cells = discretize.Embedding(Domain(("a", "b"), (4, 3))).centers(spark, ("a", "b"))
     got = transport.distances(cells.withColumnRenamed("cell", "i"), cells.withColumnRenamed("cell", "j"), ["x_a", "x_b"], 5)
@@ -573,7 +587,7 @@ def laplace_noise(spark, sf_dir):
 BUDGET = Budget(2.5, 1e-5, seed=0)  # repeatable, for a benchmark; a release draws its own
 
 
-@query()
+@stated()
 def synthetic_uniform(spark, sf_dir):
     return Dataset.synthetic(spark, SMALL, 5000, 7).df
 
@@ -647,13 +661,13 @@ def model_kron_query(spark, sf_dir):
     return got.rows.select(F.col("rf_answer").cast("long").alias("rf_answer"), "ls", "value")
 
 
-@query("SELECT a.range AS row, b.range AS cell, CAST(6 - greatest(a.range, b.range) AS DOUBLE) AS coef FROM range(6) a, range(6) b")
+@stated("SELECT a.range AS row, b.range AS cell, CAST(6 - greatest(a.range, b.range) AS DOUBLE) AS coef FROM range(6) a, range(6) b")
 def gram_matrix(spark, sf_dir):
     """The Gram matrix of prefix sums."""
     return linear.prefix(6).gram().coo(spark).select(F.col("row").cast("long").alias("row"), F.col("cell").cast("long").alias("cell"), "coef")
 
 
-@query(f"SELECT g_a.a, g_b.b, CAST(g_a.a * 3 + g_b.b AS BIGINT) AS cell, g_b.b < 2 AS kept FROM {grid_sql(('a', 4), ('b', 3))}")
+@stated(f"SELECT g_a.a, g_b.b, CAST(g_a.a * 3 + g_b.b AS BIGINT) AS cell, g_b.b < 2 AS kept FROM {grid_sql(('a', 4), ('b', 3))}")
 def grid_without_merged(spark, sf_dir):
     """Which cells touch no merged code."""
     return discretize.Embedding(Domain(("a", "b"), (4, 9)), {"b": [1, 5]}).without_merged(spark, ("a", "b"))

@@ -25,10 +25,10 @@ def rows(names, data):
     return sorted(([None if v != v else round(v, 6) if isinstance(v, float) else v for v in (r[i] for i in order)] for r in data), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(engine.SQL))
+@pytest.mark.parametrize("name", sorted(engine.SQL | engine.STATED_SQL))
 def test_query_equals_its_sql(spark, duck, sf, name):
-    got = engine.QUERIES[name](spark, sf)
-    want = duck.sql(engine.SQL[name])
+    got = (engine.QUERIES | engine.STATED)[name](spark, sf)
+    want = duck.sql((engine.SQL | engine.STATED_SQL)[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 

@@ -133,3 +133,16 @@ def test_sampled_gaussian_divergence_is_exact():
 
 def test_budgets_draw_their_own_seeds():
     assert P.Budget(1.0, 1e-5).seed != P.Budget(1.0, 1e-5).seed and P.Budget(1.0, 1e-5, seed=3).seed == 3
+
+
+@pytest.mark.parametrize("prob", [0.02, 0.1, 0.6])
+def test_the_sampling_probability_comes_back(prob):
+    sigma = P.gaussian_mech(1.0, 1e-5, 3, prob)
+    assert P.subsampled_prob_for(lambda a: P.rdp_gaussian(sigma, a), 1.0, 1e-5, 3, exact=True) == pytest.approx(prob, rel=1e-4)
+
+
+def test_random_response_on_samples():
+    answers = [P.randresponse_mech(1.0, 1e-5, 5, p) for p in (1.0, 0.5, 0.1)]
+    assert answers == sorted(answers) and P.randresponse_mech(1.0, 1e-5, 5, 1 - 1e-9) == pytest.approx(answers[0])
+    p = P.randresponse_mech(1.0, 0, 2, 0.5)
+    assert 2 * math.log1p(0.5 * math.expm1(math.log(p / (1 - p)))) == pytest.approx(1.0)
