@@ -9,9 +9,10 @@ hold a match, so the automaton runs on those; the pairs are looked up in bulk.
 
 Items are dealt to blocks of about ``block_words`` words, long items in overlapping pieces.
 Tasks build one automaton for each block and write it to the shared folder; the driver
-broadcasts the blocks one by one and never holds two, so its memory does not grow with the
-benchmark. The blocks are applied one after another in the same pass. Documents are not
-shuffled.
+broadcasts the blocks one by one and drops each after use, so its memory does not grow with
+the benchmark. With one block the documents are matched in one pass and not shuffled; with
+more, each block is a job that keeps the hits it finds, and a last pass joins them to the
+documents, so a task never runs more than one Python worker with one automaton.
 
 Defined cases: a null or empty text has no words and is clean; texts of any length are
 matched whole, in time linear in their words; documents that repeat are judged each by
@@ -26,9 +27,11 @@ from __future__ import annotations
 import pickle
 import uuid
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,6 +214,8 @@ def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[Da
 
 
 _opened: dict[str, ItemIndex] = {}
+HITS = "hits array<struct<a: long, b: long>>, items array<string>"
+SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def opened(key: str, sent) -> ItemIndex:
@@ -221,45 +226,70 @@ def opened(key: str, sent) -> ItemIndex:
     return _opened[key]
 
 
+def block_sent(spark, table: DataFrame, block: int):
+    """The broadcast of one block's automaton; the driver holds one at a time."""
+    payload = [bytes(r["payload"]) for r in table.filter(F.col("block") == block).collect()]
+    return spark.sparkContext.broadcast(payload[0] if payload else b"")
+
+
+def matched(index: ItemIndex, batch: pa.RecordBatch) -> tuple[list[int], dict[str, pa.Array]]:
+    """The number of words of each text, and its hits and items in one automaton."""
+    n, hits, items = [], [], []
+    for text in texts(batch):
+        words = text.translate(FOLD).split()
+        spans, of = index.match(words)
+        n.append(len(words))
+        hits.append([{"a": a, "b": b} for a, b in merge(spans)])
+        items.append(sorted({index.ids[i] for i in of if index.ids[i] is not None}))
+    return n, {"hits": pa.array(hits, SPANS), "items": pa.array(items, pa.list_(pa.string()))}
+
+
+def block_hits(rows: DataFrame, table: DataFrame, block: int) -> DataFrame:
+    """A written table (_at, hits, items) of the rows (_at, text) that one block's automaton finds anything in."""
+    sent, key = block_sent(rows.sparkSession, table, block), uuid.uuid4().hex
+
+    def spec(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, new = matched(opened(key, sent), batch)
+        return with_columns(batch, new, ("text",)).filter(pc.greater(pc.list_value_length(new["hits"]), 0))
+
+    found = materialise(mapped(rows.select("_at", "text"), spec, f"_at long, {HITS}"), "block-hits")
+    sent.destroy()
+    return found
+
+
 def match_items(df: DataFrame, benchmark: DataFrame, keep: list[str], window: int, block_words: int, last=None, last_schema: str = "") -> DataFrame:
     """Columns ``keep`` and text of ``df`` with n_words, hits (spans of words, merged) and items (ids as strings).
 
-    ``last`` maps the batches that the last block has been applied to, in the same pass, to ``last_schema``.
+    A benchmark of one block is matched in one pass. One of more gets a job for each block over the texts, written once
+    with a number each; a job keeps only what it finds, by number, and the last pass joins that to the texts. So a task
+    runs one Python worker with one automaton, however many blocks there are.
+    ``last`` maps the batches of the last pass to ``last_schema``.
     """
-    spark = df.sparkSession
     df = df.select(*keep, text_or_empty(df).alias("text"))
     given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     table, blocks = item_blocks(benchmark, window, block_words)
-    for block in range(max(1, blocks)):
-        # the driver holds one block at a time
-        payload = [bytes(r["payload"]) for r in table.filter(F.col("block") == block).collect()] if blocks else []
-        sent, end = spark.sparkContext.broadcast(payload[0] if payload else b""), last is not None and block >= blocks - 1
-        key = uuid.uuid4().hex
-
-        def spec(batch: pa.RecordBatch, key=key, sent=sent, end=end) -> pa.RecordBatch:
-            index, n = opened(key, sent), []
-            if "hits" in batch.schema.names:
-                hits = [[(x["a"], x["b"]) for x in h] for h in batch.column("hits").to_pylist()]
-                items = [set(x) for x in batch.column("items").to_pylist()]
-            else:
-                hits, items = [[] for _ in range(batch.num_rows)], [set() for _ in range(batch.num_rows)]
-            for k, text in enumerate(texts(batch)):
-                words = text.translate(FOLD).split()
-                spans, of = index.match(words)
-                n.append(len(words))
-                hits[k] = merge(hits[k] + spans)
-                items[k] |= {index.ids[i] for i in of if index.ids[i] is not None}
-            spans_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            new = {
-                "n_words": pa.array(n, pa.int64()),
-                "hits": pa.array([[{"a": a, "b": b} for a, b in h] for h in hits], spans_type),
-                "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            }
-            out = with_columns(batch, new)
-            return last(out) if end else out
-
-        df = mapped(df, spec, last_schema if end else f"{given}, n_words long, hits array<struct<a: long, b: long>>, items array<string>")
-    return df
+    schema = last_schema if last is not None else f"{given}, n_words long, {HITS}"
+    if blocks <= 1:
+        sent, key = block_sent(df.sparkSession, table, 0) if blocks else df.sparkSession.sparkContext.broadcast(b""), uuid.uuid4().hex
+
+        def only(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n, new = matched(opened(key, sent), batch)
+            out = with_columns(batch, {"n_words": pa.array(n, pa.int64()), **new})
+            return last(out) if last is not None else out
+
+        return mapped(df, only, schema)
+    rows = materialise(df.withColumn("_at", F.monotonically_increasing_id()), "texts")
+    parts = [block_hits(rows, table, block) for block in range(blocks)]
+    found = reduce(DataFrame.union, parts).groupBy("_at").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def combine(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hits = [[{"a": a, "b": b} for a, b in merge([(x["a"], x["b"]) for x in h or ()])] for h in batch.column("hits").to_pylist()]
+        items = [sorted(x or ()) for x in batch.column("items").to_pylist()]
+        n = [len(t.translate(FOLD).split()) for t in texts(batch)]
+        out = with_columns(batch, {"n_words": pa.array(n, pa.int64()), "hits": pa.array(hits, SPANS), "items": pa.array(items, pa.list_(pa.string()))}, ("_at",))
+        return last(out) if last is not None else out
+
+    return mapped(rows.join(found, "_at", "left"), combine, schema)
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -41,6 +41,19 @@ def test_against_windows(spark, frame, prose, odd_rows, block):
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted((str(i), *brute(t, items)) for i, t in rows)
 
 
+def test_many_blocks_run_one_worker_at_a_time(spark, frame, prose):
+    items = [(i, prose(700 + i, 40)) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert D.item_blocks(bench, 10, 150)[1] >= 20
+    rows = [(i, prose(i, 20) + " " + items[i % 60][1] + " " + items[(7 * i) % 60][1] + " " + prose(900 + i, 15)) for i in range(80)] + [(i, prose(3000 + i, 50)) for i in range(80, 120)]
+    found = D.find_contamination(frame(rows), bench, block_words=150)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, found.collect())) == sorted((i, *brute(t, items)) for i, t in rows)
+    cut = D.decontaminate(frame(rows), bench, block_words=150).orderBy("doc_id").collect()
+    whole = D.decontaminate(frame(rows), bench).orderBy("doc_id").collect()
+    assert cut == whole and len(cut) < len(rows)
+
+
 def test_automaton_holds_exactly_the_substrings():
     rng = random.Random(3)
     seqs = [[rng.randint(0, 2) for _ in range(rng.randint(1, 9))] for _ in range(6)]
