@@ -319,11 +319,12 @@ class CliqueVector:
 
 
 def containing_cliques(spark: SparkSession, domain: Domain, models: Sequence[Sequence[str]], measured: Sequence[Sequence[str]]) -> DataFrame:
-    """For each measured clique the smallest model clique that holds it, as (measured_id, model_id); both lists are small."""
-    a = spark.createDataFrame([(i, list(c)) for i, c in enumerate(measured)], "measured_id int, attrs array<string>")
-    b = spark.createDataFrame([(i, list(c), domain.size(c)) for i, c in enumerate(models)], "model_id int, of array<string>, cells long")
-    fits = a.crossJoin(F.broadcast(b)).filter(F.size(F.array_except("attrs", "of")) == 0)
-    return fits.groupBy("measured_id").agg(F.min_by("model_id", F.struct("cells", "model_id")).alias("model_id"))
+    """For each measured clique the smallest model clique that holds it, as (measured_id, model_id)."""
+    from marginalia.operators.containment import smallest_holders
+
+    a = spark.createDataFrame([(i, list(c)) for i, c in enumerate(measured)], "id int, attrs array<string>")
+    b = spark.createDataFrame([(i, list(c), domain.size(c)) for i, c in enumerate(models)], "id int, attrs array<string>, cells long")
+    return smallest_holders(a, b).filter("model_id is not null").withColumnRenamed("id", "measured_id")
 
 
 def primal_feasibility(vector: CliqueVector) -> DataFrame:
