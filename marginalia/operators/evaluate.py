@@ -47,6 +47,43 @@ def wasserstein(real: DataFrame, synth: DataFrame, domain: Domain, cliques: Sequ
     return every.join(each, "clique_id", "left").select("clique_id", F.coalesce("w1", F.lit(0.0)).alias("w1"))  # equal tables leave no rows
 
 
+#: Cells of all cliques together that a write may count on its way; each is one running sum in every task.
+OBSERVED_CELLS = 2_000
+
+
+def write_measured(df: DataFrame, domain: Domain, cliques: Sequence[Sequence[str]], truth: DataFrame, path: str) -> DataFrame:
+    """V07, V08 beside the work: writes coded rows and measures them in the same scan.
+
+    The counts of all cells ride on the write as observed sums in the writing stage itself, where each task counts once however
+    often it was tried, so the rows are computed once. ``truth``: (clique_id, cell,
+    value), the answers to compare with. Returns (clique_id, records, l1, l2, variation) between normalised marginals, the
+    distances null where either side is empty. Only for cliques of few cells (``OBSERVED_CELLS`` together): larger ones belong
+    in ``marginal_gaps`` over the written table. Rows with a code that is null or outside the schema are written, not counted.
+    """
+    from pyspark.sql import Observation
+
+    from marginalia.functions.scalar import cell_of
+    from marginalia.operators.marginals import bucketed
+
+    parts = [domain.project(tuple(c)) for c in cliques]
+    if sum(p.size() for p in parts) > OBSERVED_CELLS:
+        raise ValueError(f"{sum(p.size() for p in parts)} cells are too many to count beside a write")
+    seen, sums = Observation(), []
+    coded = df.select("*", *(bucketed(F.col(a), n).alias("_code_" + a) for a, n in domain.config.items()))
+    coded = coded.select(*df.columns, *(cell_of(p.attrs, p.strides(), "_code_").alias(f"_cell_{i}") for i, p in enumerate(parts)))
+    for i, p in enumerate(parts):
+        sums += [F.count_if(F.col(f"_cell_{i}") == k).alias(f"c{i}_{k}") for k in range(p.size())]
+    coded.observe(seen, F.count(F.lit(1)).alias("records"), *sums).select(*df.columns).write.parquet(path)
+    got, spark = seen.get, df.sparkSession
+    cells = [(i, k, float(got[f"c{i}_{k}"] or 0)) for i, p in enumerate(parts) for k in range(p.size())]
+    written = normalised(spark.createDataFrame(cells, "clique_id int, cell long, value double")).withColumnRenamed("value", "_a")
+    gap = written.join(normalised(truth).withColumnRenamed("value", "_b"), ["clique_id", "cell"], "left")
+    gap = gap.withColumn("_gap", F.col("_a") - F.coalesce("_b", F.lit(0.0)))
+    l1, known = F.sum(F.abs("_gap")), F.sum("_b") > 0
+    out = gap.groupBy("clique_id").agg(F.when(known, l1).alias("l1"), F.when(known, F.sqrt(F.sum(F.col("_gap") * F.col("_gap")))).alias("l2"))
+    return out.select("clique_id", F.lit(int(got["records"])).cast("long").alias("records"), "l1", "l2", (F.col("l1") / 2).alias("variation"))
+
+
 @dataclass
 class Evaluator:
     """Metrics of a synthetic table against the real one, which it reads by design (they are not private)."""

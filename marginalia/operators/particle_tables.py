@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.scalar import clamp_unit, threshold_query, uniform
 from marginalia.operators.discretize import Embedding
 from marginalia.operators.marginals import marginal
+from marginalia.operators.snapshots import Snapshots
 from marginalia.operators.transport import directions
 from marginalia.plans.schema import Clique, Domain
 from marginalia.storage import materialise, numbered
@@ -184,6 +185,8 @@ class TableParticleInference:
     constraint: Thresholds | None = None
     scale_reg: float = 0.0
     losses: list[float] = field(default_factory=list)
+    snapshots: Snapshots | None = None  # where points go every ``snapshot_every`` epochs, and at the end
+    snapshot_every: int = 50
 
     def descend(self, cloud: Cloud, targets: Sequence[Target]) -> Cloud:
         rng, rate = np.random.default_rng(self.seed + 1), self.lr
@@ -197,6 +200,8 @@ class TableParticleInference:
                 cloud, loss = step(cloud, batch, rate, self.p_mask, self.seed, self.constraint, self.scale_reg)
                 losses.append(loss)
             self.losses.append(sum(losses))
+            if self.snapshots is not None and (epoch % self.snapshot_every == 0 or epoch == self.iters - 1):
+                self.snapshots.add(cloud.rows, epoch)
             if (epoch + 1) % self.decay_every == 0:
                 rate *= self.decay
         return cloud

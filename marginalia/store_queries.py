@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from marginalia.operators import evaluate
 from marginalia.operators.containment import smallest_holders
 from marginalia.operators.dictionaries import StoredDictionary
 from marginalia.operators.marginal_store import MarginalStore
+from marginalia.operators.marginals import marginals_kernel
+from marginalia.operators.snapshots import Snapshots, inverse_curves
 from marginalia.plans.schema import all_kway
-from marginalia.queries import LINEITEM, D, coded_lineitem, query, table
+from marginalia.queries import LINEITEM, THETAS, D, coded_lineitem, query, table
+from marginalia.storage import shared_dir
+from marginalia.table_queries import PARTICLES_SQL, customer_points, particle_step
 
 # --- sets ------------------------------------------------------------------------------------------------------------------
 
@@ -86,3 +93,42 @@ def _count(i: int, clique: tuple[str, ...]) -> str:
 def stored_answers(spark, sf_dir) -> DataFrame:
     """All two-way marginals summed out of the stored three-way ones."""
     return MarginalStore.of(coded_lineitem(spark, sf_dir), LINEITEM, TRIPLES).answers(PAIRS)
+
+
+# --- metrics beside the work, data of plots ----------------------------------------------------------------------------------
+
+WATCHED = [("dc", "rf"), ("ls",), ("mo",)]
+
+
+def _watched(i: int, clique: tuple[str, ...]) -> str:
+    keys = ", ".join(clique)
+    return f"""SELECT {i} AS clique_id, (SELECT count(*) FROM f) AS records, round(sum(abs(coalesce(a, 0) - coalesce(b, 0))), 8) AS l1, round(sqrt(sum(pow(coalesce(a, 0) - coalesce(b, 0), 2))), 8) AS l2,
+      round(sum(abs(coalesce(a, 0) - coalesce(b, 0))) / 2, 8) AS variation
+      FROM (SELECT {keys}, count(*) / CAST((SELECT count(*) FROM f) AS DOUBLE) AS a FROM f GROUP BY ALL) FULL JOIN (SELECT {keys}, count(*) / CAST((SELECT count(*) FROM d) AS DOUBLE) AS b FROM d GROUP BY ALL) USING ({keys})"""
+
+
+@query(f"WITH {D}, f AS (SELECT * FROM d WHERE q < 5) " + " UNION ALL ".join(_watched(i, c) for i, c in enumerate(WATCHED)))
+def write_and_measure(spark, sf_dir) -> DataFrame:
+    """Lines of small quantity are written and, in the same scan, measured against all lines."""
+    lines = coded_lineitem(spark, sf_dir)
+    truth = marginals_kernel(lines, LINEITEM, WATCHED)
+    log = evaluate.write_measured(lines.filter("q < 5"), LINEITEM, WATCHED, truth, f"{shared_dir(spark)}/measured-{uuid.uuid4().hex}")
+    return log.select("clique_id", "records", *(F.round(c, 8).alias(c) for c in ("l1", "l2", "variation")))
+
+
+SHARES = tuple(i / 20 for i in range(21))
+
+
+@query(f"""WITH e1 AS ({PARTICLES_SQL}), e0 AS (SELECT c_custkey AS pid, round(least(greatest((c_acctbal + 1000) / 11000.0::DOUBLE, 0), 1), 5) AS x_acct, round((2 * c_nationkey + 1) / 50.0::DOUBLE, 5) AS x_nation FROM customer),
+  x AS (SELECT 0 AS epoch, * FROM e0 UNION ALL SELECT 1, * FROM e1), t(proj, a, b) AS (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOUBLE)' for i, (a, b) in enumerate(THETAS))}),
+  r AS (SELECT epoch, proj, z, row_number() OVER (PARTITION BY epoch, proj ORDER BY z) - 1 AS pos, count(*) OVER (PARTITION BY epoch, proj) AS n FROM (SELECT epoch, proj, a * x_acct + b * x_nation AS z FROM x, t)),
+  s(share) AS (VALUES {', '.join(f'({s}::DOUBLE)' for s in SHARES)})
+  SELECT epoch, proj, share, round(z, 6) AS z FROM r JOIN s ON pos = floor(share * (n - 1))""")
+def inverse_distribution_curves(spark, sf_dir) -> DataFrame:
+    """Curves of the customers' points before and after a step, from appended snapshots."""
+    kept = Snapshots.create(spark)
+    start = customer_points(spark, sf_dir)
+    kept.add(start.select("pid", *(F.round(c, 5).alias(c) for c in ("x_acct", "x_nation"))), 0)
+    kept.add(particle_step(spark, sf_dir), 1)
+    curves = inverse_curves(kept.rows(), ["x_acct", "x_nation"], THETAS, SHARES)
+    return curves.select("epoch", "proj", "share", F.round("z", 6).alias("z"))

@@ -45,12 +45,16 @@ def _scaled(account: str):
     return F.least(F.greatest((F.col(account) + 1000) / 11000.0, F.lit(0.0)), F.lit(1.0))
 
 
+def customer_points(spark, sf_dir) -> DataFrame:
+    """A point (pid, x_acct, x_nation) for each customer."""
+    nation = (2 * F.col("c_nationkey") + 1) / 50.0
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"), _scaled("c_acctbal").alias("x_acct"), nation.alias("x_nation"))
+
+
 @query(PARTICLES_SQL)
 def particle_step(spark, sf_dir) -> DataFrame:
     """Customers as points, one step toward two marginals of the suppliers."""
-    nation = lambda c: (2 * F.col(c) + 1) / 50.0
-    points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"), _scaled("c_acctbal").alias("x_acct"), nation("c_nationkey").alias("x_nation"))
-    cloud = particle_tables.Cloud.of_rows(PLACES, points)
+    cloud = particle_tables.Cloud.of_rows(PLACES, customer_points(spark, sf_dir))
     supplier = table(spark, sf_dir, "supplier").select(F.least(F.greatest(F.ceil(_scaled("s_acctbal") * 8) - 1, F.lit(0)), F.lit(7)).cast("int").alias("acct"), F.col("s_nationkey").alias("nation"))
     batch = []
     for clique, cell, thetas in ((("acct", "nation"), F.col("acct") * 25 + F.col("nation"), np.array(THETAS)), (("nation",), F.col("nation"), np.ones((1, 1)))):

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from marginalia.functions.scalar import gumbel
-from marginalia.operators import marginal_store
+from marginalia.operators import evaluate, marginal_store, particle_tables
 from marginalia.operators.containment import smallest_holders
 from marginalia.operators.dictionaries import StoredDictionary
 from marginalia.operators.marginal_store import MarginalStore, private_choice
+from marginalia.operators.snapshots import Snapshots, inverse_curves
 from marginalia.plans.schema import Domain
 
 SETS = "id long, attrs array<string>"
@@ -132,3 +133,56 @@ def test_private_choice_is_the_noised_maximum(spark):
     p = np.exp([0, 0.5, 1.5]) / np.exp([0, 0.5, 1.5]).sum()
     for r in drawn.collect():
         assert r["count"] / 20000 == pytest.approx(p[r["c"]], abs=0.015)
+
+
+def test_measured_while_written(spark, coded, tmp_path):
+    x, df = coded
+    cliques = [("a", "d"), ("c",)]
+    truth = evaluate.marginals_kernel(df, ABCD, cliques)
+    odd = df.filter("b < 2").unionByName(spark.createDataFrame([(None, 1, 0, 0), (9, 1, 1, 1)], "a int, b int, c int, d int"))
+    got = {r["clique_id"]: r for r in evaluate.write_measured(odd, ABCD, cliques, truth, f"{tmp_path}/rows").collect()}
+    part = x[x[:, 1] < 2]
+    both = [counts(part, c) for c in cliques]
+    both[1] = both[1] + 1  # the two odd rows have a c each
+    for i, c in enumerate(cliques):
+        gap = both[i] / both[i].sum() - counts(x, c) / 120
+        assert got[i]["l1"] == pytest.approx(np.abs(gap).sum()) and got[i]["variation"] == pytest.approx(np.abs(gap).sum() / 2)
+        assert got[i]["l2"] == pytest.approx(np.sqrt((gap**2).sum())) and got[i]["records"] == len(part) + 2
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/rows").collect())) == sorted(map(str, odd.collect()))
+
+
+def test_measured_empty_and_too_large(coded, tmp_path):
+    none = coded[1].limit(0)
+    truth = evaluate.marginals_kernel(coded[1], ABCD, [("c",)])
+    assert [tuple(r) for r in evaluate.write_measured(none, ABCD, [("c",)], truth, f"{tmp_path}/none").collect()] == [(0, 0, None, None, None)]
+    empty = truth.limit(0)
+    assert [r["l1"] for r in evaluate.write_measured(coded[1], ABCD, [("c",)], empty, f"{tmp_path}/all").collect()] == [None]
+    with pytest.raises(ValueError, match="too many"):
+        evaluate.write_measured(none, Domain.fromdict({"a": 3000, "b": 4, "c": 2, "d": 5}), [("a",)], truth, f"{tmp_path}/wide")
+
+
+def test_snapshots_and_curves(spark):
+    rng = np.random.default_rng(8)
+    kept, clouds = Snapshots.create(spark), {}
+    for epoch, n in ((0, 300), (5, 41), (7, 1)):
+        clouds[epoch] = np.round(rng.random((n, 2)), 1)  # many ties
+        points = [(i, float(a), float(b), 0.0) for i, (a, b) in enumerate(clouds[epoch])]
+        kept.add(spark.createDataFrame(points, "pid long, x_a double, x_b double, m_a double"), epoch)
+    assert kept.rows([5]).count() == 41 and set(kept.rows().columns) == {"pid", "x_a", "x_b", "epoch"}
+    shares, thetas = [0.0, 0.25, 0.5, 1.0], [(1.0, 0.0), (0.6, 0.8)]
+    got = {(r["epoch"], r["proj"], r["share"]): r["z"] for r in inverse_curves(kept.rows(), ["x_a", "x_b"], thetas, shares).collect()}
+    assert len(got) == 3 * 2 * 4
+    for (epoch, proj, share), z in got.items():
+        own = np.sort(clouds[epoch] @ np.array(thetas[proj]))
+        assert z == pytest.approx(own[int(np.floor(share * (len(own) - 1)))])
+
+
+def test_descent_leaves_snapshots(spark):
+    domain = Domain.fromdict({"a": 4, "b": 5})
+    kept = Snapshots.create(spark)
+    engine = particle_tables.TableParticleInference(domain, iters=3, n_directions=2, p_mask=0.0, snapshots=kept, snapshot_every=2)
+    cells = spark.createDataFrame([(i, 0.25) for i in range(4)], "cell long, value double")
+    end = engine.estimate(particle_tables.Cloud.random(spark, domain, 50, 3), [(("a",), cells)])
+    assert {(r["epoch"], r["count"]) for r in kept.rows().groupBy("epoch").count().collect()} == {(0, 50), (2, 50)}
+    last = kept.rows([2]).drop("epoch")
+    assert last.exceptAll(end.rows.select(*last.columns)).count() == 0
