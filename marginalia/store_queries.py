@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from marginalia.operators import evaluate
+from marginalia.operators import evaluate, mechanisms
 from marginalia.operators.containment import smallest_holders
 from marginalia.operators.dictionaries import StoredDictionary
 from marginalia.operators.marginal_store import MarginalStore
 from marginalia.operators.marginals import marginals_kernel
+from marginalia.operators.pgm import FactoredInference
+from marginalia.operators.pgm_tables import TableInference
 from marginalia.operators.snapshots import Snapshots, inverse_curves
+from marginalia.plans.privacy import Budget
 from marginalia.plans.schema import all_kway
-from marginalia.queries import LINEITEM, THETAS, D, coded_lineitem, query, table
+from marginalia.queries import LINEITEM, SMALL, THETAS, D, coded_lineitem, query, table
 from marginalia.storage import shared_dir
 from marginalia.table_queries import PARTICLES_SQL, customer_points, particle_step
 
@@ -95,6 +99,64 @@ def stored_answers(spark, sf_dir) -> DataFrame:
     return MarginalStore.of(coded_lineitem(spark, sf_dir), LINEITEM, TRIPLES).answers(PAIRS)
 
 
+# --- mechanisms, where noise is far below a row --------------------------------------------------------------------------------
+
+SURE = Budget(10_000.0, 1e-6, seed=0)  # to test the machinery: what is measured must come back
+NEAR = 0.05  # of the rows, in L1
+EDGES = all_kway(SMALL, 2)
+
+
+def _edge(a: str, b: str) -> str:
+    cells = f"(SELECT s_{a}.{a}, s_{b}.{b}, n.n * s_{a}.p * s_{b}.p AS m FROM s_{a}, s_{b}, n)"
+    return f"SELECT '{a}' AS a, '{b}' AS b, sum(abs(coalesce(v, 0) - m)) AS gap FROM {cells} LEFT JOIN (SELECT {a}, {b}, count(*) AS v FROM d GROUP BY ALL) USING ({a}, {b})"
+
+
+_SMALL_SHARES = ", ".join(f"s_{a} AS (SELECT {a}, count(*) / CAST((SELECT n FROM n) AS DOUBLE) AS p FROM d GROUP BY {a})" for a in SMALL)
+
+
+def near(df: DataFrame, made: DataFrame, domain, cliques, name: str) -> DataFrame:
+    """(mechanism, clique, cells, near): cells that rows of ``df`` fill, and whether ``made``'s marginal is near theirs."""
+    old, new = (marginals_kernel(x, domain, cliques).withColumnRenamed("value", v) for x, v in ((df, "old"), (made, "new")))
+    gap = F.sum(F.abs(F.coalesce("old", F.lit(0.0)) - F.coalesce("new", F.lit(0.0)))) / F.sum("old") <= NEAR
+    found = old.join(new, ["clique_id", "cell"], "full").groupBy("clique_id").agg(F.count("old").alias("cells"), gap.alias("near"))
+    names = F.array(*(F.lit("|".join(c)) for c in cliques))
+    return found.select(F.lit(name).alias("mechanism"), F.element_at(names, F.col("clique_id") + 1).alias("clique"), "cells", "near")
+
+
+def _filled(name: str, cliques) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS mechanism, '{'|'.join(c)}' AS clique, count(*) AS cells, true AS near FROM (SELECT DISTINCT {', '.join(c)} FROM d)" for c in cliques)
+
+
+SINGLES = [(a,) for a in SMALL]
+
+
+@query(f"WITH {D} {_filled('kway', EDGES)} UNION ALL {_filled('mwem', EDGES)} UNION ALL {_filled('mst', SINGLES)} UNION ALL {_filled('aim', SINGLES)}")
+def mechanisms_recover(spark, sf_dir) -> DataFrame:
+    """With next to no noise the synthetic rows have the marginals that were measured."""
+    rows, engine = coded_lineitem(spark, sf_dir).select(*SMALL), lambda: FactoredInference(SMALL)
+    made = {
+        "kway": (mechanisms.KWay(SURE).run(rows, SMALL, engine(), EDGES), EDGES),
+        "mwem": (mechanisms.MWEM(SURE).run(rows, SMALL, engine(), EDGES), EDGES),
+        "mst": (mechanisms.MST(SURE).run(rows, SMALL, engine()), SINGLES),
+        "aim": (mechanisms.AIM(SURE).run(rows, SMALL, engine(), EDGES), SINGLES),
+    }
+    return reduce(DataFrame.union, (near(rows, x, SMALL, cliques, name) for name, (x, cliques) in made.items()))
+
+
+@query(f"""WITH RECURSIVE {D}, n AS (SELECT count(*) AS n FROM d), {_SMALL_SHARES}, e AS ({' UNION ALL '.join(_edge(*c) for c in EDGES)}),
+  t AS (SELECT ['{SMALL.attrs[0]}'] AS seen, '' AS a, '' AS b UNION ALL
+    SELECT list_distinct(seen || [e.a, e.b]), e.a, e.b FROM t JOIN e ON list_contains(seen, e.a) <> list_contains(seen, e.b) QUALIFY row_number() OVER (ORDER BY gap DESC) = 1),
+  c AS ({_filled('mst', EDGES)})
+  SELECT mechanism, clique, cells, near FROM c JOIN t ON clique = a || '|' || b""")
+def mst_on_tables(spark, sf_dir) -> DataFrame:
+    """M05, M06, N08, E11 with answers, measurements and model as tables: the tree is the greatest spanning one, and
+    the synthetic rows have its marginals."""
+    rows = coded_lineitem(spark, sf_dir).select(*SMALL)
+    held = mechanisms.MST(SURE)
+    made = held.run(rows, SMALL, TableInference(SMALL, 0, warm=True))
+    return near(rows, made, SMALL, [SMALL.canonical(e) for e in held.tree], "mst")
+
+
 # --- metrics beside the work, data of plots ----------------------------------------------------------------------------------
 
 WATCHED = [("dc", "rf"), ("ls",), ("mo",)]
