@@ -2,18 +2,20 @@
 
 A public vocabulary (a sentencepiece model with byte fallback) cuts each word of a text.
 Three figures judge the text: characters per token, the share of byte-fallback tokens, and
-the entropy of its tokens in bits. Each script has bands of accepted values; a text of at
-least ``MIN_TOKENS`` tokens outside a band of its main script is rejected. Plain counts
+the entropy of its tokens in bits. Each script has bands of accepted values, wider for short
+texts; a text outside a band of its main script is rejected. Plain counts
 (words, symbols, repeated lines and 5-word windows) are computed beside them and reject by
-fixed limits.
+fixed limits. One vocabulary is used: the other public ones are byte-level or drop unknown
+characters, so they have no byte fallback to measure.
 
 Words are tokenised on their own (pieces of this vocabulary never cross blanks), so each
 distinct word is cut once per batch, whatever its frequency; the counts cover whole texts.
 
 Defined cases: a null or blank text has no words and fails the base rule (fewer than 10);
 repeated rows are judged alike; a text without tokens has figures 0; texts of any length are
-measured whole; a text of fewer than ``MIN_TOKENS`` tokens tells too little about its figures
-and is judged by the base rule alone; an empty table gives an empty result. No shuffle.
+measured whole, and short ones by the first step of each band; a tie between scripts goes to the
+one listed first; columns to be kept may have any names but those of the result; an empty table
+gives an empty result. No shuffle.
 """
 
 from __future__ import annotations
@@ -27,25 +29,27 @@ from pyspark.sql import DataFrame
 
 from marginalia.llm.common import mapped, texts, with_columns
 
-MIN_TOKENS = 30
-#: Per script: least characters per token of texts that have so many tokens or more, most characters per token, most
-#: byte-fallback share, and the least entropy in bits, by tokens too. Running prose reaches its vocabulary's entropy
-#: within some hundred tokens. The Latin limits lie below the labelled good texts of sf0.1; the other scripts' are set
-#: around sample sentences. No text of mere symbols passes.
+#: Per script, by steps (tokens from which on, limit): least characters per token; most characters per token; most
+#: byte-fallback share; least entropy in bits. A text has the limits of the last step that it reaches, and those of the
+#: first step if it reaches none. Running prose reaches its vocabulary's entropy within some hundred tokens. The Latin
+#: limits lie below the good texts of the learning split of sf0.1: of their passages of 10 and 14 words, in 15 to 19
+#: tokens, the least have 1.82 characters per token and 3.25 bits (10 to 14 tokens: 1.92 and 3.09; 20 to 29: 1.61 and
+#: 3.62). A short text may hold a character or two of several bytes, so its share may be larger. The other scripts' limits
+#: are set around sample sentences, a tenth lower for short texts. No text of mere symbols passes.
 BANDS = {
-    "latin": (((30, 1.28), (120, 1.5), (250, 1.6)), 8.0, 0.20, ((30, 2.2), (120, 5.0), (250, 5.6), (500, 5.8))),
-    "latin_marked": (((30, 0.9),), 8.0, 0.20, ((30, 2.2), (120, 5.0), (250, 5.6), (500, 5.8))),
-    "cyrillic": (((30, 1.0),), 8.0, 0.25, ((30, 2.2), (120, 4.5), (500, 5.2))),
-    "greek": (((30, 0.70),), 6.0, 0.60, ((30, 2.2), (120, 4.0))),
-    "cjk": (((30, 0.30),), 4.0, 0.90, ((30, 2.2), (120, 4.0))),
-    "hangul": (((30, 0.30),), 4.0, 0.90, ((30, 2.2), (120, 4.0))),
-    "arabic": (((30, 0.55),), 4.0, 0.40, ((30, 2.2), (120, 3.0))),
-    "hebrew": (((30, 0.55),), 4.0, 0.40, ((30, 2.2), (120, 3.0))),
-    "devanagari": (((30, 0.50),), 4.0, 0.40, ((30, 2.2), (120, 3.0))),
-    "thai": (((30, 0.50),), 4.0, 0.40, ((30, 2.2), (120, 3.0))),
-    "letters": (((30, 0.25),), 8.0, 0.92, ((30, 2.0),)),
-    "other": (((30, 0.40),), 1.1, 0.10, ((30, 2.0),)),
-    "symbols": (((30, np.inf),), 0.0, 0.0, ()),
+    "latin": (((10, 1.2), (30, 1.28), (120, 1.5), (250, 1.6)), 8.0, ((10, 0.45), (30, 0.20)), ((10, 2.2), (15, 2.5), (20, 2.8), (30, 3.0), (120, 5.0), (250, 5.6), (500, 5.8))),
+    "latin_marked": (((10, 0.81), (30, 0.9)), 8.0, ((10, 0.45), (30, 0.20)), ((10, 2.2), (120, 5.0), (250, 5.6), (500, 5.8))),
+    "cyrillic": (((10, 0.9), (30, 1.0)), 8.0, ((10, 0.45), (30, 0.25)), ((10, 2.2), (120, 4.5), (500, 5.2))),
+    "greek": (((10, 0.63), (30, 0.70)), 6.0, ((10, 0.75), (30, 0.60)), ((10, 2.2), (120, 4.0))),
+    "cjk": (((10, 0.27), (30, 0.30)), 4.0, ((10, 0.95), (30, 0.90)), ((10, 2.2), (120, 4.0))),
+    "hangul": (((10, 0.27), (30, 0.30)), 4.0, ((10, 0.95), (30, 0.90)), ((10, 2.2), (120, 4.0))),
+    "arabic": (((10, 0.5), (30, 0.55)), 4.0, ((10, 0.60), (30, 0.40)), ((10, 2.2), (120, 3.0))),
+    "hebrew": (((10, 0.5), (30, 0.55)), 4.0, ((10, 0.60), (30, 0.40)), ((10, 2.2), (120, 3.0))),
+    "devanagari": (((10, 0.45), (30, 0.50)), 4.0, ((10, 0.60), (30, 0.40)), ((10, 2.2), (120, 3.0))),
+    "thai": (((10, 0.45), (30, 0.50)), 4.0, ((10, 0.60), (30, 0.40)), ((10, 2.2), (120, 3.0))),
+    "letters": (((10, 0.22), (30, 0.25)), 8.0, ((10, 0.95), (30, 0.92)), ((10, 2.0),)),
+    "other": (((10, 0.36), (30, 0.40)), 1.1, ((10, 0.30), (30, 0.10)), ((10, 2.0),)),
+    "symbols": (((10, np.inf),), 0.0, ((10, 0.0),), ((10, 0.0),)),
 }
 #: First and last code point of the ranges that name a script.
 RANGES = {
@@ -61,6 +65,7 @@ RANGES = {
 }
 SYMBOLS = b"#*$%&|<>"
 CACHED = 400_000
+MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier
 
 
 @lru_cache(maxsize=2)
@@ -100,6 +105,21 @@ def id_type(model_path: str) -> type:
     return np.uint16 if len(vocabulary(model_path)[1]) <= 1 << 16 else np.uint32
 
 
+def windows_repeat(words: list[bytes]) -> bool:
+    """Whether two 5-word windows of a text may be equal, by a hash of each; equal windows have equal hashes."""
+    if len(words) < 6:
+        return False
+    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    n = len(h) - 4
+    mixed = h[:n].copy()
+    for k in range(1, 5):
+        mixed *= MIX
+        mixed ^= mixed >> np.uint64(29)
+        mixed += h[k : k + n]
+    mixed.sort()
+    return bool((mixed[1:] == mixed[:-1]).any())
+
+
 def base_counts(data: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
     """word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     word_chars = sum(map(len, words))
@@ -108,8 +128,8 @@ def base_counts(data: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
     symbols = sum(map(data.count, (bytes([c]) for c in SYMBOLS)))
     lines = [x for x in data.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
     repeat = 0
-    windows = list(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False))
-    if len(set(windows)) < len(windows):
+    if windows_repeat(words):
+        windows = list(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False))
         count = Counter(windows)
         hit = np.zeros(len(words) + 1, np.int64)
         for i, w in enumerate(windows):
@@ -120,15 +140,18 @@ def base_counts(data: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
     return word_chars, symbols, len(lines) - len(set(lines)), repeat
 
 
-def verdict(script: str, n_tokens: int, chars_per_token: float, byte_share: float, entropy: float, bands=BANDS, min_tokens: int = MIN_TOKENS) -> bool:
-    """Whether the figures lie in the bands of the script. Entropy grows with a text, so its limit does too."""
-    lows, high, most_bytes, floors = bands[script]
-    low = max((x for n, x in lows if n <= n_tokens), default=0.0)
-    least_entropy = max((e for n, e in floors if n <= n_tokens), default=0.0)
-    return n_tokens < min_tokens or (low <= chars_per_token <= high and byte_share <= most_bytes and entropy >= least_entropy)
+def limit(steps: tuple[tuple[int, float], ...], n_tokens: int) -> float:
+    """Of the last step that so many tokens reach, else of the first."""
+    return next((x for n, x in reversed(steps) if n <= n_tokens), steps[0][1])
+
+
+def verdict(script: str, n_tokens: int, chars_per_token: float, byte_share: float, entropy: float, bands=BANDS) -> bool:
+    """Whether the figures lie in the bands of the script."""
+    lows, high, shares, floors = bands[script]
+    return limit(lows, n_tokens) <= chars_per_token <= high and byte_share <= limit(shares, n_tokens) and entropy >= limit(floors, n_tokens)
 
 
-def measure(df: DataFrame, keep: list[str], model_path: str, bands: dict = BANDS, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def measure(df: DataFrame, keep: list[str], model_path: str, bands: dict = BANDS) -> DataFrame:
     """Columns ``keep`` of ``df`` with the base counts, the three figures, script, base_failed and kept."""
     df = df.select(*keep, "text")
 
@@ -156,7 +179,7 @@ def measure(df: DataFrame, keep: list[str], model_path: str, bands: dict = BANDS
             fallback, per_token = (float(is_byte[tokens].mean()), chars / n_tokens) if n_tokens else (0.0, 0.0)
             script = script_of(data.decode()) if n_tokens else "other"
             failed = n < 10 or 100 * repeat > 20 * n
-            good = not failed and bool(verdict(script, n_tokens, per_token, fallback, entropy, bands, min_tokens))
+            good = not failed and bool(verdict(script, n_tokens, per_token, fallback, entropy, bands))
             rows.append((n, chars, symbols, dup, repeat, failed, good, n_tokens, per_token, fallback, entropy, script))
         kinds = (*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.int64(), *[pa.float64()] * 3, pa.string())
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "script")

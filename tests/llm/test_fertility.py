@@ -1,6 +1,7 @@
 import base64
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -19,12 +20,13 @@ def brute(text):
             dup += x in seen
             seen.add(x)
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)}
+    count = Counter(grams)
+    hit = {i + k for i, g in enumerate(grams) if count[g] > 1 for k in range(5)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
 
 
 def test_base_counts(frame, prose, odd_rows):
-    rows = [r for r in odd_rows if len(r[1] or "") < 9000] + [(20, prose(3, 40) + " " + prose(3, 12)), (21, "a#b\n\na#b\n \na#b"), (22, "één twee drie " * 9), (23, prose(5, 200))]
+    rows = [*odd_rows] + [(20, prose(3, 40) + " " + prose(3, 12)), (21, "a#b\n\na#b\n \na#b"), (22, "één twee drie " * 9), (23, prose(5, 200))]
     got = Fe.measure(frame(rows).withColumnRenamed("lang", "kept"), ["doc_id"], MODEL).collect()
     assert sorted((str(r[0]), *r[1:7]) for r in got) == sorted((str(i), *brute(t)) for i, t in rows)
     assert not any(r["kept"] and r["base_failed"] for r in got)
@@ -42,7 +44,8 @@ def test_bands(prose):
     assert not Fe.verdict("latin", 100, 0.5, 0.0, 6.0) and not Fe.verdict("latin", 600, 2.5, 0.0, 5.5)
     assert not Fe.verdict("latin", 100, 2.5, 0.9, 6.0)
     assert not Fe.verdict("latin", 100, 2.5, 0.0, 0.5)
-    assert Fe.verdict("latin", 5, 0.1, 1.0, 0.0)
+    assert Fe.verdict("latin", 14, 2.0, 0.3, 3.0) and not Fe.verdict("latin", 30, 2.0, 0.3, 4.5)
+    assert not Fe.verdict("latin", 14, 1.0, 0.0, 3.0) and not Fe.verdict("latin", 14, 2.0, 0.0, 2.0) and not Fe.verdict("latin", 5, 0.1, 1.0, 0.0)
     assert Fe.script_of("привет world мир дом") == "cyrillic" and Fe.script_of("123") == "other" and Fe.script_of("東京 ab") in ("cjk", "latin")
 
 
@@ -72,6 +75,31 @@ CLEAN = {
 def test_junk_of_any_figure_goes_and_prose_stays(frame):
     rows = [(i, t) for i, t in enumerate([*JUNK.values(), *CLEAN.values()])]
     got = sorted(Fe.measure(frame(rows), ["doc_id"], MODEL).collect(), key=lambda r: r["doc_id"])
-    assert all(r["n_tokens"] >= Fe.MIN_TOKENS and not r["base_failed"] for r in got)
+    assert all(r["n_tokens"] >= 30 and not r["base_failed"] for r in got)
     assert [r["kept"] for r in got] == [False] * len(JUNK) + [True] * len(CLEAN)
     assert [r["script"] for r in got[len(JUNK) :]] == list(CLEAN)
+
+
+SHORT = {
+    "Dinner with old friends from school was great fun tonight 🎉": True,
+    "A b c d e f g h i j k l": False,
+    "x- y- x- y- y- x- x- x- y- y- y- x-": False,
+    "# $ % & * < > | + =": False,
+    "\ue001\ue002 \ue003\ue004 \ue005 \ue006 \ue007 \ue008 \ue009 \ue00a \ue00b \ue00c": False,
+    "мы все были рады видеть его дома в этот день": True,
+}
+
+
+def test_short_texts_are_judged_too(frame):
+    got = {r["doc_id"]: r for r in Fe.measure(frame(list(enumerate(SHORT))), ["doc_id"], MODEL).collect()}
+    assert {t: got[i]["kept"] for i, t in enumerate(SHORT)} == SHORT
+    assert not any(r["base_failed"] for r in got.values())
+
+
+def test_windows_that_may_repeat():
+    rng = random.Random(3)
+    for _ in range(300):
+        words = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 14))]
+        grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        assert Fe.windows_repeat(words) or len(set(grams)) == len(grams)
+    assert not Fe.windows_repeat([str(i).encode() for i in range(5000)])
