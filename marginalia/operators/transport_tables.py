@@ -11,10 +11,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.scalar import NEG_INF, center, minkowski
+from marginalia.functions.scalar import NEG_INF, center
 from marginalia.plans.schema import Domain
 from marginalia.storage import materialise
 
@@ -110,61 +110,91 @@ def divergence_gradient(cells: DataFrame, domain: Domain, reg: float, rounds: in
 
 # --- nearest centre ------------------------------------------------------------------------------------------------------
 
+LEAF = 16  # centres of a leaf, about
+SENT_NODES = 50_000  # nodes of one level of the tree that are broadcast
+POINTS_TASK = 20_000  # points of a task while they go down
+DIVIDED = 6  # coordinates that divide nodes; boxes are over all
 
-def nearest_centres(points: DataFrame, centres: DataFrame, coords: Sequence[str], keys: tuple[str, str] = ("i", "j"), p: float = math.inf, indexed: int = 2) -> DataFrame:
+
+def apart(x: Sequence[Column], y: Sequence[Column], p: float) -> Column:
+    """``minkowski`` over columns."""
+    gaps = [F.abs(a - b) for a, b in zip(x, y, strict=True)]
+    if p == math.inf:
+        return F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
+    return F.pow(sum((F.pow(g, F.lit(float(p))) for g in gaps), F.lit(0.0)), F.lit(1.0 / p))
+
+
+def nearest_centres(points: DataFrame, centres: DataFrame, coords: Sequence[str], keys: tuple[str, str] = ("i", "j"), p: float = math.inf) -> DataFrame:
     """(i, j, dist), the nearest centre of each point in the p norm, of equal ones the smallest j.
 
-    Centres are put into the cells of a grid over their first ``indexed`` coordinates, about one to a cell. A point looks at the
-    cells around its own by an equi-join; a centre not met after ring r is farther than r cell widths in one of
-    those coordinates, and so in the norm, so a smaller distance is final. The other points go on with a
-    ring twice as wide. Centres at one place are one centre. A null coordinate, or no centre at all, gives no row.
+    Centres form a tree whose nodes halve in each coordinate; a node knows the box around its centres and its centre of
+    smallest j, its head. Points go down a level at a time, by an equi-join of the nodes they are still at with these nodes'
+    children. All heads met give a best (dist, j); a child whose box is not nearer, or as near without a smaller j, is
+    left. So a node all of whose centres are as far as its head is done with at once, however many they are, and a point
+    never meets empty space. What is left at the leaves meets their centres. Levels of few nodes are broadcast and
+    need no shuffle. Centres at one place are one centre. A null coordinate, or no centre at all, gives no row.
     """
     i, j = keys
-    used = list(coords[:indexed])
-    centres = centres.dropna(subset=list(coords)).groupBy(*coords).agg(F.min(j).alias(j))
-    box = centres.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}{c}") for c in used for n, f in (("lo_", F.min), ("hi_", F.max)))).first()
+    x, y, low, high = ([F.col(f"_{n}{k}") for k in range(len(coords))] for n in ("x", "y", "lo", "hi"))
+    put = [f"_p{k}" for k in range(min(len(coords), DIVIDED))]
+    named = lambda n: [F.col(c).cast("double").alias(f"_{n}{k}") for k, c in enumerate(coords)]
+    centres = centres.dropna(subset=list(coords)).groupBy(*coords).agg(F.min(j).alias(j)).select(F.col(j).alias("_j"), *named("y"))
+    centres = materialise(centres, "centres")
+    box = centres.agg(F.count(F.lit(1)).alias("n"), *(f(f"_y{k}").alias(f"{n}{k}") for k in range(len(put)) for n, f in (("lo", F.min), ("hi", F.max)))).first()
     if not box["n"]:
-        return points.sparkSession.createDataFrame([], f"{i} {points.schema[i].dataType.simpleString()}, {j} {centres.schema[j].dataType.simpleString()}, dist double")
-    low = {c: float(box["lo_" + c]) for c in used}
-    widest = max(float(box["hi_" + c]) - low[c] for c in used) or 1.0
-    side = max(1, round(box["n"] ** (1 / len(used))))
-    width = widest / side
-
-    def cell(c: str) -> Column:
-        # a point beyond the box counts as on its border: no centre is nearer to it than to there in this coordinate
-        x = F.least(F.greatest(F.col(c), F.lit(low[c])), F.lit(low[c] + widest))
-        return F.least(F.floor((x - low[c]) / width), F.lit(side - 1)).cast("long")
-
-    def numbered(cells: list[Column]) -> Column:
-        out = cells[0]
-        for c in cells[1:]:
-            out = out * side + c
-        return out
-
-    index = materialise(centres.select(numbered([cell(c) for c in used]).alias("_cell"), F.col(j).alias("_j"), F.array(*(F.col(c).cast("double") for c in coords)).alias("_y")), "centre-index")
-    left = points.dropna(subset=list(coords)).select(i, *(cell(c).alias(f"_c{k}") for k, c in enumerate(used)), F.array(*(F.col(c).cast("double") for c in coords)).alias("_x"))
-    left = materialise(left, "centre-points")
-    done, ring = [], 1
-    while True:
-        around = left
-        for k in range(len(used)):
-            reach = F.sequence(F.greatest(F.col(f"_c{k}") - ring, F.lit(0)), F.least(F.col(f"_c{k}") + ring, F.lit(side - 1)))
-            around = around.withColumn(f"_a{k}", F.explode(reach))
-        around = around.select(i, "_x", numbered([F.col(f"_a{k}") for k in range(len(used))]).alias("_cell"))
-        met = around.join(index, "_cell").select(i, F.struct(minkowski(F.col("_x"), F.col("_y"), p).alias("dist"), F.col("_j")).alias("_near"))
-        best = met.groupBy(i).agg(F.min("_near").alias("_near"))
-        # rounding of cell borders is far below this part of a width
-        bound = F.lit((ring - 1e-6) * width)
-        final = (F.col("_near.dist") <= bound) if ring < side else F.lit(True)
-        found = materialise(left.join(best, i, "left").withColumn("_final", F.coalesce(final, F.lit(ring >= side))), "centre-found")
-        done.append(found.filter("_final and _near is not null").select(i, F.col("_near._j").alias(j), F.col("_near.dist").alias("dist")))
-        if ring >= side:
-            break
-        left = found.filter("not _final").drop("_near", "_final")
-        if left.limit(1).count() == 0:
-            break
-        ring = min(2 * ring, side)
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out
+        return points.sparkSession.createDataFrame([], f"{i} {points.schema[i].dataType.simpleString()}, {j} {centres.schema['_j'].dataType.simpleString()}, dist double")
+    bits = min(30, 60 // len(put))
+    width = (max(float(box[f"hi{k}"]) - float(box[f"lo{k}"]) for k in range(len(put))) or 1.0) / 2**bits
+    index = centres.select("*", *(F.least(F.floor((y[k] - float(box[f"lo{k}"])) / width), F.lit(2**bits - 1)).cast("long").alias(c) for k, c in enumerate(put)))
+
+    def up(levels: int) -> list[Column]:
+        return [F.shiftright(c, levels).alias(c) for c in put]
+
+    def number(level: int, levels: int = 0) -> Column:
+        """A node of ``level``, from the places of nodes ``levels`` below."""
+        return sum((F.shiftright(c, levels) * F.lit(1 << (level * k)) for k, c in enumerate(put)), F.lit(0).cast("long"))
+
+    def crowd(level: int) -> float:
+        """How many centres share a centre's node, on average."""
+        return index.groupBy(*up(bits - level)).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+
+    depth = min(bits, max(1, math.ceil(math.log2(max(1.0, box["n"] / LEAF)) / len(put))))
+    while depth < bits and crowd(depth) > 4 * LEAF:
+        depth += 1
+    head = F.struct("_j", *(f"_y{k}" for k in range(len(coords)))).alias("_head")
+    nodes = index.select(*up(bits - depth), head, *(F.col(f"_y{k}").alias(f"_{n}{k}") for n in ("lo", "hi") for k in range(len(coords))))
+    tree = []
+    for level in range(depth, 0, -1):
+        around = [f(f"_{n}{k}").alias(f"_{n}{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in range(len(coords))]
+        nodes = materialise(nodes.groupBy(*put).agg(F.min("_head").alias("_head"), *around), "centre-nodes")
+        tree.insert(0, nodes.select(number(level).alias("_node"), number(level - 1, 1).alias("_at"), "_head", *low, *high))
+        nodes = nodes.select(*up(1), "_head", *low, *high)
+
+    def reach(dist: Column, smallest: Column) -> Column:
+        return F.struct(dist.alias("dist"), smallest.alias("j"))
+
+    # powers may be off in their last places; a greatest gap is not
+    least = apart(x, [F.least(F.greatest(a, b), c) for a, b, c in zip(x, low, high, strict=True)], p) * F.lit(1.0 if p == math.inf else 1 - 1e-12)
+    near, best = reach(least, F.col("_head._j")), F.col("_best")
+    of_head = F.when(F.col("_head").isNotNull(), reach(apart(x, [F.col(f"_head._y{k}") for k in range(len(coords))], p), F.col("_head._j")))
+    known, alone = F.min(of_head).over(Window.partitionBy("_i")), F.col("_node").isNull()
+    # beside its nodes a point has a row at none, which keeps its best
+    given = points.dropna(subset=list(coords)).select(F.col(i).alias("_i"), *named("x"))
+    tasks = max(4 * points.sparkSession.sparkContext.defaultParallelism, given.count() // POINTS_TASK)
+    front = given.repartition(tasks, "_i").select("*", F.explode(F.array(F.lit(0).cast("long"), F.lit(None).cast("long"))).alias("_at"), F.lit(None).cast(f"struct<dist:double,j:{centres.schema['_j'].dataType.simpleString()}>").alias("_best"))
+    written = False
+    for level in tree:
+        if level.count() <= SENT_NODES:
+            met = front.join(F.broadcast(level), "_at", "left")
+        else:
+            front, written = front if written else materialise(front, "nearest"), True
+            met = front.filter("_at is not null").join(level.hint("merge"), "_at").unionByName(front.filter("_at is null"), allowMissingColumns=True)
+        met = met.filter(alone | best.isNull() | (near < best)).withColumn("_best", F.least(best, known))
+        front = met.filter(alone | (near < best)).select("_i", *x, F.col("_node").alias("_at"), "_best")
+        front = materialise(front, "nearest") if written else front
+    front = front if written else materialise(front, "nearest")
+    leaves = index.select(number(depth, bits - depth).alias("_at"), "_j", *y)
+    met = front.filter("_at is not null").join(leaves.hint("merge"), "_at").select("_i", "_best", reach(apart(x, y, p), F.col("_j")).alias("_near"))
+    closer = met.filter(F.col("_near") < best).select("_i", F.col("_near").alias("_best"))
+    found = closer.union(front.filter("_at is null").select("_i", "_best")).groupBy("_i").agg(F.min("_best").alias("_best"))
+    return found.select(F.col("_i").alias(i), F.col("_best.j").alias(j), F.col("_best.dist").alias("dist"))

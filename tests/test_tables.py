@@ -165,3 +165,13 @@ def test_nearest_of_no_centres(spark):
     none = spark.createDataFrame([], "j long, a double")
     some = spark.createDataFrame([(1, 0.5)], "i long, a double")
     assert TT.nearest_centres(some, none, ["a"]).collect() == [] and TT.nearest_centres(none.withColumnRenamed("j", "i"), some.withColumnRenamed("i", "j"), ["a"]).collect() == []
+
+
+def test_nearest_across_a_gap(spark):
+    """All centres are far in one coordinate, so each point has thousands equally near, and no cell around it has any."""
+    rng = np.random.default_rng(9)
+    centres, points = rng.random((40_000, 3)) * [1, 1, 0], rng.random((3000, 3)) * [1, 1, 0] + [0, 0, 0.5]
+    left, right = (spark.createDataFrame(pd.DataFrame(x, columns=list("abc"))).coalesce(1).withColumn(k, F.monotonically_increasing_id()) for x, k in ((points, "i"), (centres, "j")))
+    got = {r.i: (r.j, r.dist) for r in TT.nearest_centres(left, right, ["a", "b", "c"]).collect()}
+    want = {i: (int((np.abs(x - centres).max(-1) <= 0.5).argmax()), 0.5) for i, x in enumerate(points)}
+    assert got == want
