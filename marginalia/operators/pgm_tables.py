@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.scalar import cell_of, code_in
 from marginalia.operators.factor import Factor
+from marginalia.operators.pgm import HALVINGS
 from marginalia.plans.graph import JunctionTree
 from marginalia.plans.schema import Clique, Domain, containing
 from marginalia.storage import materialise
@@ -96,7 +97,7 @@ def propagate(potentials: Potentials, tree: JunctionTree, total: float = 1.0) ->
 class TableInference:
     """E01-E05 on tables: mirror descent to noisy marginals (clique, rows of (cell, y), sigma).
 
-    A step is halved, up to 25 times, until the loss falls enough; ``lr`` None takes steps of 2 / total². Each step's
+    A step is halved until the loss falls enough, however large the total (where none serves the descent ends); ``lr`` None takes steps of 2 / total². Each step's
     potentials are written, so no plan grows, and its loss is one aggregate. ``warm`` begins with the measured cliques' own
     nearest histograms instead of a uniform model; where measurements agree that is the end already, so few steps are left.
     """
@@ -125,15 +126,21 @@ class TableInference:
         for _ in range(self.iters):
             if value <= self.tol:
                 break
-            step = rate
-            for _ in range(25):
+            step, fell = rate, self.lr is None
+            for _ in range(HALVINGS):
                 move = theta.join(grad.withColumnRenamed("value", "g"), ["part", "cell"], "left")
                 trial = materialise(move.select("part", "cell", (F.col("value") - step * F.coalesce("g", F.lit(0.0))).alias("value")), "model-theta")
                 nu, _ = propagate(self._potentials(tree, trial), tree, total)
                 new_grad, new = self._loss(tree, answers, nu)
-                if self.lr is None or value - new >= 0.5 * step * self._gain(grad, mu, nu):
+                if fell:
+                    break
+                gain = self._gain(grad, mu, nu)
+                fell = value - new >= max(0.0, 0.5 * step * gain)
+                if fell or gain <= self.tol * max(1.0, abs(value)):
                     break
                 step /= 2
+            if not fell:
+                break
             settled = abs(value - new) <= self.tol * max(1.0, abs(value))
             theta, mu, grad, value = trial, nu, new_grad, new
             self.losses.append(value)

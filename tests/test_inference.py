@@ -90,6 +90,15 @@ def test_mirror_descent_reaches_exact_measurements(data):
     assert zeros.project(("a", "b"))[0, 0] == 0
 
 
+@pytest.mark.parametrize("total", [6e4, 3.6e7, 2.16e8])
+def test_descent_at_any_total(total):
+    """Steps shrink with the total: noise far below a row needs one far under 2^-25."""
+    x = np.array([[5.0, 1], [2, 8], [4, 4]])
+    x *= total / x.sum()
+    model = E.FactoredInference(DOM).estimate([E.Measurement(("a", "b"), x.ravel(), 0.02)], total)
+    assert model.project(("a", "b")) == pytest.approx(x, rel=1e-6)
+
+
 def test_options_of_inference(data):
     _, x = data
     measured = [E.Measurement(("a", "b"), true(x, ("a", "b")).ravel(), 1.0)]

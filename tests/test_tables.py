@@ -175,3 +175,11 @@ def test_nearest_across_a_gap(spark):
     got = {r.i: (r.j, r.dist) for r in TT.nearest_centres(left, right, ["a", "b", "c"]).collect()}
     want = {i: (int((np.abs(x - centres).max(-1) <= 0.5).argmax()), 0.5) for i, x in enumerate(points)}
     assert got == want
+
+
+def test_table_descent_at_a_large_total(spark):
+    one, y = Domain.fromdict({"a": 3}), np.array([1.8e7, 1.2e7, 6e6])
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "cell long, y double")
+    engine = GT.TableInference(one, 1)
+    engine.estimate(spark, [(("a",), rows, 0.5)], float(y.sum()))
+    assert engine.losses[1] < engine.losses[0]
