@@ -186,3 +186,23 @@ def test_descent_leaves_snapshots(spark):
     assert {(r["epoch"], r["count"]) for r in kept.rows().groupBy("epoch").count().collect()} == {(0, 50), (2, 50)}
     last = kept.rows([2]).drop("epoch")
     assert last.exceptAll(end.rows.select(*last.columns)).count() == 0
+
+
+def test_containment_moves_a_part_of_each_model(spark):
+    """A model's row for a member brings its more frequent members alone, as ints: the numbers here don't compress."""
+    rng = np.random.default_rng(4)
+    models = [(k, sorted(int(v) for v in rng.choice(2**62, 100)), 100) for k in range(300)]
+    measured = [(k, m[1][k % 90 : k % 90 + 3]) for k, m in enumerate(models)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    left, right = spark.createDataFrame(measured, "id long, attrs array<long>"), spark.createDataFrame(models, "id long, attrs array<long>, cells int")
+    as_at_size = {"spark.sql.shuffle.partitions": "100", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # a model's rows part
+    were, before = {k: spark.conf.get(k) for k in as_at_size}, written()
+    for k, v in as_at_size.items():
+        spark.conf.set(k, v)
+    try:
+        got = dict(smallest_holders(left, right).collect())
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert got == {k: k for k in range(300)}
+    assert written() - before < 300 * 100 * 100 * 4
