@@ -23,6 +23,12 @@ def equal_width(value: Column, low: float, high: float, k: int) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value), F.least(F.greatest(code, F.lit(0)), F.lit(k - 1))).cast("int")
 
 
+def whole(value: Column) -> Column:
+    """A double rounded to a whole one, halves away from zero. ``F.round`` does so by a decimal for each row, which is dear."""
+    near = F.rint(value)
+    return near + F.when((value > 0) & (value - near == 0.5), 1.0).when((value < 0) & (value - near == -0.5), -1.0).otherwise(0.0)
+
+
 def center(code: Column, k: int | Column) -> Column:
     """The centre of bin ``code`` of k in [0, 1]."""
     return (2 * code.cast("double") + 1) / (2 * k.cast("double") if isinstance(k, Column) else F.lit(float(2 * k)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ MOST_CELLS = 200_000_000
 #: Cells all cliques together may have for the array kernel; a task then holds 8 bytes for each.
 KERNEL_CELLS = 8_000_000
 CELL_RUN = 1 << 16
+#: Cells of the attributes that a workload uses, nulls as a code each, up to which equal rows are joined first.
+JOINT_CELLS = 1 << 16
 
 
 def bucketed(value: Column, n: int) -> Column:
@@ -55,7 +58,10 @@ def marginals_exploded(df: DataFrame, domain: Domain, cliques: Sequence[Sequence
 
 
 def marginals_kernel(df: DataFrame, domain: Domain, cliques: Sequence[Sequence[str]], weight: str | None = None) -> DataFrame:
-    """G02, fast path: each task adds its rows into dense arrays with ``bincount`` and emits its non-empty cells once."""
+    """G02, fast path: each task adds its rows into dense arrays with ``bincount`` and emits its non-empty cells once.
+
+    Unweighted rows of few possible kinds (``JOINT_CELLS``) are counted by kind instead, and never leave the JVM.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -65,8 +71,11 @@ def marginals_kernel(df: DataFrame, domain: Domain, cliques: Sequence[Sequence[s
     total = sum(p.size() for p in parts)
     if total > KERNEL_CELLS:
         return marginals_exploded(df, domain, cliques, weight)
-    ship(df.sparkSession)
     used = [a for a in domain if any(a in p for p in parts)]
+    if weight is None and math.prod(domain[a] + 1 for a in used) <= JOINT_CELLS:
+        kinds = compress(df.select(*(bucketed(F.col(a), domain[a]).alias(a) for a in used)), used)
+        return marginals_exploded(kinds, domain.project(used), cliques, "weight")
+    ship(df.sparkSession)
     plan = [[(a, s) for a, s in zip(p.attrs, p.strides(), strict=True)] for p in parts]
     sizes = [p.size() for p in parts]
     rows = df.select(*(F.coalesce(bucketed(F.col(a), domain[a]), F.lit(-1)).alias(a) for a in used), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))

@@ -69,8 +69,8 @@ def coded_lineitem(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         S.equal_width(F.col("l_quantity"), 0, 50, 10).alias("q"),
         S.equal_width(F.col("l_extendedprice"), 900, 105000, 16).alias("price"),
-        F.round(F.col("l_discount") * 100).cast("int").alias("dc"),
-        F.round(F.col("l_tax") * 100).cast("int").alias("tx"),
+        S.whole(F.col("l_discount") * 100).cast("int").alias("dc"),
+        S.whole(F.col("l_tax") * 100).cast("int").alias("tx"),
         (F.col("l_linenumber") - 1).cast("int").alias("ln"),
         code(("A", "N", "R"), "l_returnflag").alias("rf"),
         code(("F", "O"), "l_linestatus").alias("ls"),

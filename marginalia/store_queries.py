@@ -13,14 +13,14 @@ from marginalia.operators import evaluate, mechanisms
 from marginalia.operators.containment import smallest_holders
 from marginalia.operators.dictionaries import StoredDictionary
 from marginalia.operators.marginal_store import MarginalStore
-from marginalia.operators.marginals import marginals_kernel
+from marginalia.operators.marginals import clique_names, marginals_kernel
 from marginalia.operators.pgm import FactoredInference
 from marginalia.operators.pgm_tables import TableInference
 from marginalia.operators.snapshots import Snapshots, inverse_curves
 from marginalia.plans.privacy import Budget
 from marginalia.plans.schema import all_kway
 from marginalia.queries import LINEITEM, SMALL, THETAS, D, coded_lineitem, query, table
-from marginalia.storage import shared_dir
+from marginalia.storage import materialise, shared_dir
 from marginalia.table_queries import PARTICLES_SQL, customer_points, particle_step
 
 # --- sets ------------------------------------------------------------------------------------------------------------------
@@ -114,13 +114,20 @@ def _edge(a: str, b: str) -> str:
 _SMALL_SHARES = ", ".join(f"s_{a} AS (SELECT {a}, count(*) / CAST((SELECT n FROM n) AS DOUBLE) AS p FROM d GROUP BY {a})" for a in SMALL)
 
 
-def near(df: DataFrame, made: DataFrame, domain, cliques, name: str) -> DataFrame:
-    """(mechanism, clique, cells, near): cells that rows of ``df`` fill, and whether ``made``'s marginal is near theirs."""
-    old, new = (marginals_kernel(x, domain, cliques).withColumnRenamed("value", v) for x, v in ((df, "old"), (made, "new")))
+def near(old: DataFrame, made: DataFrame, domain, cliques, name: str) -> DataFrame:
+    """(mechanism, clique, cells, near): cells that rows fill, and whether ``made``'s marginal is near theirs. ``old``: the
+    rows' marginals (clique, cell, old), of these cliques and maybe more."""
+    names = clique_names(cliques)
+    new = named(marginals_kernel(made, domain, cliques), cliques, "new")
     gap = F.sum(F.abs(F.coalesce("old", F.lit(0.0)) - F.coalesce("new", F.lit(0.0)))) / F.sum("old") <= NEAR
-    found = old.join(new, ["clique_id", "cell"], "full").groupBy("clique_id").agg(F.count("old").alias("cells"), gap.alias("near"))
-    names = F.array(*(F.lit("|".join(c)) for c in cliques))
-    return found.select(F.lit(name).alias("mechanism"), F.element_at(names, F.col("clique_id") + 1).alias("clique"), "cells", "near")
+    found = old.filter(F.col("clique").isin(names)).join(new, ["clique", "cell"], "full").groupBy("clique").agg(F.count("old").alias("cells"), gap.alias("near"))
+    return found.select(F.lit(name).alias("mechanism"), "clique", "cells", "near")
+
+
+def named(answers: DataFrame, cliques, value: str) -> DataFrame:
+    """(clique, cell, ``value``), cliques by name."""
+    names = F.array(*map(F.lit, clique_names(cliques)))
+    return answers.select(F.element_at(names, F.col("clique_id") + 1).alias("clique"), "cell", F.col("value").alias(value))
 
 
 def _filled(name: str, cliques) -> str:
@@ -140,7 +147,9 @@ def mechanisms_recover(spark, sf_dir) -> DataFrame:
         "mst": (mechanisms.MST(SURE).run(rows, SMALL, engine()), SINGLES),
         "aim": (mechanisms.AIM(SURE).run(rows, SMALL, engine(), EDGES), SINGLES),
     }
-    return reduce(DataFrame.union, (near(rows, x, SMALL, cliques, name) for name, (x, cliques) in made.items()))
+    asked = [*EDGES, *SINGLES]
+    old = materialise(named(marginals_kernel(rows, SMALL, asked), asked, "old"), "old-marginals")  # of all mechanisms, in one scan
+    return reduce(DataFrame.union, (near(old, x, SMALL, cliques, name) for name, (x, cliques) in made.items()))
 
 
 @query(f"""WITH RECURSIVE {D}, n AS (SELECT count(*) AS n FROM d), {_SMALL_SHARES}, e AS ({' UNION ALL '.join(_edge(*c) for c in EDGES)}),
@@ -154,7 +163,8 @@ def mst_on_tables(spark, sf_dir) -> DataFrame:
     rows = coded_lineitem(spark, sf_dir).select(*SMALL)
     held = mechanisms.MST(SURE)
     made = held.run(rows, SMALL, TableInference(SMALL, 0, warm=True))
-    return near(rows, made, SMALL, [SMALL.canonical(e) for e in held.tree], "mst")
+    edges = [SMALL.canonical(e) for e in held.tree]
+    return near(named(marginals_kernel(rows, SMALL, edges), edges, "old"), made, SMALL, edges, "mst")
 
 
 # --- metrics beside the work, data of plots ----------------------------------------------------------------------------------

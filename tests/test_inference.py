@@ -427,3 +427,45 @@ def test_tasks_of_a_drawn_column_grow_in_number(spark):
     sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(sizes) == n and max(sizes) < n / 2 and got.rdd.getNumPartitions() == 8
     assert abs(got.filter("a = 0").count() - n / 4) <= 100
+
+
+def test_rounded_rows_are_not_shuffled(spark, data):
+    df, x = data
+    n = 230_000
+    made = E.GraphicalModel.over(DOM, CLIQUES).fit(df).synthetic(spark, n, seed=4)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and made.rdd.getNumPartitions() == 4
+    for c in CLIQUES:
+        want, got = true(x, c), np.zeros(DOM.project(c).shape)
+        for r in made.groupBy(*c).count().collect():
+            got[tuple(r[a] for a in c)] = r["count"]
+        assert got.sum() == n and not got[want == 0].any()
+        assert np.abs(got - want * n / 3000).max() < 4 * DOM.size(c)  # less than a row a group and block, and what parents were off
+    one = E.GraphicalModel.over(DOM, CLIQUES).fit(df)
+    assert one.synthetic(spark, 0).count() == 0 and one.synthetic(spark, 1).count() == 1 and one.synthetic(spark, 7, seed=-1).count() == 7
+
+
+@pytest.mark.parametrize("groups", [1, 5, 70_000])
+def test_rounded_codes(groups):
+    rng = np.random.default_rng(groups)
+    p = rng.random((groups, 6))
+    p[:, [0, 3, 5]] = 0
+    p /= p.sum(axis=1, keepdims=True)
+    upto = np.cumsum(p, axis=1)
+    upto[:, 4:] = 1.0
+    given = rng.integers(0, groups, 9000)
+    made = E.rounded_codes(rng, given, upto)
+    got, rows = np.zeros((groups, 6)), np.bincount(given, minlength=groups)
+    np.add.at(got, (given, made), 1)
+    assert np.abs(got - p * rows[:, None]).max() < 2 and np.abs(np.cumsum(got, axis=1) - upto * rows[:, None]).max() < 1 and not got[:, [0, 3, 5]].any()
+    assert groups > 5 or abs(np.corrcoef(np.arange(9000), made)[0, 1]) < 0.05  # in no order
+    assert len(E.rounded_codes(rng, given[:0], upto)) == 0
+
+
+def test_rows_of_large_conditional_tables(spark, data, monkeypatch):
+    df, x = data
+    monkeypatch.setattr(E, "SENT_CELLS", 10)
+    made = E.GraphicalModel.over(DOM, CLIQUES).fit(df).synthetic(spark, 6000, seed=4)
+    got = {tuple(r[:2]): r["count"] for r in made.groupBy("b", "c").count().collect()}
+    assert "Window" in made._jdf.queryExecution().executedPlan().toString() and sum(got.values()) == 6000
+    assert all(abs(got.get(k, 0) - 2 * v) < 40 for k, v in np.ndenumerate(true(x, ("b", "c"))))

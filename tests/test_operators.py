@@ -117,6 +117,15 @@ def test_weighted_and_odd_codes(spark, coded):
     assert M.marginals_kernel(odd.limit(0), DOM.project(("a", "b")), [("a",)]).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, M.JOINT_CELLS])
+def test_rows_of_few_kinds_are_counted_by_kind(spark, monkeypatch, most):
+    monkeypatch.setattr(M, "JOINT_CELLS", most)
+    odd = spark.createDataFrame([(0, 0), (None, 1), (-1, 0), (3, 9), (2, 3), (2, 3), (None, None)], "a int, b int")
+    got = M.marginals_kernel(odd, DOM.project(("a", "b")), [("b", "a"), ("a",)])
+    assert ("MapInArrow" in got._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 1.0), (0, 11, 2.0), (1, 0, 1.0), (1, 2, 3.0)]
+
+
 def test_cache_answers_subsets(coded):
     df, rows = coded
     cache = M.MarginalCache(df, DOM, [("a", "b", "c")])
@@ -287,3 +296,11 @@ def test_small_functions(spark):
     assert r[0] == 0 and r[1] > 1e300 and r[2] == 5
     nested = df.select(F.struct(F.lit(1).alias("x"), F.struct(F.lit(2).alias("z")).alias("y")).alias("s"), F.lit(3).alias("q"))
     assert S.flatten_struct(nested).columns == ["s_x", "s_y_z", "q"]
+
+
+def test_whole_numbers_of_doubles(spark):
+    halves = [i / 2 for i in range(-9, 10)] + [0.49999999999999994, -0.49999999999999994, 28.999999999999996, 0.285 * 100, 1e15 + 0.5, None]
+    df = spark.createDataFrame([(v,) for v in halves], "v double")
+    assert df.filter(~S.whole(F.col("v")).eqNullSafe(F.round("v"))).count() == 0
+    assert "round(" not in df.select(S.whole(F.col("v")))._jdf.queryExecution().executedPlan().toString()
+    assert df.limit(1).select(F.isnan(S.whole(F.lit(float("nan"))))).first()[0]
